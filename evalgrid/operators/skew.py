@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.lookups import named
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 5_000_000
 _SALTS = 4096
 _SIZE, _SALT, _HOT = "__size", "__salt", "__hot"
 
@@ -40,8 +40,10 @@ def with_group_totals(
         .agg(F.count(F.lit(1)).alias(_SIZE), *(a.alias(n) for n, a in totals.items()))
     )
     hot = groups.where(F.col(_SIZE) >= hot_rows).select(*by, figures.alias(_HOT))
+    # always 0, but not a literal: the planner would drop that from the join key
+    no_salt = (F.col(_SIZE) < 1).cast("int")
     rest = groups.where(F.col(_SIZE) < hot_rows).select(
-        *by, F.lit(0).alias(_SALT), figures.alias("__cold")
+        *by, no_salt.alias(_SALT), figures.alias("__cold")
     )
     settled = F.col(_HOT).isNotNull()
     for key in by:

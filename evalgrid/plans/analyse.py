@@ -4,6 +4,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalgrid import constants as K
 from evalgrid.operators.grouping import base_stats, roll_up, stats_of
@@ -24,6 +25,10 @@ class Report(NamedTuple):
 PER_PROBLEM = ("prompting", "modelname", "problemname")
 FINEST = (*PER_PROBLEM, "problemsize")
 
+# The report needs no field but the known ones, so the trials are read without a look
+# ahead; the tuple's identifier may be of any type on file and is read as text.
+_KNOWN_FIELDS = T.StructType([T.StructField("tuple_ID", T.StringType())])
+
 
 def finest_stats(results: DataFrame, uniform_lengths: bool = False) -> DataFrame:
     """Accuracy and bias moments per prompting, model, problem and size.
@@ -65,6 +70,10 @@ def analyse_results_in_testset_dir(spark: SparkSession, testset_dir: str) -> Rep
     folder = testset_dir.rstrip("/")
     files = results_files(spark, f"{folder}/results")
     assembled = load_and_assemble_trials_and_results(
-        spark, f"{folder}/{K.TESTSET_FILE}", files, include_expname_fields=False
+        spark,
+        f"{folder}/{K.TESTSET_FILE}",
+        files,
+        include_expname_fields=False,
+        extra=_KNOWN_FIELDS,
     )
     return analyse_results_df(assembled)

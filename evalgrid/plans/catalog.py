@@ -768,8 +768,9 @@ def experiment_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(O.query('SELECT "Key", goldresp, problemsize, array_to_string(expectedresp, \'|\') AS expectedresp FROM trials'))
 def columns_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the form ``{"column": {"row": value}}``, one for every 100 tuples."""
-    rows = D.trials(spark, sf_dir)
+    """Documents of the form ``{"column": {"row": value}}``, of 300 rows each."""
+    # the block follows the place of a row, so no key makes a block any larger
+    rows = D.trials(spark, sf_dir).withColumn("place", F.monotonically_increasing_id())
 
     def column_of(name: str):
         return F.map_from_entries(
@@ -777,8 +778,12 @@ def columns_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias(name)
 
     names = ("Key", "goldresp", "problemsize", "expectedresp")
-    gathered = F.collect_list(F.struct(F.col("Key").alias("i"), F.struct(*names).alias("r")))
-    blocks = rows.groupBy(F.expr("tuple_ID div 100").alias("block")).agg(gathered.alias("rows"))
+    gathered = F.collect_list(F.struct(F.col("place").alias("i"), F.struct(*names).alias("r")))
+    blocks = (
+        rows.withColumn("block", F.expr("place div 300"))
+        .groupBy("block")
+        .agg(gathered.alias("rows"))
+    )
     texts = blocks.select(
         F.concat(F.lit("block-"), F.col("block").cast("string")).alias(records.PATH),
         F.to_json(F.struct(*(column_of(n) for n in names))).alias("value"),
@@ -821,34 +826,24 @@ def corrupt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.load_results_as_dataframe(spark, path, skip_corrupt=True).select("Key", "resp")
 
 
-_TURNS = 4
-
-
 @registered(
-    f"""WITH numbered AS (
-  SELECT *, turn // {_TURNS} AS part,
-         row_number() OVER (PARTITION BY conv_id, turn // {_TURNS} ORDER BY turn) AS i,
-         count(*) OVER (PARTITION BY conv_id, turn // {_TURNS}) AS n
-  FROM conversations
+    """WITH lines AS (
+  SELECT role, string_split(text, chr(10)) AS said FROM conversations
 )
-SELECT (m.i - 1)::INTEGER AS position, m.role, m.text AS content, a.text AS target_message
-FROM numbered m JOIN numbered a ON a.conv_id = m.conv_id AND a.part = m.part AND a.i = a.n
-WHERE m.i < m.n"""
+SELECT (i - 1)::INTEGER AS position, role, said[i] AS content, said[-1] AS target_message
+FROM lines, unnest(range(1, len(said))) AS u(i)"""
 )
 def trainset_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training dialogs of up to four turns each: nested on file, flattened on reading."""
-    turns = D.table(spark, sf_dir, "conversations")
-    in_order = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    said = F.slice("turns", F.lit(1), F.size("turns") - 1)
-    dialogs = (
-        turns.groupBy("conv_id", F.expr(f"turn div {_TURNS}"))
-        .agg(in_order.alias("turns"))
-        .select(
-            F.struct(
-                F.transform(said, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")
-            ).alias("dialog_history"),
-            F.element_at("turns", -1)["content"].alias("target_message"),
-        )
+    """Training dialogs, nested on file, flattened on reading.
+
+    The lines of each turn are taken as messages, the last one as the answer to learn.
+    """
+    turns = D.table(spark, sf_dir, "conversations").select("role", F.split("text", "\n").alias("said"))
+    before = F.slice("said", F.lit(1), F.array_size("said") - 1)
+    messages = F.transform(before, lambda m: F.struct(F.col("role"), m.alias("content")))
+    dialogs = turns.select(
+        F.struct(messages.alias("messages")).alias("dialog_history"),
+        F.element_at("said", -1).alias("target_message"),
     )
     path = f"{scratch_path(spark, 'training_set')}/trials.jsonl.bz2"
     dialogs.write.option("compression", "bzip2").json(path)

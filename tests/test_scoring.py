@@ -1,0 +1,209 @@
+"""From responses to accuracy rows: small cases with known values, and skew."""
+
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from evalgrid import (
+    compute_acc_table,
+    filter_complete_tuples,
+    first_row_per_group,
+    transform_into_weighted_mean,
+    weighted_means_by_group,
+    with_group_minimum,
+    with_group_size,
+)
+from evalgrid.operators.scoring import add_score_columns
+
+SCHEMA = (
+    "Key long, modelname string, prompting string, tuple_ID long, expectedresp array<string>, "
+    "goldresp string, resp string, problemname string, text string"
+)
+TF, PI, NUM = ["TRUE", "FALSE"], ["POSSIBLE", "IMPOSSIBLE"], ["1", "2", "3"]
+
+
+def answered(spark, pairs, expected=TF, tuple_id=1, model="m", prompting="basic", first_key=1):
+    """One tuple out of (gold, response) pairs."""
+    rows = [
+        (first_key + i, model, prompting, tuple_id, expected, gold, resp, "p", "q")
+        for i, (gold, resp) in enumerate(pairs)
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def scores(df, **options):
+    return [(r.acc, r.bias) for r in compute_acc_table(df, **options).orderBy("tuple_ID").collect()]
+
+
+@pytest.mark.parametrize(
+    "pairs, expected, acc, bias",
+    [
+        ([("TRUE", "TRUE"), ("FALSE", "TRUE")], TF, 0.5, 1.0),
+        ([("POSSIBLE", "IMPOSSIBLE"), ("IMPOSSIBLE", "IMPOSSIBLE")], PI, 0.5, -1.0),
+        ([("1", "2"), ("2", "1"), ("3", "3")], NUM, 1.0, 0.0),
+        ([("1", "3"), ("2", "2"), ("3", "1")], NUM, 0.25, 0.5),
+        ([("TRUE", "TRUE"), ("FALSE", "")], TF, 0.5, 0.5),
+        ([("TRUE", "TRUE"), ("FALSE", None)], TF, 0.5, 0.5),
+        ([("TRUE", ""), ("FALSE", "")], TF, 0.0, 0.0),
+        ([("TRUE", "MAYBE"), ("FALSE", "FALSE")], TF, 0.5, -0.5),
+        ([("x", "TRUE"), ("y", "TRUE")], TF, None, None),
+        ([("TRUE", "TRUE"), ("x", "FALSE")], TF, 1.0, 1.0),
+    ],
+)
+@pytest.mark.parametrize("uniform", [False, True])
+def test_tuple_scores(spark, pairs, expected, acc, bias, uniform):
+    df = answered(spark, pairs, expected)
+    assert scores(df, uniform_lengths=uniform) == [(acc, bias)]
+
+
+def test_incomplete_tuple_is_dropped_or_scored_as_it_is(spark):
+    df = answered(spark, [("TRUE", "TRUE")])
+    assert scores(df) == []
+    assert scores(df, filter_incomplete_tuples=False) == [(1.0, 1.0)]
+
+
+def test_key_answered_twice_makes_the_tuple_overfull(spark):
+    df = answered(spark, [("TRUE", "TRUE"), ("FALSE", "TRUE")])
+    assert scores(df.union(df.where("Key = 1"))) == []
+
+
+def test_two_promptings_need_a_wider_tuple_key(spark):
+    pairs = [("TRUE", "TRUE"), ("FALSE", "TRUE")]
+    df = answered(spark, pairs).union(answered(spark, pairs, prompting="COT"))
+    assert scores(df) == []
+    keys = ("modelname", "tuple_ID", "prompting")
+    assert scores(df, tuple_keys=keys) == [(0.5, 1.0), (0.5, 1.0)]
+
+
+def test_rows_without_tuple_are_in_no_tuple(spark):
+    df = answered(spark, [("TRUE", "TRUE"), ("FALSE", "TRUE")]).withColumn(
+        "tuple_ID", F.lit(None).cast("long")
+    )
+    assert scores(df) == []
+    assert scores(df, filter_incomplete_tuples=False) == []
+
+
+def test_columns_of_the_first_row_are_kept(spark):
+    df = answered(spark, [("TRUE", "TRUE"), ("FALSE", "TRUE")], first_key=7)
+    row = compute_acc_table(df.orderBy(F.desc("Key"))).first()
+    assert row.Key == 7
+    assert (row.tuplelen, row.expectedresp_len) == (2, 2)
+    assert not {"text", "resp", "goldresp", "acc_weight"} & set(row.asDict())
+    narrow = compute_acc_table(df, carry=["problemname", "text"])
+    assert "text" not in narrow.columns and "Key" not in narrow.columns
+    unfiltered = compute_acc_table(df, filter_incomplete_tuples=False)
+    assert not {"tuplelen", "expectedresp_len"} & set(unfiltered.columns)
+
+
+def test_only_rows_that_agree_with_the_size_count(spark):
+    """Three rows: the two accepting three answers count, the one accepting two does not."""
+    df = answered(spark, [("1", "1"), ("2", "3")], NUM).union(
+        answered(spark, [("TRUE", "TRUE")], TF, first_key=0)
+    )
+    assert scores(df) == [(0.5, 0.0)]
+    assert compute_acc_table(df).first().Key == 1
+    with pytest.raises(PySparkException, match="mixed numbers"):
+        compute_acc_table(df, uniform_lengths=True).collect()
+
+
+def random_rows(spark, n=3000, seed=5):
+    rng = random.Random(seed)
+    rows = []
+    for key in range(n):
+        tuple_id = rng.choice([1, 1, rng.randrange(2, n // 2)])  # two thirds in one tuple
+        expected = rng.choice([TF, PI, NUM])
+        gold = rng.choice([*expected, "x"])
+        resp = rng.choice([*expected, "", None])
+        rows.append(
+            (key, rng.choice("ab"), "basic", tuple_id if rng.random() > 0.02 else None,
+             expected, gold, resp, "p", "q")
+        )
+    return spark.createDataFrame(rows, SCHEMA).repartition(4)
+
+
+def by_windows(df):
+    """The same table the long way round, with windows over whole tuples."""
+    tuples = Window.partitionBy("modelname", "tuple_ID")
+    rows = (
+        df.where("tuple_ID is not null")
+        .transform(add_score_columns)
+        .withColumn("n", F.count(F.lit(1)).over(tuples))
+        .where(F.col("n") == F.size("expectedresp"))
+    )
+    w = F.sum("acc_weight").over(tuples)
+    return (
+        rows.withColumn("a", F.coalesce(F.sum(F.expr("acc * acc_weight")).over(tuples), F.lit(0.0)))
+        .withColumn("b", F.coalesce(F.sum(F.expr("bias * acc_weight")).over(tuples), F.lit(0.0)))
+        .withColumn("w", w)
+        .withColumn("i", F.row_number().over(tuples.orderBy("Key")))
+        .where("i = 1")
+        .selectExpr(
+            "modelname", "tuple_ID", "Key", "try_divide(a, w) acc", "try_divide(b, w) bias"
+        )
+    )
+
+
+def test_acc_table_equals_the_windowed_form(spark):
+    df = random_rows(spark)
+    columns = ["modelname", "tuple_ID", "Key", "acc", "bias"]
+    expected = {tuple(r) for r in by_windows(df).select(columns).collect()}
+    actual = [tuple(r) for r in compute_acc_table(df).select(columns).collect()]
+    assert len(actual) == len(set(actual)) == len(expected) > 100
+    assert set(actual) == expected
+
+
+@pytest.mark.parametrize("hot_rows", [1, 50, 10**9])
+def test_group_figures_do_not_depend_on_the_size_limit(spark, hot_rows):
+    df = random_rows(spark).transform(add_score_columns)
+    tuples = Window.partitionBy("modelname", "tuple_ID")
+    sized = with_group_size(df, hot_rows=hot_rows)
+    assert sized.count() == df.count()
+    expected = df.withColumn("n", F.when(F.col("tuple_ID").isNotNull(), F.count(F.lit(1)).over(tuples)))
+    assert {(r.Key, r.tuplelen) for r in sized.collect()} == {(r.Key, r.n) for r in expected.collect()}
+
+    complete = filter_complete_tuples(df, hot_rows=hot_rows)
+    assert {r.Key for r in complete.collect()} == {
+        r.Key for r in expected.where(F.col("n") == F.size("expectedresp")).collect()
+    }
+
+    means = transform_into_weighted_mean(df, ["tuple_ID"], "acc", "acc_weight", hot_rows=hot_rows)
+    grouped = weighted_means_by_group(df, ["tuple_ID"], "acc", "acc_weight")
+    by_tuple = {r.tuple_ID: r.acc for r in grouped.collect()}
+    for r in means.collect():
+        assert r.acc == pytest.approx(by_tuple.get(r.tuple_ID))
+
+    low = with_group_minimum(df, ["tuple_ID"], "Key", "low", hot_rows=hot_rows)
+    first = first_row_per_group(df.select("tuple_ID", "Key", "resp"), ["tuple_ID"])
+    keys = {r.tuple_ID: r.Key for r in first.collect()}
+    assert all(r.low == keys.get(r.tuple_ID) for r in low.collect())
+
+
+def test_rows_of_a_large_group_are_spread(spark):
+    """The salt has to survive planning, or the large group ends up in one task."""
+    rows = spark.range(100_000).select(
+        F.lit("m").alias("modelname"), (F.col("id") % 2).alias("tuple_ID"), F.col("id").alias("Key")
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sized = with_group_size(rows, hot_rows=1000)
+        sizes = [
+            r["count"] for r in sized.groupBy(F.spark_partition_id()).count().collect()
+        ]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 4 and max(sizes) < 40_000
+
+
+def test_missing_value_weighs_but_adds_nothing(spark):
+    df = spark.createDataFrame(
+        [("g", 1.0, 1.0), ("g", None, 3.0), ("h", 5.0, 0.0), ("h", 5.0, None)],
+        T.StructType.fromDDL("g string, x double, w double"),
+    )
+    rows = {r.g: r.x for r in weighted_means_by_group(df, ["g"], ["x"], "w").collect()}
+    assert rows == {"g": 0.25, "h": None}

@@ -1,16 +1,15 @@
 """Labels read off file names, and the display order of labels."""
 
 import posixpath
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid import constants as K
 from evalgrid.functions.lookups import column, lookup
 
-_RESULTS_NAME = r"([^/]+___results\.jsonl)(?:/[^/]*)?$"
-_LEGACY_NAME = r"([^/]+__allresults\.[A-Za-z]+(?:\.partial)?)(?:/[^/]*)?$"
+_LEGACY_NAME = r"^(.+__allresults\.[A-Za-z]+(?:\.partial)?)$"
 _FORMS = (
     "'<prompting>___<modelname>___results.jsonl', '<modelname>__allresults.<ext>' "
     "or '<modelname>__allresults.<ext>.partial'"
@@ -27,7 +26,7 @@ def plain_path(path: Column | str) -> Column:
 
 def logical_file(path: Column | str) -> Column:
     """The file itself, or the folder of that name when Spark wrote it in parts."""
-    return F.regexp_replace(column(path), r"/part-[^/]*$", "")
+    return F.regexp_replace(column(path), r"/part-[0-9]+[^/_]*$", "")
 
 
 def experiment_folder(path: Column | str) -> Column:
@@ -44,33 +43,36 @@ def experiment_name(folder: Column | str) -> Column:
     return F.regexp_extract(column(folder), r"([^/]+)/*$", 1)
 
 
-def _labels(path: Column) -> tuple[Column, Column]:
-    name = F.regexp_extract(path, _RESULTS_NAME, 1)
-    parts = F.split(name, "___")
-    legacy = F.regexp_extract(path, _LEGACY_NAME, 1)
-    named = F.size(parts) == 3
-    unknown = F.raise_error(F.concat(F.lit(f"no labels, expected {_FORMS}: "), path)).cast("string")
+def with_labels(df: DataFrame, path: Column | str = "_metadata.file_path") -> DataFrame:
+    """Add ``modelname`` and ``prompting`` as the results path of each row tells them.
+
+    ``prompting`` is NULL for a name that carries none; a path of another form is an
+    error. The path may be percent-encoded, as the file sources report it. The steps
+    are columns of their own, so that each is evaluated once per row.
+    """
+    path = column(path)
+    named = path.endswith(K.RESULTS_ENDING) | path.contains(K.RESULTS_ENDING + "/")
+    last, before_last = F.substring_index(path, "/", -1), F.substring_index(path, "/", -2)
+    is_part = last.startswith("part-") & ~last.contains("__")
+    file = F.when(is_part, F.substring_index(before_last, "/", 1)).otherwise(last)
+    encoded, parts = F.col("__file"), F.col("__parts")
+    name = F.when(encoded.contains("%"), plain_path(encoded)).otherwise(encoded)
+    standard = F.when(F.col("__named"), F.split("__name", "___"))
+    legacy = F.regexp_extract("__name", _LEGACY_NAME, 1)
+    unknown = F.raise_error(F.concat(F.lit(f"no labels, expected {_FORMS}: "), "__name"))
     model = (
-        F.when(named, F.try_element_at(parts, F.lit(2)))
-        .when(legacy != "", F.split(legacy, "__")[0])
-        .otherwise(unknown)
+        F.when(F.size(parts) == 3, F.try_element_at(parts, F.lit(2)))
+        .when(~F.col("__named") & (legacy != ""), F.substring_index(legacy, "__", 1))
+        .otherwise(unknown.cast("string"))
     )
-    prompting = (
-        F.when(named, F.try_element_at(parts, F.lit(1)))
-        .when(legacy != "", F.lit(None).cast("string"))
-        .otherwise(unknown)
+    prompting = F.when(F.size(parts) == 3, F.try_element_at(parts, F.lit(1)))
+    columns = df.columns
+    return (
+        df.select("*", file.alias("__file"), named.alias("__named"))
+        .withColumn("__name", name)
+        .withColumn("__parts", standard)
+        .select(*columns, model.alias("modelname"), prompting.alias("prompting"))
     )
-    return model, prompting
-
-
-def model_of(path: Column | str) -> Column:
-    """Model name in a results path; a path of another form is an error."""
-    return _labels(column(path))[0]
-
-
-def prompting_of(path: Column | str) -> Column:
-    """Prompting in a results path, NULL for the form that carries none."""
-    return _labels(column(path))[1]
 
 
 def infer_modelname_and_prompting(path: str) -> tuple[str, str | None]:
@@ -99,6 +101,20 @@ def label_rank(
     return F.coalesce(lookup(c, ranks), F.lit(len(known)))
 
 
+def sorted_for_display(
+    rows: Iterable[Sequence],
+    fields: Sequence[str],
+    order: Mapping[str, Sequence[str]] = K.DISPLAY_ORDER,
+) -> list[tuple]:
+    """Label combinations already on the driver, in the order of ``display_order``."""
+    ranks = [{v: i for i, v in enumerate(order.get(f, ()))} for f in fields]
+
+    def key(row):
+        return [(known.get(v, len(known)), v) for v, known in zip(row, ranks, strict=True)]
+
+    return sorted(map(tuple, rows), key=key)
+
+
 def display_order(
     fields: Sequence[str], order: Mapping[str, Sequence[str]] = K.DISPLAY_ORDER
 ) -> list[Column]:

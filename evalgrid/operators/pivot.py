@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid import constants as K
-from evalgrid.functions.labels import display_order
+from evalgrid.functions.labels import display_order, sorted_for_display
 from evalgrid.functions.numbers import format_cell
 
 # Columns of a statistics table that are figures, not keys.
@@ -33,6 +33,7 @@ def pivot_pretty(
     order_prefs: Mapping[str, Sequence[str]] = K.DISPLAY_ORDER,
     scale: float = 100.0,
     valname: str = "value",
+    heads: Sequence[Sequence] | None = None,
 ) -> DataFrame:
     """A display table: ``index`` fields down, values of ``columns`` across.
 
@@ -41,7 +42,8 @@ def pivot_pretty(
     varying key, the cell of its first value is shown.
 
     The statistics are read up to three times (values of ``columns``, varying keys,
-    cells): pass a table that is kept, such as one of ``session.materialise``.
+    cells): pass a table that is kept, such as one of ``session.materialise``, or name
+    the values of ``columns`` in ``heads`` and the ``index``.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     keys = [c for c in stats.columns if c not in FIGURES]
@@ -64,15 +66,12 @@ def pivot_pretty(
         table = cells.groupBy(*index).agg(first.alias(valname))
         return table.orderBy(*display_order(index, order_prefs))
 
-    heads = (
-        stats.select(*columns)
-        .distinct()
-        .orderBy(*display_order(columns, order_prefs))
-        .limit(_max_columns(stats) + 1)
-        .collect()
-    )
-    if len(heads) > _max_columns(stats):
+    most = int(stats.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    if heads is None:
+        heads = stats.select(*columns).distinct().limit(most + 1).collect()
+    if len(heads) > most:
         raise ValueError(f"{columns} have too many values to be column heads")
+    heads = sorted_for_display(heads, columns, order_prefs)
     if len(columns) == 1:
         head, names = F.col(columns[0]), [h[0] for h in heads]
     else:
@@ -82,7 +81,3 @@ def pivot_pretty(
     if index:
         table = table.orderBy(*display_order(index, order_prefs))
     return table
-
-
-def _max_columns(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))

@@ -56,12 +56,15 @@ def analyse_results_df(results: DataFrame) -> Report:
     """The report on assembled trials and responses. Computes the finest statistics now."""
     base = materialise(finest_stats(results), "finest_stats")
     overall, accuracy, bias = report_stats(base)
-    n_problems = base.agg(F.count_distinct("problemname")).first()[0]
+    # the labels of a few rows; knowing them saves each table a look at the statistics
+    found = base.agg(*(F.collect_set(c).alias(c) for c in ("prompting", "problemname"))).first()
+    promptings, problems = [(v,) for v in found.prompting], [(v,) for v in found.problemname]
     down, across = ("prompting", "modelname"), "problemname"
+    whole = pivot_pretty(overall, "prompting", ["modelname"], heads=promptings)
     return Report(
-        overall=pivot_pretty(overall, "prompting", ["modelname"]) if n_problems > 1 else None,
-        accuracy=pivot_pretty(accuracy, across, down),
-        bias=pivot_pretty(bias, across, down, scale=1.0),
+        overall=whole if len(problems) > 1 else None,
+        accuracy=pivot_pretty(accuracy, across, down, heads=problems),
+        bias=pivot_pretty(bias, across, down, scale=1.0, heads=problems),
     )
 
 

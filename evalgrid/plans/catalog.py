@@ -707,10 +707,8 @@ def filename_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.replace("c_name", F.lit("#"), F.lit("+"))
     name = F.concat(label, F.lit("___"), model, F.lit("___results.jsonl/part-00000.json"))
     encoded = F.replace(F.concat(F.lit("file:/a b/results/"), name), F.lit(" "), F.lit("%20"))
-    paths = customers.select("c_custkey", labels.plain_path(encoded).alias("path"))
-    return paths.select(
-        "c_custkey", labels.prompting_of("path").alias("prompting"), labels.model_of("path").alias("modelname")
-    )
+    paths = customers.select("c_custkey", encoded.alias("path"))
+    return labels.with_labels(paths, "path").select("c_custkey", "prompting", "modelname")
 
 
 @registered(

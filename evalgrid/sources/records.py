@@ -12,7 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evalgrid import constants as K
-from evalgrid.functions.labels import logical_file, plain_path
+from evalgrid.functions.labels import (
+    experiment_folder,
+    experiment_name,
+    logical_file,
+    plain_path,
+)
 from evalgrid.session import scratch_path
 
 Paths = str | Sequence[str]
@@ -22,6 +27,8 @@ _BATCH_CHARS = 8_000_000
 _BATCH_LINES = 20_000
 
 PATH = "__path"
+# Path of an experiment's folder.
+FOLDER = "__folder"
 # Position of a row in a document of columns.
 ROW = "__row"
 
@@ -230,7 +237,8 @@ def with_row_index(
     A first look counts the records of each split of each file; the running total of
     those counts is the number of a split's first record. It has one row per split,
     a fixed and tiny share of the input, so it is broadcast. Both looks split the
-    files the same way. Adds ``__path`` too.
+    files the same way. The experiment's ``EXPNAME`` and ``__folder`` are worked out once
+    per split too.
     """
     position, block, first = "__position", "__block", "__first"
 
@@ -257,7 +265,9 @@ def with_row_index(
         .agg(F.min(position).alias(first), F.count(F.lit(1)).alias("__n"))
         .withColumn("__whole", logical_file("__file"))
         .withColumn("__before", F.sum("__n").over(in_order) - F.col("__n"))
-        .select("__file", block, first, "__before")
+        .select("__file", block, first, "__before", plain_path("__file").alias(PATH))
+        .withColumn(FOLDER, experiment_folder(PATH))
+        .withColumn("EXPNAME", experiment_name(FOLDER))
     )
     fields = [f.name for f in schema.fields]
     return (
@@ -266,6 +276,7 @@ def with_row_index(
         .select(
             *fields,
             (F.col("__before") + F.col(position) - F.col(first)).alias(name),
-            plain_path("__file").alias(PATH),
+            "EXPNAME",
+            FOLDER,
         )
     )

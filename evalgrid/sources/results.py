@@ -16,6 +16,7 @@ from evalgrid.operators.assemble import (
 )
 from evalgrid.operators.enrich import add_missing_columns
 from evalgrid.sources.records import (
+    FOLDER,
     Paths,
     as_list,
     find_files_ending_in,
@@ -23,7 +24,6 @@ from evalgrid.sources.records import (
     read_json,
 )
 from evalgrid.sources.trials import (
-    FOLDER,
     get_trials_file,
     is_experiment_directory,
     load_trials_as_dataframe,
@@ -33,6 +33,9 @@ from evalgrid.sources.trials import (
 LEGACY_FILE = K.LEGACY_ENDING + ".jsonl"
 LEGACY_PARTIAL = LEGACY_FILE + ".partial"
 
+# Up to this many files are scanned one by one; a plan with more takes long to make.
+_MOST_SCANS = 100
+
 
 def results_path(directory: str, prompting: str, modelname: str) -> str:
     """Where the responses of a model under a prompting are kept."""
@@ -60,10 +63,13 @@ def load_results_as_dataframe(
     add_modelname_and_prompting: bool = True,
     skip_corrupt: bool = False,
 ) -> DataFrame:
-    """Responses of any number of ``.jsonl`` files in one scan.
+    """Responses of any number of ``.jsonl`` files.
+
+    The labels come from the name of each file. For files given by name they are
+    constants of the scan of that file, so a filter on a label skips the other files;
+    for patterns and very many files there is one scan that takes them from the path of
+    each row. A name that carries no labels is an error.
 
-    The labels come from each file's name. A name given without wildcard that carries
-    no labels is an error at once, one found through a wildcard when it is read.
     ``skip_corrupt`` leaves out cut-off records, as a crash while writing leaves them.
     """
     paths = as_list(paths)
@@ -72,22 +78,26 @@ def load_results_as_dataframe(
     for path in paths:
         if not path.rstrip("/").endswith(".jsonl"):
             raise ValueError(f"responses are read from .jsonl files only, not {path}")
-        if add_modelname_and_prompting and "*" not in path:
-            labels.infer_modelname_and_prompting(path)
     mode = "DROPMALFORMED" if skip_corrupt else "FAILFAST"
-    df = spark.read.schema(schemas.RESULTS).option("mode", mode).json(paths)
+    reader = spark.read.schema(schemas.RESULTS).option("mode", mode)
     if not add_modelname_and_prompting:
-        return df
-    path = labels.plain_path("_metadata.file_path")
-    return df.select(
-        "*", labels.model_of(path).alias("modelname"), labels.prompting_of(path).alias("prompting")
-    )
+        return reader.json(paths)
+    if len(paths) > _MOST_SCANS or any(c in path for path in paths for c in "*?[{"):
+        return labels.with_labels(reader.json(paths))
+
+    def labelled(path: str) -> DataFrame:
+        model, prompting = labels.infer_modelname_and_prompting(path)
+        return reader.json(path).withColumns({
+            "modelname": F.lit(model), "prompting": F.lit(prompting).cast("string"),
+        })
+
+    return stack(map(labelled, paths))
 
 
 def results_files(spark: SparkSession, directory: str) -> list[str]:
     """Paths of all results files below a folder: one per model and prompting."""
     found = find_files_ending_in(spark, directory, K.RESULTS_ENDING)
-    return [row.path for row in found.select("path").orderBy("path").collect()]
+    return sorted(row.path for row in found.select("path").collect())
 
 
 def load_and_assemble_trials_and_results(
@@ -121,18 +131,12 @@ def load_experiment_results_as_dataframe(
     number. A question that differs between both sides fails the job.
     """
     paths = as_list(paths)
-    path = labels.plain_path("_metadata.file_path")
+    records = spark.read.schema(schemas.POSITIONAL_RESULTS).option("mode", "DROPMALFORMED").json(paths)
+    folder = labels.experiment_folder_of_results("_metadata.file_path")
     results = (
-        spark.read.schema(schemas.POSITIONAL_RESULTS)
-        .option("mode", "DROPMALFORMED")
-        .json(paths)
-        .select("*", path.alias("__path"))
-        .select(
-            "*",
-            labels.model_of("__path").alias("modelname"),
-            labels.experiment_folder_of_results("__path").alias(FOLDER),
-        )
-        .drop("__path")
+        labels.with_labels(records.select("*", "_metadata", folder.alias("__encoded")))
+        .withColumn(FOLDER, labels.plain_path("__encoded"))
+        .drop("_metadata", "__encoded", "prompting")
         .withColumnRenamed("row_i", "EXP_i")
     )
     if trials_path is None:
@@ -176,7 +180,7 @@ def load_all_results(
                 paths.append(directory)
             elif not directory.endswith((LEGACY_FILE, LEGACY_PARTIAL)):
                 found = find_files_ending_in(spark, directory, ending)
-                paths += [row.path for row in found.select("path").orderBy("path").collect()]
+                paths += sorted(row.path for row in found.select("path").collect())
     if not paths:
         raise ValueError(f"no results files in {list(directories)}")
     return load_experiment_results_as_dataframe(spark, paths)

@@ -9,13 +9,14 @@ from pyspark.sql import types as T
 
 from evalgrid import constants as K
 from evalgrid import schemas
-from evalgrid.functions.labels import experiment_folder, experiment_name, logical_file
+from evalgrid.functions.labels import experiment_folder, experiment_name
 from evalgrid.operators.assemble import stack
 from evalgrid.operators.enrich import (
     add_fields_for_finegrained_analysis,
     deobfuscate_goldresp,
 )
 from evalgrid.sources.records import (
+    FOLDER,
     PATH,
     ROW,
     Paths,
@@ -25,9 +26,6 @@ from evalgrid.sources.records import (
     with_row_index,
 )
 
-FOLDER = "__folder"
-
-
 def get_trials_file(spark: SparkSession, directory: str) -> str | None:
     """The first of the usual trials files that the folder has."""
     folder = directory.rstrip("/")
@@ -106,12 +104,12 @@ def load_trials_as_dataframe(
     if include_expname_fields and lines:
         df = with_row_index(spark, paths, schema)
     else:
-        df = read_json(spark, paths, schema, with_path=True)
+        by_file = include_expname_fields or keep_folder
+        df = read_json(spark, paths, schema, with_path=by_file)
+        if by_file:
+            df = df.withColumn(FOLDER, experiment_folder(PATH))
         if include_expname_fields:
-            df = _index_documents(df)
-    df = df.withColumn(FOLDER, experiment_folder(logical_file(PATH)))
-    if include_expname_fields:
-        df = df.withColumn("EXPNAME", experiment_name(FOLDER))
+            df = _index_documents(df).withColumn("EXPNAME", experiment_name(FOLDER))
     if auto_deobfuscate and "goldresp_obfusc" in df.columns:
         df = _readable_gold(df)
     if include_params_fields:

@@ -19,17 +19,8 @@ def read_results_stream(spark: SparkSession, pattern: str) -> DataFrame:
 
     New files are picked up; lines added to a file already read are not.
     """
-    path = labels.plain_path("_metadata.file_path")
-    return (
-        spark.readStream.schema(schemas.RESULTS)
-        .option("mode", "FAILFAST")
-        .json(pattern)
-        .select(
-            "*",
-            labels.model_of(path).alias("modelname"),
-            labels.prompting_of(path).alias("prompting"),
-        )
-    )
+    stream = spark.readStream.schema(schemas.RESULTS).option("mode", "FAILFAST").json(pattern)
+    return labels.with_labels(stream)
 
 
 def ingest_new_results(

@@ -228,7 +228,7 @@ def test_cut_off_record(spark, folder):
 )
 def test_labels_of_a_name(spark, name, expected):
     df = spark.createDataFrame([("file:/r/" + name,)], "path string")
-    column = df.select(labels.model_of("path"), labels.prompting_of("path"))
+    column = labels.with_labels(df, "path").select("modelname", "prompting")
     if expected is None:
         with pytest.raises(ValueError):
             eg.infer_modelname_and_prompting(name)

@@ -24,7 +24,7 @@ from evalgrid.operators.enrich import (
     obfuscate_goldresp,
 )
 from evalgrid.operators.grouping import accuracy_by_group, bias_by_group, group_stats, regroup
-from evalgrid.operators.pivot import pivot_pretty
+from evalgrid.operators.pivot import pivot_pretty, sort_for_display
 from evalgrid.operators.profiling import compare_dataframes, datatype_counts, field_sets
 from evalgrid.operators.respond import random_responses, respond
 from evalgrid.operators.scoring import (
@@ -50,6 +50,7 @@ from evalgrid.sources.results import (
 from evalgrid.sources.trials import (
     flatten_dialogs,
     get_trials_file,
+    infer_expname_and_expdir,
     is_experiment_directory,
     load_all_trials,
     load_experiment_specs,

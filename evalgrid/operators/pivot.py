@@ -25,6 +25,13 @@ def varying_fields(stats: DataFrame, fields: Sequence[str]) -> list[str]:
     return [f for f in fields if row[f]]
 
 
+def sort_for_display(
+    df: DataFrame, order_prefs: Mapping[str, Sequence[str]] = K.DISPLAY_ORDER
+) -> DataFrame:
+    """Rows in the preferred order of every label column that has one."""
+    return df.orderBy(*display_order([c for c in df.columns if c in order_prefs], order_prefs))
+
+
 def pivot_pretty(
     stats: DataFrame,
     columns: Sequence[str] | str = (),

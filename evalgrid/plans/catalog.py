@@ -539,12 +539,8 @@ def ordered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = D.trials(spark, sf_dir), D.older_trials(spark, sf_dir)
     names = [new.select("problemname"), old.select("problemname"),
              new.select(F.col("skin").alias("problemname"))]
-    return (
-        eg.stack(names)
-        .groupBy("problemname")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(*labels.display_order(["problemname"]))
-        .select("problemname", labels.label_rank("problemname", "problemname").alias("label_rank"), "n")
+    counted = eg.stack(names).groupBy("problemname").agg(F.count(F.lit(1)).alias("n"))
+    return eg.sort_for_display(counted).select("problemname", labels.label_rank("problemname", "problemname").alias("label_rank"), "n"
     )
 
 

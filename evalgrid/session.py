@@ -24,8 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; never reused, so readers stay valid."""
-    return f"{shared_folder(spark)}/evalgrid/{uuid.uuid4().hex}/{name}"
+    """A new path under the shared folder; never reused, so readers stay valid.
+
+    All paths of an application share one folder, to be removed when it has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/evalgrid/{application}/{uuid.uuid4().hex}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -39,6 +39,22 @@ def is_experiment_directory(spark: SparkSession, path: str) -> bool:
     return get_trials_file(spark, path) is not None
 
 
+def infer_expname_and_expdir(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Name and folder of the experiment a trials file, results file or folder belongs to."""
+    path = path.rstrip("/")
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no such file or folder: {path}")
+    folder, _, name = path.rpartition("/")
+    if name not in K.TRIALS_FILES:
+        # results are one folder further down; a folder with trials is the experiment itself
+        is_results = name.endswith(K.RESULTS_ENDING) or K.LEGACY_ENDING + "." in name
+        itself = not is_results and is_experiment_directory(spark, path)
+        folder = path if itself else folder.rpartition("/")[0]
+    if not folder or not is_experiment_directory(spark, folder):
+        raise FileNotFoundError(f"{path} belongs to no experiment folder")
+    return folder.rpartition("/")[2], folder
+
+
 def trials_schema(
     spark: SparkSession, paths: Paths, extra: T.StructType | None = None
 ) -> T.StructType:

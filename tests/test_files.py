@@ -246,6 +246,12 @@ def test_experiment_folders(spark, folder):
     put(folder, "c/other.txt", "")
     assert eg.get_trials_file(spark, folder + "/b").endswith("trials.json")
     assert eg.is_experiment_directory(spark, folder + "/a")
+    results = put(folder, "a/results/basic___m___results.jsonl", "")
+    for path in (folder + "/a", folder + "/a/trials.jsonl.bz2", results):
+        assert eg.infer_expname_and_expdir(spark, path) == ("a", folder + "/a")
+    for path in (folder + "/c", folder + "/nothing", put(folder, "c/results/basic___m___results.jsonl", "")):
+        with pytest.raises(FileNotFoundError):
+            eg.infer_expname_and_expdir(spark, path)
     assert not eg.is_experiment_directory(spark, folder + "/c")
     both = eg.load_all_trials(spark, [folder + "/a", folder + "/b"])
     assert {(r.EXPNAME, r.EXP_i) for r in both.collect()} == {

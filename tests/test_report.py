@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrid import accuracy_by_group, analyse_results_df, compute_acc_table, format_cell, pivot_pretty
+from evalgrid import accuracy_by_group, analyse_results_df, compute_acc_table, format_cell, pivot_pretty, sort_for_display
 from evalgrid.plans import derived as D
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,14 @@ def test_rows_and_columns_follow_the_preferred_order(spark):
     assert rows[1]["Compl.normal"] == "60.0 (nan)" and rows[0]["Infer.normal"] is None
 
 
+def test_sorting_for_display(spark):
+    rows = sort_for_display(stats(spark).select("modelname", "problemname")).collect()
+    assert [tuple(r) for r in rows] == [
+        ("GPT3.5", "odd"), ("GPT4", "Infer.trivial"), ("GPT4", "Infer.normal"),
+        ("GPT4", "Compl.normal"), ("alpha", "Infer.normal"), ("zeta", "Infer.normal"),
+    ]
+
+
 def test_index_that_leaves_out_a_key_shows_its_first_value(spark):
     table = pivot_pretty(stats(spark), "prompting", ["modelname"], cell_style="mean")
     assert {r.modelname: round(r.basic, 6) for r in table.collect()}["GPT4"] == 60.0  # Compl.normal

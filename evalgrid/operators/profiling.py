@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions.lookups import named
@@ -20,13 +20,21 @@ _JSON_KINDS = {
 }
 
 
-def _json_kind(c: str) -> Column:
-    """Kind of value in a JSON text; text that is no JSON is a plain string."""
-    schema = F.schema_of_variant(F.try_parse_json(named(c)))
-    kind = F.lit("string")
-    for name, prefix in _JSON_KINDS.items():
-        kind = F.when(schema.startswith(prefix), F.lit(name)).otherwise(kind)
-    return F.when(named(c).isNotNull(), kind).otherwise(F.lit("void"))
+def _with_json_kinds(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Add, under the given names, the kind of value in each JSON text.
+
+    Text that is no JSON is a plain string. The schema of a text is a column of its own,
+    so that a text is parsed once however many kinds it is compared with.
+    """
+    schemas = {f"__schema_{k}": F.schema_of_variant(F.try_parse_json(named(c))) for c, k in kinds.items()}
+    df = df.select("*", *(s.alias(n) for n, s in schemas.items()))
+    found = {}
+    for c, k in kinds.items():
+        kind = F.lit("string")
+        for name, prefix in _JSON_KINDS.items():
+            kind = F.when(F.col(f"__schema_{k}").startswith(prefix), F.lit(name)).otherwise(kind)
+        found[k] = F.when(named(c).isNotNull(), kind).otherwise(F.lit("void"))
+    return df.select("*", *(kind.alias(k) for k, kind in found.items()))
 
 
 def datatype_counts(df: DataFrame, json_fields: Sequence[str] = ()) -> DataFrame:
@@ -39,12 +47,13 @@ def datatype_counts(df: DataFrame, json_fields: Sequence[str] = ()) -> DataFrame
     names = list(declared)
     kinds = {n: list(_JSON_KINDS) if n in json_fields else [declared[n], "void"] for n in names}
     all_kinds = sorted({k for n in names for k in kinds[n]})
+    kind_of = {n: f"__kind{i}" for i, n in enumerate(names) if n in json_fields}
     figures = [F.count(F.lit(1)).alias("size")]
     for i, n in enumerate(names):
         figures.append(F.count(named(n)).alias(f"n{i}"))
         if n in json_fields:
             figures += [
-                F.count_if(_json_kind(n) == k).alias(f"n{i}_{k}") for k in kinds[n]
+                F.count_if(F.col(kind_of[n]) == k).alias(f"n{i}_{k}") for k in kinds[n]
             ]
     rows = []
     for i, n in enumerate(names):
@@ -62,7 +71,7 @@ def datatype_counts(df: DataFrame, json_fields: Sequence[str] = ()) -> DataFrame
             (size - values).alias("isna"),
             *(by_kind.get(k, F.lit(None)).cast("bigint").alias(k) for k in all_kinds),
         ))
-    return df.agg(*figures).select(F.inline(F.array(*rows)))
+    return _with_json_kinds(df, kind_of).agg(*figures).select(F.inline(F.array(*rows)))
 
 
 def field_sets(df1: DataFrame, df2: DataFrame) -> DataFrame:

@@ -121,14 +121,18 @@ def compute_acc_table(
     size of the whole tuple. ``uniform_lengths`` saves that exchange where the caller
     knows the number to be constant in a tuple; a tuple that breaks this, and whose
     result would depend on it, is an error.
+
+    In place of ``expectedresp`` its size ``expectedresp_len`` will do.
     """
     keys = list(tuple_keys)
+    length = "expectedresp_len"
+    sized = F.array_size("expectedresp") if "expectedresp" in df.columns else F.col(length)
     dropped = {*keys, *_SPENT, *_COMPUTED}
     carried = [c for c in (df.columns if carry is None else carry) if c not in dropped]
     rows = (
         df.dropna(subset=keys)
         .transform(add_score_columns)
-        .withColumn("expectedresp_len", F.array_size("expectedresp"))
+        .withColumn(length, sized)
     )
     figures = [c.alias(n) for n, c in _weighted_means(["acc", "bias"], "acc_weight").items()]
     figures.append(F.count(F.lit(1)).alias("tuplelen"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalgrid import constants as K
+from evalgrid.operators.assemble import assemble_trials_and_results_df
 from evalgrid.operators.grouping import base_stats, roll_up, stats_of
 from evalgrid.operators.pivot import pivot_pretty
 from evalgrid.operators.scoring import compute_acc_table
 from evalgrid.session import materialise
-from evalgrid.sources.results import load_and_assemble_trials_and_results, results_files
+from evalgrid.sources.results import load_results_as_dataframe, results_files
+from evalgrid.sources.trials import load_trials_as_dataframe
 
 
 class Report(NamedTuple):
@@ -30,14 +32,22 @@ FINEST = (*PER_PROBLEM, "problemsize")
 _KNOWN_FIELDS = T.StructType([T.StructField("tuple_ID", T.StringType())])
 
 
-def finest_stats(results: DataFrame, uniform_lengths: bool = False) -> DataFrame:
+def finest_stats(results: DataFrame) -> DataFrame:
     """Accuracy and bias moments per prompting, model, problem and size.
 
     All three tables of the report follow from these few rows, so the responses are
     read, joined and reduced once.
     """
-    scores = compute_acc_table(results, carry=FINEST, uniform_lengths=uniform_lengths)
-    return base_stats(scores, FINEST, ("acc", "bias"))
+    return base_stats(compute_acc_table(results, carry=FINEST), FINEST, ("acc", "bias"))
+
+
+def kept_finest_stats(results: DataFrame) -> DataFrame:
+    """``finest_stats`` computed now and kept as a table.
+
+    Its size is that of the label combinations, whatever the number of responses, so it is
+    read as one partition: the steps that follow then need no exchange.
+    """
+    return materialise(finest_stats(results), "finest_stats").coalesce(1)
 
 
 def report_stats(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,7 +64,7 @@ def report_stats(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def analyse_results_df(results: DataFrame) -> Report:
     """The report on assembled trials and responses. Computes the finest statistics now."""
-    base = materialise(finest_stats(results), "finest_stats")
+    base = kept_finest_stats(results)
     overall, accuracy, bias = report_stats(base)
     # the labels of a few rows; knowing them saves each table a look at the statistics
     found = base.agg(*(F.collect_set(c).alias(c) for c in ("prompting", "problemname"))).first()
@@ -71,12 +81,13 @@ def analyse_results_df(results: DataFrame) -> Report:
 def analyse_results_in_testset_dir(spark: SparkSession, testset_dir: str) -> Report:
     """The report on every results file of a test set folder."""
     folder = testset_dir.rstrip("/")
-    files = results_files(spark, f"{folder}/results")
-    assembled = load_and_assemble_trials_and_results(
-        spark,
-        f"{folder}/{K.TESTSET_FILE}",
-        files,
-        include_expname_fields=False,
-        extra=_KNOWN_FIELDS,
+    trials = load_trials_as_dataframe(
+        spark, f"{folder}/{K.TESTSET_FILE}", include_expname_fields=False, extra=_KNOWN_FIELDS
+    )
+    # of the accepted answers only the number goes into the join
+    slim = trials.select(
+        "Key", "tuple_ID", "goldresp", "problemname", "problemsize",
+        F.array_size("expectedresp").alias("expectedresp_len"),
     )
-    return analyse_results_df(assembled)
+    results = load_results_as_dataframe(spark, results_files(spark, f"{folder}/results"))
+    return analyse_results_df(assemble_trials_and_results_df(slim, results))

@@ -18,7 +18,7 @@ import evalgrid as eg
 from evalgrid import constants as K
 from evalgrid import schemas
 from evalgrid.functions import labels, lookups, numbers
-from evalgrid.operators import grouping, scoring
+from evalgrid.operators import scoring
 from evalgrid.plans import analyse
 from evalgrid.plans import derived as D
 from evalgrid.plans import oracle as O
@@ -69,15 +69,24 @@ _PROBLEM = (*_MODEL, "problemname")
 _SIZE = (*_PROBLEM, "problemsize")
 
 
-def _rebalanced(field: str, by: tuple[str, ...], source: str = "acc") -> str:
-    """SQL of the re-balanced statistics, collapsing size first and problem second."""
+def _rebalanced_ctes(
+    field: str, by: tuple[str, ...], source: str = "acc", tag: str = ""
+) -> tuple[list[str], str]:
+    """Common tables collapsing size first and problem second, and the last one's name."""
     steps = [f for f in K.REBALANCED_FIELDS if f not in by]
-    level = [*by, *steps]
-    ctes = [O.level0(source, level, field, "s0")]
-    for n, f in enumerate(steps):
+    level, name = [*by, *steps], f"s{tag}0"
+    ctes = [O.level0(source, level, field, name)]
+    for n, f in enumerate(steps, 1):
         level.remove(f)
-        ctes.append(O.merged(f"s{n}", level, f"s{n + 1}"))
-    return O.query(O.shown(f"s{len(steps)}", by, O.POOLED if steps else O.PLAIN), *ctes)
+        ctes.append(O.merged(name, level, f"s{tag}{n}"))
+        name = f"s{tag}{n}"
+    return ctes, name
+
+
+def _rebalanced(field: str, by: tuple[str, ...], source: str = "acc", *before: str) -> str:
+    """SQL of the re-balanced statistics."""
+    ctes, name = _rebalanced_ctes(field, by, source)
+    return O.query(O.shown(name, by, O.POOLED if len(ctes) > 1 else O.PLAIN), *before, *ctes)
 
 
 @registered(_rebalanced("acc", _MODEL))
@@ -149,12 +158,11 @@ _DOMAIN = ("modelname", "domain", "intraining")
 
 def _by_labels(by: tuple[str, ...], source: str, labelled: str) -> str:
     """SQL of re-balanced accuracy by labels of the trial that an accuracy row kept."""
-    body = _rebalanced("acc", by, "fine")
-    return body.replace(
-        O.BASE,
-        f"{O.BASE},\nfine AS (SELECT a.* EXCLUDE (problemname), t.problemname, {labelled} "
-        f'FROM acc a JOIN {source} t ON t."Key" = a."Key")',
+    fine = (
+        f"fine AS (SELECT a.* EXCLUDE (problemname), t.problemname, {labelled} "
+        f'FROM acc a JOIN {source} t ON t."Key" = a."Key")'
     )
+    return _rebalanced("acc", by, "fine", fine)
 
 
 @registered(
@@ -477,13 +485,7 @@ def _cell(mean: str, sem: str, scale: int, latex: bool = False) -> str:
 
 def _stats_ctes(field: str, by: tuple[str, ...], tag: str = "") -> list[str]:
     """Common tables ending in ``st`` and the tag: re-balanced, rounded statistics."""
-    steps = [f for f in K.REBALANCED_FIELDS if f not in by]
-    level, name = [*by, *steps], f"s{tag}0"
-    ctes = [O.level0("acc", level, field, name)]
-    for n, f in enumerate(steps, 1):
-        level.remove(f)
-        ctes.append(O.merged(name, level, f"s{tag}{n}"))
-        name = f"s{tag}{n}"
+    ctes, name = _rebalanced_ctes(field, by, tag=tag)
     shown = [*by, O.rounded("mean", "mean"), O.rounded("sem", "sem")]
     return [*ctes, f"st{tag} AS (SELECT {', '.join(shown)} FROM {name})"]
 
@@ -540,8 +542,8 @@ def ordered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [new.select("problemname"), old.select("problemname"),
              new.select(F.col("skin").alias("problemname"))]
     counted = eg.stack(names).groupBy("problemname").agg(F.count(F.lit(1)).alias("n"))
-    return eg.sort_for_display(counted).select("problemname", labels.label_rank("problemname", "problemname").alias("label_rank"), "n"
-    )
+    rank = labels.label_rank("problemname", "problemname").alias("label_rank")
+    return eg.sort_for_display(counted).select("problemname", rank, "n")
 
 
 def _heads(cell: str) -> str:
@@ -616,7 +618,8 @@ def pivot_first_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_sql() -> str:
     parts, ctes = [], []
-    for name, field, by in (("overall", "acc", _MODEL), ("accuracy", "acc", _PROBLEM), ("bias", "bias", _PROBLEM)):
+    tables = {"overall": ("acc", _MODEL), "accuracy": ("acc", _PROBLEM), "bias": ("bias", _PROBLEM)}
+    for name, (field, by) in tables.items():
         ctes += _stats_ctes(field, by, f"_{name}_")
         problem = "problemname" if "problemname" in by else "NULL::VARCHAR AS problemname"
         parts.append(
@@ -628,7 +631,7 @@ def _report_sql() -> str:
 @registered(_report_sql())
 def report_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All figures of the standard report out of one pass over the responses."""
-    base = materialise(analyse.finest_stats(assembled(spark, sf_dir)), "finest_stats")
+    base = analyse.kept_finest_stats(assembled(spark, sf_dir))
     named = zip(("overall", "accuracy", "bias"), analyse.report_stats(base), strict=True)
     parts = []
     for name, stats in named:
@@ -760,7 +763,12 @@ def experiment_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.load_as_dataframe(spark, path.rpartition("/")[0]).select("Key", "goldresp", "tuple_ID")
 
 
-@registered(O.query('SELECT "Key", goldresp, problemsize, array_to_string(expectedresp, \'|\') AS expectedresp FROM trials'))
+@registered(
+    O.query(
+        "SELECT \"Key\", goldresp, problemsize, array_to_string(expectedresp, '|') AS expectedresp "
+        "FROM trials"
+    )
+)
 def columns_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the form ``{"column": {"row": value}}``, of 300 rows each."""
     # the block follows the place of a row, so no key makes a block any larger
@@ -1084,7 +1092,8 @@ def random_baseline_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     O.query(
-        "SELECT modelname, count(*) AS n, sum(tuple_ID)::BIGINT AS tuple_sum FROM assembled GROUP BY modelname"
+        "SELECT modelname, count(*) AS n, sum(tuple_ID)::BIGINT AS tuple_sum "
+        "FROM assembled GROUP BY modelname"
     )
 )
 def incremental_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1106,24 +1115,28 @@ def incremental_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profiles, comparison, order -------------------------------------------------------------
 
 
-@registered(
-    "\nUNION ALL ".join(
-        f"SELECT '{c}' AS field, '{t}' AS dtype, count(*) AS size, count({c}) AS count, "
-        f"count(*) - count({c}) AS isna, "
-        + ", ".join(
-            f"{f'nullif(count({c}), 0)' if k == t else f'nullif(count(*) - count({c}), 0)' if k == 'void' else 'NULL::BIGINT'} AS \"{k}\""
-            for k in ("bigint", "double", "int", "string", "void")
+def _profile_sql() -> str:
+    """SQL of the profile of the documents with the labels some of them have."""
+    fields = {
+        "doc_id": "bigint", "lang": "string", "quality": "int", "toxic": "int", "ratio": "double",
+    }
+    parts = []
+    for field, declared in fields.items():
+        values, gaps = f"count({field})", f"count(*) - count({field})"
+        by_type = {t: "NULL::BIGINT" for t in ("bigint", "double", "int", "string")}
+        by_type |= {declared: f"nullif({values}, 0)", "void": f"nullif({gaps}, 0)"}
+        types = ", ".join(f'{n} AS "{t}"' for t, n in by_type.items())
+        parts.append(
+            f"SELECT '{field}' AS field, '{declared}' AS dtype, count(*) AS size, "
+            f"{values} AS count, {gaps} AS isna, {types} FROM sparse"
         )
-        + " FROM sparse"
-        for c, t in (("doc_id", "bigint"), ("lang", "string"), ("quality", "int"), ("toxic", "int"), ("ratio", "double"))
-    ).join(
-        [
-            "WITH sparse AS (SELECT d.doc_id, lang, quality, toxic, quality / n_chars::DOUBLE AS ratio "
-            "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)\n",
-            "",
-        ]
+    return (
+        "WITH sparse AS (SELECT d.doc_id, lang, quality, toxic, quality / n_chars::DOUBLE AS ratio "
+        "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)\n" + "\nUNION ALL ".join(parts)
     )
-)
+
+
+@registered(_profile_sql())
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the labels some of them have."""
     documents, given = D.table(spark, sf_dir, "documents"), D.table(spark, sf_dir, "labels")

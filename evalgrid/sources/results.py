@@ -21,7 +21,6 @@ from evalgrid.sources.records import (
     as_list,
     find_files_ending_in,
     path_exists,
-    read_json,
 )
 from evalgrid.sources.trials import (
     get_trials_file,

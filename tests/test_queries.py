@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from evalgrid.plans import catalog
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 # Random draws: there is no SQL to repeat them, test_tables checks what they must satisfy.
 WITHOUT_SQL = {"random_baseline", "random_baseline_accuracy"}
 
@@ -20,6 +21,8 @@ def duck():
 def test_every_query_has_sql():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -39,12 +39,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[starts[0]:starts[-1]], starts - starts[0]
 
 
-def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(
+    column: pa.Array, size: int = BLOCK, most_rows: int = 4096
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past the last row, bytes, row starts) of runs of whole rows of about ``size`` bytes."""
     data, starts = utf8(column)
     row, rows = 0, len(starts) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(starts, starts[row] + size, "right")) - 1)
+        end = max(row + 1, min(row + most_rows, int(np.searchsorted(starts, starts[row] + size, "right")) - 1))
         yield row, end, data[starts[row]:starts[end]], starts[row:end + 1] - starts[row]
         row = end
 

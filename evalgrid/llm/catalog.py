@@ -1,13 +1,27 @@
 """The operators on training data as queries over the given tables."""
 
-from evalgrid.llm import context_tree, decontamination, language_id, packing, quality, token_counts, url_filter
+from evalgrid.llm import (
+    context_tree,
+    decontamination,
+    html_text,
+    language_id,
+    near_duplicates,
+    packing,
+    quality,
+    rotated_codes,
+    token_counts,
+    url_filter,
+)
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
     "op2_quality": quality.op2_quality,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_html_text": html_text.op4_html_text,
     "op5_language_id": language_id.op5_language_id,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_rotated_codes": rotated_codes.op7_rotated_codes,
+    "op8_jaccard_join": near_duplicates.op8_jaccard_join,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_url_filter": url_filter.op10_url_filter,
 }

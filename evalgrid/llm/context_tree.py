@@ -14,15 +14,19 @@ from evalgrid.llm.common import fold, strings, table
 from evalgrid.session import materialise
 
 #: bytes of context of the deepest trees
-DEPTH = 5
+DEPTH = 6
 #: a context is a node of its own if it precedes one in so many training bytes; else it shares one leaf
-CONTEXTS = 1 << 15
+CONTEXTS = 1 << 19
+#: (context, byte) pairs that the model holds at most, by a coarser choice of contexts where there are more
+MOST_PAIRS = 1_200_000
 #: words of at least one in so many tokens are looked up where the text is, the others by a join
 FREQUENT = 1 << 20
 FOLDS, HELD_OUT = 5, 1
 
 _END = 10  # the byte after each text, and before it as context
 _BLOCK = 4 << 20
+#: distinct n-grams that a task holds before it gives them on
+_HELD_GRAMS = 4_000_000
 _MEMO = 1 << 20
 _LN10 = float(np.log(10))
 
@@ -53,16 +57,33 @@ def _padded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return gram[own], np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their counts."""
+    grams, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    grams, place = np.unique(grams, return_inverse=True)
+    return grams, np.bincount(place, n, len(grams)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, word, n, n_train): counts of words and of training n-grams, a block at a time."""
+    """Rows (gram, word, n, n_train): words and their counts by blocks, training n-grams by tasks."""
+
+    def rows(grams, words, n, n_train):
+        cells = [
+            pa.array(grams, pa.int64()) if grams is not None else pa.nulls(len(n), pa.int64()),
+            pa.array(words, pa.binary()) if words is not None else pa.nulls(len(n), pa.binary()),
+            pa.array(n, pa.int64()), pa.array(n_train, pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(cells, ["gram", "word", "n", "n_train"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         texts, training = batch.column("text"), batch.column("training").to_pylist()
         row = 0
         while row < len(training):
-            held, everywhere, learnt, trained = 0, Counter(), Counter(), []
-            while row < len(training) and held < _BLOCK:
+            size, everywhere, learnt, trained = 0, Counter(), Counter(), []
+            while row < len(training) and size < _BLOCK:
                 words = words_of(texts[row].as_py() or "")
-                held += 8 + sum(map(len, words)) + len(words)
+                size += 8 + sum(map(len, words)) + len(words)
                 # the empty word stands for the end
                 everywhere.update(words)
                 everywhere[b""] += 1
@@ -71,16 +92,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     learnt[b""] += 1
                     trained.append(words)
                 row += 1
-            grams, n = np.unique(_padded(trained)[0], return_counts=True) if trained else (np.zeros(0), np.zeros(0))
             keys = list(everywhere)
-            none = pa.nulls(len(keys), pa.int64())
-            columns = [
-                pa.concat_arrays([pa.array(grams.astype(np.int64)), none]),
-                pa.concat_arrays([pa.nulls(len(grams), pa.binary()), pa.array(keys, pa.binary())]),
-                pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array([everywhere[k] for k in keys], pa.int64())]),
-                pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array([learnt[k] for k in keys], pa.int64())]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "word", "n", "n_train"])
+            yield rows(None, keys, [everywhere[k] for k in keys], [learnt[k] for k in keys])
+            if trained:
+                held.append(np.unique(_padded(trained)[0], return_counts=True))
+            if sum(len(x) for x, _ in held) > _HELD_GRAMS:
+                held = [_summed(held)]
+            if held and len(held[0][0]) > _HELD_GRAMS // 2:
+                grams, n = _summed(held)
+                held = []
+                for at in range(0, len(grams), 100_000):
+                    part = n[at:at + 100_000]
+                    yield rows(grams[at:at + 100_000].astype(np.int64), None, part, part)
+    if held:
+        grams, n = _summed(held)
+        for at in range(0, len(grams), 100_000):
+            part = n[at:at + 100_000]
+            yield rows(grams[at:at + 100_000].astype(np.int64), None, part, part)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -97,52 +125,73 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def _node_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions of a byte (heap order, place 0 unused), from byte counts."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for level in range(7, -1, -1):
-        a, b = 1 << level, 2 << level
-        heap[:, a:b] = heap[:, 2 * a:2 * b:2] + heap[:, 2 * a + 1:2 * b:2]
-    return heap[:, 0:512:2].copy(), heap[:, 1:512:2].copy()
+def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value among sorted ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
 
-def _byte_logs(p_one: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each byte, from the probability of a one at each decision."""
-    out = np.zeros((len(p_one), 256))
-    byte = np.arange(256)
+def _decisions(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The eight binary decisions that make up a byte, from its highest bit: (number from 1 to 255, outcome)."""
     for bit in range(8):
-        node = (1 << bit) | (byte >> (8 - bit))
-        one = (byte >> (7 - bit)) & 1
-        p = p_one[:, node]
-        out += np.log10(np.where(one, p, 1 - p))
-    return out
+        yield (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1
+
+
+def _level(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, zeros, ones) of the decisions met in each context, by context number times 256 plus decision."""
+    keys, ones = [], []
+    for decision, one in _decisions(byte):
+        keys.append(context * 256 + decision)
+        ones.append(one)
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n_one = np.bincount(place, np.concatenate(ones) * np.tile(n, 8), len(found))
+    return found, np.bincount(place, np.tile(n, 8), len(found)) - n_one, n_one
 
 
 @dataclass
 class Model:
-    """Contexts by depth and, for each as the deepest that is known, the log10 probability of a byte."""
+    """Contexts by depth; probabilities of a one at the decisions met in them; log10 of those of bytes met."""
 
     contexts: list[np.ndarray]  # sorted; of each depth from 0
     first: list[int]  # number of a depth's first context
-    logs: np.ndarray  # context by byte
+    nodes: np.ndarray  # context number times 256 plus decision, sorted
+    p_one: np.ndarray
+    pairs: np.ndarray  # context number times 256 plus byte, sorted
+    logs: np.ndarray
 
     def fresh_memo(self) -> tuple[np.ndarray, np.ndarray]:
         return np.full(_MEMO, np.iinfo(np.uint64).max, np.uint64), np.zeros(_MEMO, np.float32)
 
-    def _of(self, gram: np.ndarray) -> np.ndarray:
-        deepest = np.zeros(len(gram), np.int64)
+    def _path(self, gram: np.ndarray) -> np.ndarray:
+        """Numbers of the known contexts of each depth, -1 beyond the deepest."""
+        path = np.full((len(self.contexts), len(gram)), -1)
+        path[0] = 0
         rest = np.arange(len(gram))
         for depth in range(1, len(self.contexts)):
-            known = self.contexts[depth]
-            if not len(known):
-                break
             context = (gram[rest] >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-            at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-            hit = known[at] == context
+            at, hit = _found(self.contexts[depth], context)
             rest, at = rest[hit], at[hit]
-            deepest[rest] = self.first[depth] + at
-        return self.logs[deepest, (gram & np.uint64(255)).astype(np.int64)]
+            path[depth, rest] = self.first[depth] + at
+        return path
+
+    def _of(self, gram: np.ndarray) -> np.ndarray:
+        path, byte = self._path(gram), (gram & np.uint64(255)).astype(np.int64)
+        at, hit = _found(self.pairs, path.max(0) * 256 + byte)
+        out = np.where(hit, self.logs[at] if len(self.logs) else 0, 0).astype(np.float64)
+        # a byte not met in the deepest context: each decision is that of the deepest one that met it
+        rest = np.flatnonzero(~hit)
+        for decision, one in _decisions(byte[rest]):
+            p, open_ = np.full(len(rest), 0.5), np.ones(len(rest), bool)
+            for depth in range(len(self.contexts) - 1, -1, -1):
+                own = path[depth, rest]
+                at, met = _found(self.nodes, own * 256 + decision)
+                met &= open_ & (own >= 0)
+                p[met] = self.p_one[at[met]]
+                open_ &= ~met
+            out[rest] += np.log10(np.where(one, p, 1 - p))
+        return out
 
     def score(self, gram: np.ndarray, memo: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 of each byte's probability; ``memo`` keeps what was looked up last for each slot."""
@@ -151,12 +200,13 @@ class Model:
         out = values[slot].astype(np.float64)
         miss = np.flatnonzero(keys[slot] != gram)
         if len(miss):
-            found = self._of(gram[miss])
-            out[miss] = found
+            wanted, place = np.unique(gram[miss], return_inverse=True)
+            found = self._of(wanted)
+            out[miss] = found[place]
             # keys and values of a slot that is written twice must be of the same n-gram
             slots, last = np.unique(slot[miss], return_index=True)
             keys[slots] = gram[miss][last]
-            values[slots] = found[last]
+            values[slots] = out[miss][last]
         return out
 
 
@@ -165,73 +215,91 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
 
     At each node, the evidence of its own KT estimate is weighed against that of its known child
     contexts and of one more leaf that all its other contexts share. The mixture of all depths on
-    the path to a context is then one estimate for each decision there.
+    the path to a context is then one estimate for each decision met there.
     """
-    contexts, counts = [], []
+    contexts, rows, tables = [], [], []
     for depth, (context, byte, n) in enumerate(levels):
         known = np.unique(context) if depth else np.zeros(1, np.uint64)
-        x = np.zeros((len(known), 256))
-        x[np.searchsorted(known, context), byte] = n
+        if depth and not len(known):
+            break
+        number = np.searchsorted(known, context)
         contexts.append(known)
-        counts.append(x)
-    while len(contexts) > 1 and not len(contexts[-1]):
-        contexts.pop()
-        counts.pop()
+        rows.append(number * 256 + byte)
+        tables.append(_level(number, byte, n))
+    # where a node's parent, the same decision in the context without its oldest byte, is in its table
+    parents: list = [None]
+    for depth in range(1, len(contexts)):
+        keys = tables[depth][0]
+        up = np.searchsorted(contexts[depth - 1], contexts[depth] & np.uint64((1 << 8 * (depth - 1)) - 1))
+        parents.append(np.searchsorted(tables[depth - 1][0], up[keys >> 8] * 256 + (keys & 255)))
     weights: list = [None] * len(contexts)
-    log_pw = None
+    log_pw = np.zeros(0)
     for depth in range(len(contexts) - 1, -1, -1):
-        zeros, ones = _node_counts(counts[depth])
+        _, zeros, ones = tables[depth]
         log_pe = _log_kt(zeros, ones)
-        if log_pw is None:
-            weights[depth] = (np.ones_like(zeros, np.float32), np.full(zeros.shape, 0.5, np.float32))
-            log_pw = log_pe
-            continue
-        parent = np.searchsorted(contexts[depth], contexts[depth + 1] & np.uint64((1 << 8 * depth) - 1))
-        other = counts[depth].copy()
-        np.subtract.at(other, parent, counts[depth + 1])
-        other_zeros, other_ones = _node_counts(other)
-        below = _log_kt(other_zeros, other_ones)
-        np.add.at(below, parent, log_pw)
-        w = 1 / (1 + np.exp(np.clip(below - log_pe, -700, 700)))
-        leaf = np.bincount(parent, minlength=len(zeros)) == 0
-        w[leaf] = 1
-        # a context that was never seen here says nothing against the estimate without it
+        other_zeros, other_ones, below = zeros.copy(), ones.copy(), np.zeros(len(zeros))
+        leaf = np.ones(len(zeros), bool)
+        if depth + 1 < len(contexts):
+            _, child_zeros, child_ones = tables[depth + 1]
+            parent = parents[depth + 1]
+            other_zeros -= np.bincount(parent, child_zeros, len(zeros))
+            other_ones -= np.bincount(parent, child_ones, len(zeros))
+            below = np.bincount(parent, log_pw, len(zeros))
+            leaf[parent] = False
+        below += _log_kt(other_zeros, other_ones)
+        w = np.where(leaf, 1.0, 1 / (1 + np.exp(np.clip(below - log_pe, -700, 700))))
+        # other contexts that were never met say nothing against the estimate without them
         rest = (other_ones + 0.5) / (other_zeros + other_ones + 1)
         rest = np.where(other_zeros + other_ones > 0, rest, (ones + 0.5) / (zeros + ones + 1))
-        weights[depth] = (w.astype(np.float32), rest.astype(np.float32))
-        log_pw = np.where(leaf[:, None], log_pe, np.log(0.5) + np.logaddexp(log_pe, below))
-    logs, first, total = [], [], 0
+        weights[depth] = (w, rest)
+        log_pw = np.where(leaf, log_pe, np.log(0.5) + np.logaddexp(log_pe, below))
+    nodes, p_one, pairs, logs, first, total = [], [], [], [], [], 0
+    before, remaining = np.zeros(len(tables[0][0])), np.ones(len(tables[0][0]))
     for depth, known in enumerate(contexts):
-        zeros, ones = _node_counts(counts[depth])
-        kt = (ones + 0.5) / (zeros + ones + 1)
+        keys, zeros, ones = tables[depth]
         w, rest = weights[depth]
         if depth:
-            parent = np.searchsorted(contexts[depth - 1], known & np.uint64((1 << 8 * (depth - 1)) - 1))
-            before, remaining, fallback = before[parent], remaining[parent], fallback[parent]
-        else:
-            before, remaining, fallback = np.zeros_like(kt), np.ones_like(kt), np.full_like(kt, 0.5)
-        seen = zeros + ones > 0
-        # a decision never met in this context is left to the shorter ones
-        p = np.where(seen, before + remaining * (w * kt + (1 - w) * rest), fallback)
-        logs.append(_byte_logs(np.clip(p, 1e-12, 1 - 1e-12)).astype(np.float32))
+            before, remaining = before[parents[depth]], remaining[parents[depth]]
+        own = before + remaining * w * (ones + 0.5) / (zeros + ones + 1)
+        p = np.clip(own + remaining * (1 - w) * rest, 1e-12, 1 - 1e-12)
+        before, remaining = own, remaining * (1 - w)
+        log = np.zeros(len(rows[depth]))
+        for decision, one in _decisions(rows[depth] & 255):
+            q = p[np.searchsorted(keys, (rows[depth] >> 8) * 256 + decision)]
+            log += np.log10(np.where(one, q, 1 - q))
+        nodes.append(keys + total * 256)
+        p_one.append(p.astype(np.float32))
+        order = np.argsort(rows[depth])
+        pairs.append(rows[depth][order] + total * 256)
+        logs.append(log[order].astype(np.float32))
         first.append(total)
         total += len(known)
-        before, remaining, fallback = before + remaining * w * kt, remaining * (1 - w), p
-    return Model(contexts, first, np.concatenate(logs))
+    return Model(contexts, first, *map(np.concatenate, (nodes, p_one, pairs, logs)))
 
 
-def fit(grams: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """The model of all counted n-grams (gram, n). Per depth at most ``contexts`` contexts are nodes
-    of their own, with 256 bytes each: that bounds what the driver gets. The others' counts stay in
-    the leaf they share."""
+def fit(grams: DataFrame, contexts: int = CONTEXTS, most_pairs: int = MOST_PAIRS) -> Model:
+    """The model of all counted n-grams (gram, n).
+
+    A context is known if it precedes at least one in ``contexts`` training bytes, so per depth at most
+    that many are; the number is halved until the known contexts' pairs with the byte after them are
+    at most ``most_pairs``. That bounds what the driver gets. Other contexts' counts stay in the leaf they
+    share.
+    """
     bits = [(1 << 8 * (d + 1)) - 1 for d in range(DEPTH + 1)]
     level = F.explode(F.array(*[
         F.struct(F.lit(d).alias("depth"), F.col("gram").bitwiseAND(F.lit(m)).alias("key")) for d, m in enumerate(bits)
     ])).alias("level")
     levels = grams.select(level, "n").groupBy("level.depth", "level.key").agg(F.sum("n").alias("n"))
-    levels = materialise(levels.withColumn("context", F.shiftrightunsigned("key", 8)), "context_counts")
+    levels = materialise(levels.withColumn("context", F.shiftrightunsigned("key", 8)), "byte_counts")
     total = levels.where("depth = 0").agg(F.sum("n")).first()[0] or 0
-    known = levels.groupBy("depth", "context").agg(F.sum("n").alias("seen")).where(F.col("seen") * contexts >= total)
+    seen = materialise(
+        levels.groupBy("depth", "context").agg(F.sum("n").alias("seen"), F.count("*").alias("pairs")), "context_counts"
+    )
+    while True:
+        known = seen.where(F.col("seen") * contexts >= total)
+        if (known.agg(F.sum("pairs")).first()[0] or 0) <= most_pairs or contexts <= 1:
+            break
+        contexts //= 2
     kept = levels.join(known.select("depth", "context"), ["depth", "context"], "left_semi")
     kept = kept.select("depth", "key", "n").toArrow()
     depth, key, n = (kept.column(c).to_numpy() for c in ("depth", "key", "n"))

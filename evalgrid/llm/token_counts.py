@@ -2,6 +2,7 @@
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -17,7 +18,7 @@ TABLE_ROWS = 32_768
 #: pre-tokens that a batch names as frequent; all are counted before
 _NAMED = 4_096
 #: pre-tokens that a worker's cache holds before it starts anew
-_CACHE_ROWS = 400_000
+_CACHE_ROWS = 300_000
 _LONGEST = 64
 
 
@@ -49,11 +50,18 @@ def frequent_pretokens(docs: DataFrame, rows: int = TABLE_ROWS) -> list[bytes]:
 
 
 class _Lengths(dict):
-    """Pre-token to its number of tokens; grows by what it is asked, back to ``first`` when full."""
+    """Pre-token to its number of tokens; grows by what it is asked, back to ``first`` when full.
 
-    def __init__(self, tokenizer, first: dict[bytes, int]):
-        super().__init__(first)
-        self.tokenizer, self.first = tokenizer, first
+    A worker keeps it from task to task.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer, self.first = _tokenizer(path), {}
+
+    def begin_with(self, first: dict[bytes, int]) -> None:
+        if first != self.first:
+            self.first = first
+            self.update(first)
 
     def learn(self, pieces: set[bytes]) -> None:
         missing = list(pieces - self.keys())
@@ -65,6 +73,11 @@ class _Lengths(dict):
         self.update(zip(missing, map(len, found), strict=True))
 
 
+@cache
+def _lengths_of(path: str) -> _Lengths:
+    return _Lengths(path)
+
+
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -93,10 +106,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_rows: int
     lengths = spark.sparkContext.broadcast((frequent, bytes(min(len(x), 255) for x in encoded)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        known = _lengths_of(path)
+        tokenizer = known.tokenizer
         added = [x.content.lower().encode() for x in tokenizer.get_added_tokens_decoder().values()]
         pieces, sizes = lengths.value
-        known = _Lengths(tokenizer, {p: n for p, n in zip(pieces, sizes, strict=True) if n < 255})
+        known.begin_with({p: n for p, n in zip(pieces, sizes, strict=True) if n < 255})
         for batch in batches:
             texts = strings(batch.column("text"))
             n_tokens, waiting, held = [0] * len(texts), [], 0

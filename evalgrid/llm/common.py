@@ -1,6 +1,6 @@
 """Helpers the language-model data operators share: tables, folds, Arrow text blocks."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +118,13 @@ def seen_once(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep = np.ones(len(rows), bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     return rows[keep], values[keep]
+
+
+def keep_rows(rows: DataFrame, wanted: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, that a function of a batch says are wanted. Nothing is shuffled."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch), pa.bool_()))
+
+    return rows.mapInArrow(keep, rows.schema)

@@ -238,6 +238,20 @@ def without_spans(found: DataFrame) -> DataFrame:
     return found.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(names).schema))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows with all columns, ``text`` without the spans that ``find_contamination`` finds.
+
+    ``n_chars``, where there is one that holds integers, is the length of the text that is left.
+    """
+    aside = {c: f"{c} of the document" for c in ("n_words", "spans", "items") if c in docs.columns}
+    cut = without_spans(find_contamination(docs.withColumnsRenamed(aside), benchmark, window))
+    cut = cut.withColumnsRenamed({new: old for old, new in aside.items()})
+    if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.typeName() in ("integer", "long"):
+        length = F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", length)
+    return cut
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return report(find_contamination(docs, table(spark, sf_dir, "benchmark")))

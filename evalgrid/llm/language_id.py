@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import fold, strings, table
+from evalgrid.llm.common import fold, keep_rows, strings, table
 
 #: features; n-grams are hashed into them
 FEATURES = 1 << 15
@@ -17,6 +17,8 @@ NGRAMS = (1, 2, 3)
 PER_LANGUAGE = 600
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
+#: a text whose language is less probable than this is in no known one
+LEAST_SCORE = 0.5
 
 _EPOCHS, _ALPHA, _BETA, _L1, _L2 = 3, 0.5, 1.0, 0.02, 0.002
 _SCALE = 20.0
@@ -200,6 +202,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all columns, that ``identify`` gives a language with at least ``least_score``.
+
+    All stay if nothing could be learnt.
+    """
+    if not model.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def identified(batch: pa.RecordBatch) -> np.ndarray:
+        names, scores = shared.value.predict(strings(batch.column("text")))
+        return (np.array(names, object) != UNKNOWN) & (scores >= least_score)
+
+    return keep_rows(docs, identified)
+
+
 def learn_and_identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learnt from the rows outside the held-out fold."""
     held_out = fold("doc_id", FOLDS) == HELD_OUT

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalgrid.llm.common import blocks, byte_set, lower_table, mix, run_hashes, runs, table
@@ -144,26 +144,9 @@ def _verifier(words: int, similarity: float):
     return verify
 
 
-def join_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links of every row.
-
-    Two rows are linked if the Jaccard similarity of their sets of ``words``-word runs is at least
-    ``similarity``; words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters, and
-    a text of fewer words is one run. ``n_links`` is the number of rows a row is linked to, ``class_id``
-    the least doc_id of those it is tied to by links, over however many steps.
-
-    Rows of one set are first made one, so copies are counted, not compared. Sets that agree in a
-    MinHash band (bands and rows chosen for ``recall`` at ``similarity``) become one candidate group.
-    A group's texts are dealt to blocks, each two blocks are compared by their whole sets in one task,
-    which returns counts and a tree of links for each, not pairs. What is shuffled with its text is
-    only what has a candidate, after copies are dropped where they are read.
-
-    NULL texts and texts without words are linked to none and their own class. Rows of one NULL or
-    repeated doc_id are rows of their own; a class of NULL ids only has id NULL. Other columns are ignored.
-    No documents, no rows.
-    """
+def _classes(docs: DataFrame, words: int, similarity: float, recall: float) -> DataFrame:
+    """text_key, component, class_id, n_links of the texts of linked rows of ``docs`` (doc_id, text, text_key)."""
     bands, rows = bands_and_rows(similarity, recall)
-    docs = docs.select("doc_id", "text", F.md5("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.mapInArrow(
         _signer(words, bands, rows), f"doc_id {kind}, text_key string, set_key binary, bands array<long>"
@@ -205,13 +188,59 @@ def join_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     known = materialise(known, "linked")
     named = known.groupBy("component").agg(F.min("least").alias("class_id"))
     by_text = texts.select("text_key", "set_key").join(known.join(named, "component"), "set_key")
-    by_text = materialise(by_text.select("text_key", "class_id", "n_links", F.lit(True).alias("in_class")), "classes")
-    found = docs.select("doc_id", "text_key").join(by_text, "text_key", "left")
+    return materialise(by_text.select("text_key", "component", "class_id", "n_links"), "classes")
+
+
+def join_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links of every row.
+
+    Two rows are linked if the Jaccard similarity of their sets of ``words``-word runs is at least
+    ``similarity``; words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters, and
+    a text of fewer words is one run. ``n_links`` is the number of rows a row is linked to, ``class_id``
+    the least doc_id of those it is tied to by links, over however many steps.
+
+    Rows of one set are first made one, so copies are counted, not compared. Sets that agree in a
+    MinHash band (bands and rows chosen for ``recall`` at ``similarity``) become one candidate group.
+    A group's texts are dealt to blocks, each two blocks are compared by their whole sets in one task,
+    which returns counts and a tree of links for each, not pairs. What is shuffled with its text is
+    only what has a candidate, after copies are dropped where they are read.
+
+    NULL texts and texts without words are linked to none and their own class. Rows of one NULL or
+    repeated doc_id are rows of their own; a class of NULL ids only has id NULL. Other columns are ignored.
+    No documents, no rows.
+    """
+    docs = docs.select("doc_id", "text", F.md5("text").alias("text_key"))
+    classes = _classes(docs, words, similarity, recall).withColumn("in_class", F.lit(True))
+    found = docs.select("doc_id", "text_key").join(classes, "text_key", "left")
     return found.select(
         "doc_id", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row, with all columns, of each class of ``join_similar``: that of the least doc_id, a NULL id being
+    the greatest, then of the least digest of its text. Of rows equal in both, any one."""
+    key = _free_name("text_key", docs.columns)
+    keyed = docs.withColumn(key, F.md5("text"))
+    classes = _classes(keyed.select("doc_id", "text", F.col(key).alias("text_key")), words, similarity, recall)
+    members = keyed.select("doc_id", F.col(key).alias("text_key")).join(classes.select("text_key", "component"), "text_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))).alias("first")
+    firsts = materialise(members.groupBy("component").agg(first).select("first.doc_id", "first.text_key"), "kept")
+    alone = keyed.join(classes.select(F.col("text_key").alias(key)), key, "left_anti")
+    same = [keyed[key] == firsts["text_key"], keyed["doc_id"].eqNullSafe(firsts["doc_id"])]
+    chosen = keyed.join(firsts, same, "left_semi")
+    one = _free_name("one", docs.columns)
+    chosen = chosen.withColumn(one, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(1))))
+    chosen = chosen.where(F.col(one) == 1)
+    return alone.select(docs.columns).union(chosen.select(docs.columns))
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import blocks, byte_set, fold, lower_table, run_hashes, runs, table
+from evalgrid.llm.common import blocks, byte_set, fold, keep_rows, lower_table, run_hashes, runs, table
 
 FOLDS, HELD_OUT = 5, 0
 #: labelled documents of each label that vote, on average
@@ -90,6 +90,11 @@ class Model:
         return np.where(total > 0, np.clip(votes / np.where(total > 0, total, 1), 0, 1), self.prior)
 
 
+    def score_texts(self, texts: pa.Array, neighbours: int) -> np.ndarray:
+        parts = [self.score(term_shares(data, starts), neighbours) for _, _, data, starts in blocks(texts, _BLOCK, _BLOCK_ROWS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -161,11 +166,7 @@ def score_quality(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [
-                shared.value.score(term_shares(data, starts), neighbours)
-                for _, _, data, starts in blocks(batch.column("text"), _BLOCK, _BLOCK_ROWS)
-            ]
-            scores = np.concatenate(scores) if scores else np.zeros(0)
+            scores = shared.value.score_texts(batch.column("text"), neighbours)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"],
@@ -175,6 +176,12 @@ def score_quality(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, t
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all columns, that ``score_quality`` predicts as 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda batch: shared.value.score_texts(batch.column("text"), neighbours) >= threshold)
+
+
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from labels outside the held-out fold."""
     held_out = fold("doc_id", FOLDS) == HELD_OUT

@@ -4,11 +4,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evalgrid.functions import lookups as L
 from evalgrid.functions.numbers import ratio, total
-from evalgrid.operators.skew import HOT_ROWS, with_group_totals
+from evalgrid.operators.skew import with_group_totals
 
 TUPLE_KEYS = ("modelname", "tuple_ID")
 
@@ -26,26 +27,24 @@ def add_score_columns(df: DataFrame) -> DataFrame:
     })
 
 
-def with_group_size(
-    df: DataFrame, by: Sequence[str] = TUPLE_KEYS, name: str = "tuplelen", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def with_group_size(df: DataFrame, by: Sequence[str] = TUPLE_KEYS, name: str = "tuplelen") -> DataFrame:
     """Add the number of rows of each row's group, rows without response included."""
-    return with_group_totals(df, by, {name: F.count(F.lit(1))}, hot_rows)
+    return with_group_totals(df, by, {name: F.count(F.lit(1))})
 
 
 def with_group_minimum(
-    df: DataFrame, by: Sequence[str], field: str, name: str | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], field: str, name: str | None = None
 ) -> DataFrame:
     """Replace ``field`` (or add ``name``) by its minimum in the row's group."""
-    return with_group_totals(df, by, {name or field: F.min(field).cast("double")}, hot_rows)
+    return with_group_totals(df, by, {name or field: F.min(field).cast("double")})
 
 
 def filter_complete_tuples(
-    df: DataFrame, tuple_keys: Sequence[str] = TUPLE_KEYS, hot_rows: int = HOT_ROWS
+    df: DataFrame, tuple_keys: Sequence[str] = TUPLE_KEYS
 ) -> DataFrame:
     """Keep the rows whose tuple has as many rows as the row has accepted answers."""
     return (
-        with_group_size(df, tuple_keys, "tuplelen", hot_rows)
+        with_group_size(df, tuple_keys, "tuplelen")
         .withColumn("expectedresp_len", F.array_size("expectedresp"))
         .where(F.col("tuplelen") == F.col("expectedresp_len"))
     )
@@ -71,11 +70,10 @@ def transform_into_weighted_mean(
     by: Sequence[str],
     fields: Sequence[str] | str,
     weightfield: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Replace each field by its weighted mean in the row's group; keeps every row."""
     fields = [fields] if isinstance(fields, str) else list(fields)
-    return with_group_totals(df, by, _weighted_means(fields, weightfield), hot_rows)
+    return with_group_totals(df, by, _weighted_means(fields, weightfield))
 
 
 def row_order(df: DataFrame) -> Column:
@@ -84,6 +82,41 @@ def row_order(df: DataFrame) -> Column:
     return F.struct(*map(L.named, names or sorted(df.columns)))
 
 
+# Columns that tell the rows of a file apart, in the order that counts.
+_PLACES = ("EXP_i", "Key")
+# 65 bits for each of them: a 64-bit number, or the one below all of them for NULL.
+_LOWEST, _RANGE = -(1 << 63) - 1, 1 << 65
+
+
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
+def _place(names: Sequence[str]) -> Column:
+    """One number that orders rows like their (EXP_i, Key), or what there is of them.
+
+    A hash aggregate can keep the least of such numbers, but not of structs. Row numbers
+    are not negative.
+    """
+    place = _number(0)
+    if "EXP_i" in names:
+        place = F.coalesce(F.col("EXP_i"), F.lit(-1)).cast("decimal(38,0)")
+    if "Key" in names:
+        key = F.coalesce(F.col("Key").cast("decimal(38,0)"), _number(_LOWEST)) - _number(_LOWEST)
+        place = (place * _number(_RANGE)).cast("decimal(38,0)") + key
+    return place.cast("decimal(38,0)")
+
+
+def _from_place(place: Column, names: Sequence[str]) -> dict[str, Column]:
+    """The columns out of their number."""
+    key = F.pmod(place, _number(_RANGE))
+    found = {"Key": F.nullif(key + _number(_LOWEST), _number(_LOWEST)).cast("bigint")}
+    if "Key" in names:
+        place = F.call_function("div", (place - key).cast("decimal(38,0)"), _number(_RANGE))
+    found["EXP_i"] = F.nullif(place.cast("bigint"), F.lit(-1).cast("bigint"))
+    return {n: found[n] for n in names}
+
+
 def first_row_per_group(
     df: DataFrame, by: Sequence[str] = TUPLE_KEYS, order: Column | None = None
 ) -> DataFrame:
@@ -99,6 +132,15 @@ def first_row_per_group(
     )
 
 
+def _groupable(kind: T.DataType) -> bool:
+    """Whether Spark can group by a column of this type."""
+    if isinstance(kind, T.ArrayType):
+        return _groupable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_groupable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def compute_acc_table(
     df: DataFrame,
     filter_incomplete_tuples: bool = True,
@@ -134,28 +176,65 @@ def compute_acc_table(
         .transform(add_score_columns)
         .withColumn(length, sized)
     )
+    complete = F.col("tuplelen") == F.col("expectedresp_len")
+    sizes = ["tuplelen", "expectedresp_len"] if filter_incomplete_tuples else []
+    places = [c for c in _PLACES if c in df.columns]
+    plain = all(isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType)) for c in places)
+    kinds = [df.schema[c].dataType for c in carried if c in df.columns]
+    if carried and not uniform_lengths and places and plain and all(map(_groupable, kinds)):
+        kept = _reduce_in_steps(rows, keys, carried, places, filter_incomplete_tuples)
+        return kept.select(*keys, *carried, *sizes, "acc", "bias")
+
     figures = [c.alias(n) for n, c in _weighted_means(["acc", "bias"], "acc_weight").items()]
     figures.append(F.count(F.lit(1)).alias("tuplelen"))
     if carried:
         figures.append(F.min_by(F.struct(*map(L.named, carried)), row_order(df)).alias("__first"))
-    complete = F.col("tuplelen") == F.col("expectedresp_len")
-
     if not filter_incomplete_tuples:
         kept = rows.groupBy(*keys).agg(*figures).drop("tuplelen")
-        sizes = []
     elif uniform_lengths:
         kept = _keep_uniform(rows, keys, figures)
-        sizes = ["tuplelen", "expectedresp_len"]
     else:
         # one row per tuple and number of answers is left, so this window is narrow
         whole = F.sum("tuplelen").over(Window.partitionBy(*keys))
         reduced = rows.groupBy(*keys, "expectedresp_len").agg(*figures)
         kept = reduced.withColumn("tuplelen", whole).where(complete)
-        sizes = ["tuplelen", "expectedresp_len"]
     firsts = [F.col("__first")[c].alias(c) for c in carried]
     return kept.select(*keys, *firsts, *sizes, "acc", "bias")
 
 
+def _reduce_in_steps(
+    rows: DataFrame, keys: Sequence[str], carried: Sequence[str], places: Sequence[str], complete_only: bool
+) -> DataFrame:
+    """Tuples out of rows, with nothing in the first step that a hash aggregate cannot keep.
+
+    Rows of a tuple mostly agree in what is carried, so that is part of the first step's
+    key; its few rows per tuple are then put together, the first row's fields by its place.
+    """
+    length = "expectedresp_len"
+    fixed = [c for c in carried if c not in places]
+    file = [c for c in ("prompting",) if c in rows.columns and c not in (*fixed, *keys)]
+    weight = F.col("acc_weight").cast("double")
+    part = rows.groupBy(*keys, length, *fixed, *file).agg(
+        F.count(F.lit(1)).alias("tuplelen"), F.sum(weight).alias("__weights"),
+        *(F.sum(F.col(f) * F.col("acc_weight")).alias(f"__{f}") for f in ("acc", "bias")),
+        F.min(_place(places)).alias("__place"),
+    )
+    if complete_only:
+        whole = F.sum("tuplelen").over(Window.partitionBy(*keys))
+        part = part.withColumn("tuplelen", whole).where(F.col("tuplelen") == F.col(length))
+    prompting = [c for c in ("prompting",) if c in part.columns]
+    order = F.struct(*prompting, "__place")
+    first = F.min_by(F.struct(*map(L.named, fixed), "__place"), order)
+    weights = F.sum("__weights")
+    kept = part.groupBy(*keys).agg(
+        first.alias("__first"), F.max("tuplelen").alias("tuplelen"), F.max(length).alias(length),
+        *(ratio(total(F.col(f"__{f}")), weights).alias(f) for f in ("acc", "bias")),
+    )
+    found = _from_place(F.col("__first")["__place"], places)
+    fields = {c: F.col("__first")[c] for c in fixed} | {c: found[c] for c in carried if c in places}
+    return kept.select(*keys, *(x.alias(c) for c, x in fields.items()), "tuplelen", length, "acc", "bias")
+
+
 def _keep_uniform(rows: DataFrame, keys: Sequence[str], figures: Sequence[Column]) -> DataFrame:
     """Complete tuples, on the understanding that each has one number of answers."""
     size, shortest, longest = F.col("tuplelen"), F.col("expectedresp_len"), F.col("__longest")

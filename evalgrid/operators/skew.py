@@ -2,12 +2,10 @@
 
 A window over the group would send all rows of a group to one task. Here the
 figures come from an aggregate, which combines on the map side, and travel back to
-the rows by joins that no large group can overload:
-
-* groups of at least ``hot_rows`` rows number at most (rows / hot_rows), whatever
-  the data looks like, so their figures can be broadcast;
-* the rows of those groups then get a random salt that no other row has, which
-  spreads them over all tasks in the ordinary join that serves the small groups.
+the rows by a join. A group that fills a partition of that join is split among
+tasks by Spark's adaptive skew join, whatever its rows hold, equal ones included:
+only the one row of figures is repeated. No other column takes part in either
+exchange than the caller goes on to use.
 """
 
 from collections.abc import Mapping, Sequence
@@ -17,43 +15,13 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.lookups import named
 
-HOT_ROWS = 5_000_000
-_SALTS = 4096
-_SIZE, _SALT, _HOT = "__size", "__salt", "__hot"
-
 
-def with_group_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    totals: Mapping[str, Column],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def with_group_totals(df: DataFrame, by: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Add to each row the aggregates ``totals`` of its group.
 
     Rows with a NULL key belong to no group and get NULL.
     """
     by = list(by)
-    figures = F.struct(*(F.col(n) for n in totals))
-    groups = (
-        df.dropna(subset=by)
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias(_SIZE), *(a.alias(n) for n, a in totals.items()))
-    )
-    hot = groups.where(F.col(_SIZE) >= hot_rows).select(*by, figures.alias(_HOT))
-    # always 0, but not a literal: the planner would drop that from the join key
-    no_salt = (F.col(_SIZE) < 1).cast("int")
-    rest = groups.where(F.col(_SIZE) < hot_rows).select(
-        *by, no_salt.alias(_SALT), figures.alias("__cold")
-    )
-    settled = F.col(_HOT).isNotNull()
-    for key in by:
-        settled = settled | F.col(key).isNull()
-    spread = F.when(settled, 1 + F.pmod(F.xxhash64(F.struct(*map(named, df.columns))), F.lit(_SALTS)).cast("int"))
-    kept = df.drop(*totals).columns
-    return (
-        df.join(F.broadcast(hot), by, "left")
-        .withColumn(_SALT, F.coalesce(spread, F.lit(0)))
-        .join(rest, [*by, _SALT], "left")
-        .withColumn(_HOT, F.coalesce(_HOT, "__cold"))
-        .select(*map(named, kept), *(F.col(_HOT)[n].alias(n) for n in totals))
-    )
+    groups = df.dropna(subset=by).groupBy(*by).agg(*(a.alias(n) for n, a in totals.items()))
+    kept = df.drop(*totals)
+    return kept.join(groups, by, "left").select(*map(named, kept.columns), *map(named, totals))

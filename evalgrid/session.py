@@ -19,17 +19,37 @@ def _single_machine_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; a local one only where none is named (tests)."""
-    return (spark.conf.get(_CONF, None) or _single_machine_folder()).rstrip("/")
+    """The folder that the session names in ``spark.checkpoint.dir``, or its context as checkpoint folder.
+
+    Where neither is set, a temporary folder serves if all runs in one process; on a cluster
+    it would not be shared, so that is an error.
+    """
+    named = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{_CONF} has to name a folder that driver and executors share, on {master}")
+        named = _single_machine_folder()
+    return named.rstrip("/")
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/evalgrid/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never reused, so readers stay valid.
 
-    All paths of an application share one folder, to be removed when it has ended.
+    All paths of an application share one folder; ``remove_scratch`` removes it.
     """
-    application = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/evalgrid/{application}/{uuid.uuid4().hex}/{name}"
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove what this application has kept; tables that were read from it are void then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -156,48 +156,91 @@ def test_acc_table_equals_the_windowed_form(spark):
     assert set(actual) == expected
 
 
-@pytest.mark.parametrize("hot_rows", [1, 50, 10**9])
-def test_group_figures_do_not_depend_on_the_size_limit(spark, hot_rows):
+def test_group_figures_return_to_the_rows(spark):
     df = random_rows(spark).transform(add_score_columns)
     tuples = Window.partitionBy("modelname", "tuple_ID")
-    sized = with_group_size(df, hot_rows=hot_rows)
+    sized = with_group_size(df)
     assert sized.count() == df.count()
     expected = df.withColumn("n", F.when(F.col("tuple_ID").isNotNull(), F.count(F.lit(1)).over(tuples)))
     assert {(r.Key, r.tuplelen) for r in sized.collect()} == {(r.Key, r.n) for r in expected.collect()}
 
-    complete = filter_complete_tuples(df, hot_rows=hot_rows)
+    complete = filter_complete_tuples(df)
     assert {r.Key for r in complete.collect()} == {
         r.Key for r in expected.where(F.col("n") == F.size("expectedresp")).collect()
     }
 
-    means = transform_into_weighted_mean(df, ["tuple_ID"], "acc", "acc_weight", hot_rows=hot_rows)
+    means = transform_into_weighted_mean(df, ["tuple_ID"], "acc", "acc_weight")
     grouped = weighted_means_by_group(df, ["tuple_ID"], "acc", "acc_weight")
     by_tuple = {r.tuple_ID: r.acc for r in grouped.collect()}
     for r in means.collect():
         assert r.acc == pytest.approx(by_tuple.get(r.tuple_ID))
 
-    low = with_group_minimum(df, ["tuple_ID"], "Key", "low", hot_rows=hot_rows)
+    low = with_group_minimum(df, ["tuple_ID"], "Key", "low")
     first = first_row_per_group(df.select("tuple_ID", "Key", "resp"), ["tuple_ID"])
     keys = {r.tuple_ID: r.Key for r in first.collect()}
     assert all(r.low == keys.get(r.tuple_ID) for r in low.collect())
 
 
-def test_rows_of_a_large_group_are_spread(spark):
-    """The salt has to survive planning, or the large group ends up in one task."""
-    rows = spark.range(100_000).select(
-        F.lit("m").alias("modelname"), (F.col("id") % 2).alias("tuple_ID"), F.col("id").alias("Key")
+@pytest.fixture
+def small_partitions(spark):
+    """Partitions count as skewed from a few KB on, and nothing is broadcast."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    }
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k in wanted:
+        spark.conf.unset(k)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_group_of_equal_rows_is_split(spark, small_partitions):
+    rows = spark.range(0, 100_000, 1, 8).select(
+        F.lit("m").alias("modelname"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("tuple_ID")
     )
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        sized = with_group_size(rows, hot_rows=1000)
-        sizes = [
-            r["count"] for r in sized.groupBy(F.spark_partition_id()).count().collect()
-        ]
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(sizes) == 4 and max(sizes) < 40_000
+    sized = with_group_size(rows)
+    assert "skew=true" in _final_plan(sized)
+    assert {r.tuplelen for r in sized.where("tuple_ID = 1").collect()} == {90_000}
+
+
+def test_group_figures_shuffle_only_what_is_used(spark, small_partitions, folder):
+    answered(spark, [("TRUE", "TRUE"), ("FALSE", "TRUE")]).write.parquet(folder + "/t")
+    df = spark.read.parquet(folder + "/t")
+    plan = with_group_size(df).select("Key", "tuplelen")._jdf.queryExecution().executedPlan().toString()
+    assert "expectedresp" not in plan and plan.count("FileScan") == 2
+
+
+def test_group_figures_of_rows_with_maps(spark):
+    df = spark.sql("SELECT 'm' AS modelname, id % 2 AS tuple_ID, map('a', id) AS extra FROM range(5)")
+    assert sorted(r.tuplelen for r in with_group_size(df).collect()) == [2, 2, 3, 3, 3]
+
+
+def test_tuples_are_reduced_by_hash_first(spark, small_partitions):
+    df = random_rows(spark)
+    for carry in (None, ["prompting", "problemname"]):
+        plan = compute_acc_table(df.withColumn("problemname", F.lit("p")), carry=carry)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        below_window = text[text.index("Window"):]
+        assert "HashAggregate" in below_window and "SortAggregate" not in below_window
+
+
+def test_fields_that_cannot_be_grouped_are_carried(spark):
+    df = random_rows(spark).withColumn("extra", F.create_map(F.lit("k"), F.col("Key")))
+    plain = {(r.modelname, r.tuple_ID): r for r in compute_acc_table(random_rows(spark)).collect()}
+    rows = compute_acc_table(df).collect()
+    assert len(rows) == len(plain)
+    for r in rows:
+        other = plain[r.modelname, r.tuple_ID]
+        assert r.extra == {"k": r.Key} and (r.Key, r.acc, r.bias) == (other.Key, other.acc, other.bias)
 
 
 def test_missing_value_weighs_but_adds_nothing(spark):

@@ -7,6 +7,7 @@ Each query is planned, run and its rows are consumed; the time is the best of
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ import evalgrid as eg
 from evalgrid import constants as K
 from evalgrid.plans import catalog
 from evalgrid.plans import derived as D
-from evalgrid.session import scratch_path
+from evalgrid.session import remove_scratch, scratch_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -42,6 +43,7 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="evalgrid-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -102,6 +104,7 @@ def main() -> None:
         "queries": seconds,
         "sf": SF_DIR.rstrip("/").rpartition("sf")[2],
     }))
+    remove_scratch(spark)
     spark.stop()
 
 

@@ -32,13 +32,15 @@ from evalgrid.operators.scoring import (
     filter_complete_tuples,
     first_row_per_group,
     transform_into_weighted_mean,
+    tuple_completeness,
     weighted_means_by_group,
     with_group_minimum,
     with_group_size,
 )
 from evalgrid.operators.shuffle import first_rows, shuffle_df
 from evalgrid.plans.analyse import Report, analyse_results_df, analyse_results_in_testset_dir
-from evalgrid.sources.records import find_files_ending_in, read_json
+from evalgrid.plans.answer import answer_testset
+from evalgrid.sources.records import corrupt_records, find_files_ending_in, read_json
 from evalgrid.sources.results import (
     load_all_results,
     load_and_assemble_trials_and_results,

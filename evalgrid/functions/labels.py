@@ -1,7 +1,9 @@
 """Labels read off file names, and the display order of labels."""
 
 import posixpath
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ def logical_file(path: Column | str) -> Column:
     return F.regexp_replace(column(path), r"/part-[0-9]+[^/_]*$", "")
 
 
+def whole_file(path: str) -> str:
+    """``logical_file`` and ``plain_path`` of one path known on the driver."""
+    return re.sub(r"/part-[0-9]+[^/_]*$", "", unquote(path))
+
+
 def experiment_folder(path: Column | str) -> Column:
     """Folder of an experiment, from the path of its trials file."""
     return F.regexp_replace(logical_file(path), r"/[^/]+$", "")
@@ -110,7 +117,7 @@ def sorted_for_display(
     ranks = [{v: i for i, v in enumerate(order.get(f, ()))} for f in fields]
 
     def key(row):
-        return [(known.get(v, len(known)), v) for v, known in zip(row, ranks, strict=True)]
+        return [(known.get(v, len(known)), v is not None, v) for v, known in zip(row, ranks, strict=True)]
 
     return sorted(map(tuple, rows), key=key)
 

@@ -63,3 +63,12 @@ def format_cell(
     if cell_style == "latex":
         return F.concat(shown, F.lit(r"{\tiny $\pm "), margin, F.lit("$}"))
     raise ValueError(f"cell_style must be one of {CELL_STYLES}, not {cell_style!r}")
+
+
+def drawn(*parts: Column | str | int) -> Column:
+    """A number from 0 to 2**60 - 1 that the parts decide: the first hex digits of the MD5 of their text.
+
+    Any engine that has MD5 can repeat it. A missing part counts as empty text.
+    """
+    texts = [F.lit(str(p)) if isinstance(p, int) else F.coalesce(column(p).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *texts)), 1, 15), 16, 10).cast("bigint")

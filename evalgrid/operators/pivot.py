@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid import constants as K
@@ -67,10 +67,16 @@ def pivot_pretty(
         # a row or column without any number is not shown
         cells = cells.where(F.col(valname).isNotNull())
     left_out = [k for k in keys if k not in index and k not in columns]
-    first = F.min_by(valname, F.struct(*left_out)) if left_out else F.first(valname)
+
+    def first(here: Column | None = None) -> Column:
+        """The cell of the first of the left-out keys' values, among the rows that are here."""
+        if left_out:
+            order = F.struct(*left_out)
+            return F.min_by(valname, order if here is None else F.when(here, order))
+        return F.first(valname if here is None else F.when(here, F.col(valname)), ignorenulls=here is not None)
 
     if not columns:
-        table = cells.groupBy(*index).agg(first.alias(valname))
+        table = cells.groupBy(*index).agg(first().alias(valname))
         return table.orderBy(*display_order(index, order_prefs))
 
     most = int(stats.sparkSession.conf.get("spark.sql.pivotMaxValues"))
@@ -79,12 +85,24 @@ def pivot_pretty(
     if len(heads) > most:
         raise ValueError(f"{columns} have too many values to be column heads")
     heads = sorted_for_display(heads, columns, order_prefs)
-    if len(columns) == 1:
-        head, names = F.col(columns[0]), [h[0] for h in heads]
-    else:
-        head = F.concat_ws(SEPARATOR, *columns)
-        names = [SEPARATOR.join(str(v) for v in h) for h in heads]
-    table = cells.withColumn("__head", head).groupBy(*index).pivot("__head", names).agg(first)
+    # values are compared as what they are, names are only shown
+    figures = []
+    for head, name in zip(heads, _head_names(heads), strict=True):
+        here = F.lit(True)
+        for c, value in zip(columns, head, strict=True):
+            here = here & F.col(c).eqNullSafe(F.lit(value).cast(stats.schema[c].dataType))
+        figures.append(first(here).alias(name))
+    table = cells.groupBy(*index).agg(*figures) if figures else cells.select(*index).distinct()
     if index:
         table = table.orderBy(*display_order(index, order_prefs))
     return table
+
+
+def _head_names(heads: Sequence[Sequence]) -> list[str]:
+    """Names of column heads as Spark would write their values; a separator inside of one is doubled."""
+
+    def shown(value) -> str:
+        text = "null" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+        return text.replace(SEPARATOR, SEPARATOR + SEPARATOR) if len(heads[0]) > 1 else text
+
+    return [SEPARATOR.join(map(shown, h)) for h in heads]

@@ -91,12 +91,18 @@ def compare_dataframes(df1: DataFrame, df2: DataFrame, on: Sequence[str] | str)
     """Compare two tables field by field over the rows that share the row number ``on``.
 
     One row per field: where it occurs, the rows of both tables, the rows compared
-    and, for a common field, how many of them differ (two NULLs do not).
+    and, for a common field, how many of them differ (two NULLs do not). Row numbers
+    that repeat in a table are an error, as it would be open which rows to compare.
     """
     on = [on] if isinstance(on, str) else list(on)
     first, second = dict(df1.dtypes), dict(df2.dtypes)
     common = [f for f in first if f in second]
     data = [f for f in common if f not in on]
+    for df in (df1, df2):
+        # a look at the row numbers alone
+        repeated = df.dropna(subset=on).groupBy(*on).count().where("count > 1").select(*on).first()
+        if repeated is not None:
+            raise ValueError(f"row number {tuple(repeated)} repeats, so it is open which rows to compare")
     left = df1.select(*on, F.struct(F.lit(True).alias("__here"), *map(named, data)).alias("a"))
     right = df2.select(*on, F.struct(F.lit(True).alias("__here"), *map(named, data)).alias("b"))
     in_a, in_b = F.col("a").isNotNull(), F.col("b").isNotNull()

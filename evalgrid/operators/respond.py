@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.constants import NO_RESPONSE_PER_MILLE, RESPONDER_SEED
+from evalgrid.functions.numbers import drawn
 
 Responder = Callable[[str, list[str]], str | None]
 
@@ -37,8 +38,8 @@ def random_responses(trials: DataFrame, seed: int = RESPONDER_SEED) -> DataFrame
 
     The draw is a hash of the key, so a lost and repeated task gives the same answers.
     """
-    silent = F.pmod(F.xxhash64("Key", F.lit(seed), F.lit("silent")), F.lit(1000))
-    choice = F.pmod(F.xxhash64("Key", F.lit(seed)), F.array_size("expectedresp")).cast("int")
+    silent = drawn("Key", seed, F.lit("silent")) % 1000
+    choice = (drawn("Key", seed, F.lit("choice")) % F.array_size("expectedresp")).cast("int")
     answer = F.when(silent < NO_RESPONSE_PER_MILLE, F.lit("")).otherwise(
         F.try_element_at("expectedresp", choice + 1)
     )

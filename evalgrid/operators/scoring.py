@@ -50,6 +50,24 @@ def filter_complete_tuples(
     )
 
 
+def tuple_completeness(df: DataFrame, tuple_keys: Sequence[str] = TUPLE_KEYS) -> DataFrame:
+    """What ``filter_complete_tuples`` keeps and drops, by model.
+
+    ``n_rows`` and ``n_kept`` count rows, ``complete``, ``incomplete`` and ``overfull`` tuples; a
+    tuple whose rows accept different numbers of answers counts once for each number.
+    """
+    keys, size = list(tuple_keys), F.array_size("expectedresp").alias("size")
+    by_model = [k for k in keys if k == "modelname"]
+    sizes = df.dropna(subset=keys).select(*keys, size).groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.sum("n").over(Window.partitionBy(*keys))
+    sizes = sizes.withColumn("whole", whole)
+    right, n = F.col("whole") == F.col("size"), F.col("n")
+    return sizes.groupBy(*by_model).agg(
+        F.sum(n).alias("n_rows"), F.coalesce(F.sum(F.when(right, n)), F.lit(0)).alias("n_kept"), F.count_if(right).alias("complete"),
+        F.count_if(F.col("whole") < F.col("size")).alias("incomplete"), F.count_if(F.col("whole") > F.col("size")).alias("overfull"),
+    )
+
+
 def _weighted_means(fields: Sequence[str], weight: str) -> dict[str, Column]:
     weights = F.sum(F.col(weight).cast("double"))
     # a missing value adds nothing to the sum, yet its weight counts

@@ -483,9 +483,9 @@ def _cell(mean: str, sem: str, scale: int, latex: bool = False) -> str:
     return f"{value} || ' (' || {conf} || ')'"
 
 
-def _stats_ctes(field: str, by: tuple[str, ...], tag: str = "") -> list[str]:
+def _stats_ctes(field: str, by: tuple[str, ...], tag: str = "", source: str = "acc") -> list[str]:
     """Common tables ending in ``st`` and the tag: re-balanced, rounded statistics."""
-    ctes, name = _rebalanced_ctes(field, by, tag=tag)
+    ctes, name = _rebalanced_ctes(field, by, source, tag)
     shown = [*by, O.rounded("mean", "mean"), O.rounded("sem", "sem")]
     return [*ctes, f"st{tag} AS (SELECT {', '.join(shown)} FROM {name})"]
 
@@ -711,15 +711,20 @@ def filename_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"({O.text(f'{D.PROMPTING}___{m}{K.RESULTS_ENDING}')})" for m in D.MODELS)
-    + ") AS v(name)"
+    O.query(
+        f"SELECT prompting || '___' || modelname || '{K.RESULTS_ENDING}' AS name, count(*) AS n_records, "
+        "0::BIGINT AS n_corrupt FROM results GROUP BY prompting, modelname"
+    )
 )
 def results_files_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results files below a folder, and how many records each holds."""
     directory = scratch_path(spark, "testset")
     _stored_results(spark, sf_dir, f"{directory}/results")
-    found = eg.find_files_ending_in(spark, directory, K.RESULTS_ENDING)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    found = eg.find_files_ending_in(spark, directory, K.RESULTS_ENDING).select("path")
+    held = records.corrupt_records(spark, f"{directory}/results/*{K.RESULTS_ENDING}", schemas.RESULTS)
+    held = held.withColumn("path", labels.plain_path("path"))
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    return found.select(name).join(held.select(name, "n_records", "n_corrupt"), "name")
 
 
 @registered(O.query(f"SELECT {_FLAT} FROM trials"))
@@ -816,16 +821,86 @@ def zip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unzip_texts(archives).select(parsed.alias("r")).select("r.*")
 
 
-@registered(O.query('SELECT "Key", resp FROM results WHERE modelname = \'GPT3.5\' AND "Key" % 101 <> 0'))
-def corrupt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records cut off in the middle are left out, all others are kept."""
+def _with_cut_records(spark: SparkSession, sf_dir: str) -> str:
+    """Results of all models in which some records are cut off in the middle; returns their pattern."""
+    directory = f"{scratch_path(spark, 'testset')}/results"
     key = F.col("Key")
     line = F.to_json(F.struct("Key", "resp"))
     cut = F.when(key % 101 == 0, line.substr(F.lit(1), F.length(line) - 3)).otherwise(line)
-    path = result_files.results_path(scratch_path(spark, "results"), D.PROMPTING, "GPT3.5")
-    rows = D.results(spark, sf_dir).where(F.col("modelname") == "GPT3.5")
-    rows.select(cut.alias("value")).write.text(path)
-    return eg.load_results_as_dataframe(spark, path, skip_corrupt=True).select("Key", "resp")
+    rows = D.results(spark, sf_dir)
+    for model in D.MODELS:
+        mine = rows.where(F.col("modelname") == model)
+        mine.select(cut.alias("value")).write.text(result_files.results_path(directory, D.PROMPTING, model))
+    return f"{directory}/*{K.RESULTS_ENDING}"
+
+
+@registered(O.query('SELECT "Key", modelname, resp FROM results WHERE "Key" % 101 <> 0'))
+def corrupt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records cut off in the middle are left out, all others are kept."""
+    rows = eg.load_results_as_dataframe(spark, _with_cut_records(spark, sf_dir), skip_corrupt=True)
+    return rows.select("Key", "modelname", "resp")
+
+
+@registered(
+    O.query(
+        'SELECT modelname, count(*) AS n_records, count(*) FILTER ("Key" % 101 = 0) AS n_corrupt '
+        "FROM results GROUP BY modelname"
+    )
+)
+def corrupt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of each file ``skip_corrupt`` leaves out."""
+    counted = records.corrupt_records(spark, _with_cut_records(spark, sf_dir), schemas.RESULTS)
+    return labels.with_labels(counted, "path").select("modelname", "n_records", "n_corrupt")
+
+
+def _documents(spark: SparkSession, sf_dir: str, ending: str, codec: str, columns: bool = False) -> str:
+    """Trials in JSON documents, one for every batch of rows; returns their folder's pattern."""
+    names = ["Key", "text", "goldresp", "problemsize", "expectedresp"]
+    rows = D.trials(spark, sf_dir).select(*names)
+    pieces = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.expr("place div 300"))
+    gathered = F.collect_list(F.struct(F.col("place").alias("i"), F.struct(*names).alias("r")))
+    pieces = pieces.groupBy("block").agg(gathered.alias("rows"))
+
+    def column_of(name: str):
+        return F.map_from_entries(
+            F.transform("rows", lambda x: F.struct(x["i"].cast("string"), x["r"][name]))
+        ).alias(name)
+
+    as_columns = F.to_json(F.struct(*(column_of(n) for n in names)))
+    value = as_columns if columns else F.to_json(F.transform("rows", lambda x: x["r"]))
+    # a folder for each document: the text source writes a file for each row of it
+    root = scratch_path(spark, "documents")
+    writer = pieces.select(value.alias("value"), F.concat("block", F.lit(ending)).alias("document"))
+    writer.write.partitionBy("document").option("compression", codec).text(root)
+    return f"{root}/document=*{ending}"
+
+
+_DOCUMENT = T.StructType([schemas.TRIALS[n] for n in ("Key", "text", "goldresp", "problemsize", "expectedresp")])
+_DOCUMENT_SQL = O.query(
+    "SELECT \"Key\", text, goldresp, problemsize, array_to_string(expectedresp, '|') AS expectedresp FROM trials"
+)
+
+
+def _read_documents(spark: SparkSession, paths: str) -> DataFrame:
+    rows = records.read_json(spark, paths, _DOCUMENT)
+    return rows.withColumn("expectedresp", F.array_join("expectedresp", "|"))
+
+
+@registered(_DOCUMENT_SQL)
+def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists of records, through the reader."""
+    return _read_documents(spark, _documents(spark, sf_dir, ".json", "none"))
+
+
+@registered(_DOCUMENT_SQL)
+def json_lists_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_documents(spark, _documents(spark, sf_dir, ".json.gz", "gzip"))
+
+
+@registered(_DOCUMENT_SQL)
+def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are objects of columns, through the reader."""
+    return _read_documents(spark, _documents(spark, sf_dir, ".json", "none", columns=True))
 
 
 @registered(
@@ -943,10 +1018,11 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "SELECT o_orderkey AS EXP_i, 'Q' || o_orderkey AS text, 'Q' || (o_orderkey + 1) AS text2 "
-    "FROM orders WHERE o_orderkey < (SELECT count(*) // 8 FROM lineitem) AND o_orderkey % 11 = 3"
+    "FROM orders WHERE o_orderkey % 11 = 3"
 )
 def text_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trials, results = _positional(spark, sf_dir)
+    trials = _positional(spark, sf_dir)[0]
+    results = trials.select("EXP_i", F.col("text").alias("text2"))
     i = F.col("EXP_i")
     shifted = F.when(i % 11 == 3, F.concat(F.lit("Q"), (i + 1).cast("string"))).otherwise(F.col("text2"))
     joined = eg.join_by_position(trials, results.withColumn("text2", shifted))
@@ -966,16 +1042,16 @@ def prefix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     O.query(
-        """SELECT EXPNAME, 'GPT3.5' AS modelname, count(*) AS n, sum(EXP_i)::BIGINT AS rows_sum,
+        """SELECT EXPNAME, modelname, count(*) AS n, sum(EXP_i)::BIGINT AS rows_sum,
   count(*) FILTER (resp = goldresp) AS n_right, count(confidence) AS n_confidence
 FROM (
-  SELECT 'one' AS EXPNAME, t.EXP_i, t.goldresp, r.resp, CASE WHEN t."Key" % 2 = 0 THEN 0.5 END AS confidence
-  FROM numbered t JOIN results r ON r."Key" = t."Key" AND r.modelname = 'GPT3.5'
+  SELECT 'one' AS EXPNAME, r.modelname, t.EXP_i, t.goldresp, r.resp, CASE WHEN t."Key" % 2 = 0 THEN 0.5 END AS confidence
+  FROM numbered t JOIN results r ON r."Key" = t."Key"
   UNION ALL
-  SELECT 'two', t.EXP_i, t.goldresp, r.resp, CASE WHEN t."Key" % 2 = 0 THEN 0.5 END
-  FROM numbered t JOIN results r ON r."Key" = t."Key" AND r.modelname = 'GPT3.5'
+  SELECT 'two', r.modelname, t.EXP_i, t.goldresp, r.resp, CASE WHEN t."Key" % 2 = 0 THEN 0.5 END
+  FROM numbered t JOIN results r ON r."Key" = t."Key"
   WHERE t.tuple_ID < (SELECT count(*) // 2 FROM orders)
-) GROUP BY EXPNAME""",
+) GROUP BY EXPNAME, modelname""",
         'numbered AS (SELECT *, row_number() OVER (ORDER BY "Key") - 1 AS EXP_i FROM trials)',
     )
 )
@@ -985,16 +1061,18 @@ def responses_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = D.trials(spark, sf_dir)
     stored = eg.obfuscate_goldresp(trials).orderBy("Key")
     half = D.table(spark, sf_dir, "orders").agg(F.expr("count(*) div 2")).scalar()
-    answers = D.results(spark, sf_dir).where(F.col("modelname") == "GPT3.5").select("Key", "resp")
+    answers = D.results(spark, sf_dir)
     for name, ending in (("one", ".jsonl"), ("two", ".jsonl.partial")):
         stored.write.json(f"{root}/{name}/trials.jsonl")
         rows = eg.load_trials_as_dataframe(spark, f"{root}/{name}/trials.jsonl", extra=NO_EXTRA)
         if name == "two":
             rows = eg.first_rows(rows, half, "tuple_ID")
         confidence = F.when(F.col("Key") % 2 == 0, F.lit(0.5)).alias("confidence")
-        rows.join(answers, "Key").select(
-            F.col("EXP_i").alias("row_i"), F.col("text").alias("text2"), "resp", confidence
-        ).write.json(f"{root}/{name}/results/GPT3.5{K.LEGACY_ENDING}{ending}")
+        for model in D.MODELS:
+            mine = answers.where(F.col("modelname") == model).select("Key", "resp")
+            rows.join(mine, "Key").select(
+                F.col("EXP_i").alias("row_i"), F.col("text").alias("text2"), "resp", confidence
+            ).write.json(f"{root}/{name}/results/{model}{K.LEGACY_ENDING}{ending}")
     both = eg.load_all_results(spark, [root], include_partials=True)
     right = F.count_if(F.col("resp") == F.col("goldresp"))
     return both.groupBy("EXPNAME", "modelname").agg(
@@ -1005,13 +1083,18 @@ def responses_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     O.query(
-        """SELECT t."Key", t.text FROM trials t
-WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r."Key" = t."Key" AND r.modelname = 'toy-model')"""
+        """SELECT m.modelname, t."Key", t.text FROM trials t, (SELECT DISTINCT modelname FROM results) m
+WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r."Key" = t."Key" AND r.modelname = m.modelname)"""
     )
 )
 def pending_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = D.results(spark, sf_dir).where(F.col("modelname") == "toy-model")
-    return eg.pending_trials(D.trials(spark, sf_dir), done).select("Key", "text")
+    """What each model has still to answer."""
+    trials, results = D.trials(spark, sf_dir), D.results(spark, sf_dir)
+    left = []
+    for model in D.MODELS:
+        pending = eg.pending_trials(trials, results.where(F.col("modelname") == model))
+        left.append(pending.select(F.lit(model).alias("modelname"), "Key", "text"))
+    return eg.stack(left)
 
 
 @registered(
@@ -1072,11 +1155,46 @@ def batch_responder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.respond(D.trials(spark, sf_dir), by_length)
 
 
-@registered()
+def _drawn_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('/', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+_RANDOM = f"""random_answers AS (
+  SELECT "Key", CASE WHEN {_drawn_sql('"Key"', f"'{K.RESPONDER_SEED}'", "'silent'")} % 1000 < {K.NO_RESPONSE_PER_MILLE} THEN ''
+    ELSE expectedresp[{_drawn_sql('"Key"', f"'{K.RESPONDER_SEED}'", "'choice'")} % len(expectedresp) + 1] END AS resp FROM trials
+)"""
+
+
+@registered(O.query('SELECT "Key", resp FROM random_answers', _RANDOM))
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.random_responses(D.trials(spark, sf_dir))
 
 
+@registered(
+    O.query(
+        """SELECT problemname, round(sum(weight * hit) / count(DISTINCT tuple_ID), 6) AS acc,
+  round(sum(weight * lean) / count(DISTINCT tuple_ID), 6) AS bias, count(DISTINCT tuple_ID) AS n
+FROM (
+  SELECT t.problemname, t.tuple_ID, CASE WHEN goldresp IN ('1', '2') THEN 0.25 ELSE 0.5 END::DOUBLE AS weight,
+    (CASE WHEN resp IN ('1', '2') THEN '1' ELSE resp END = CASE WHEN goldresp IN ('1', '2') THEN '1' ELSE goldresp END)::INTEGER AS hit,
+    CASE WHEN resp IN ('TRUE', 'POSSIBLE', '1', '2') THEN 1 WHEN resp = '' THEN 0 ELSE -1 END AS lean
+  FROM trials t JOIN random_answers r ON r."Key" = t."Key"
+) GROUP BY problemname""",
+        _RANDOM,
+    )
+)
+def random_baseline_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean accuracy, one half, and mean bias, 0, 0 or a third, of random answers over the tuples of a problem."""
+    trials = D.trials(spark, sf_dir)
+    answers = eg.random_responses(trials).withColumns({
+        "modelname": F.lit("random"), "prompting": F.lit(D.PROMPTING),
+    })
+    scores = eg.compute_acc_table(eg.assemble_trials_and_results_df(trials, answers), carry=["problemname"])
+    return rounded(scores.groupBy("problemname").agg(
+        F.avg("acc").alias("acc"), F.avg("bias").alias("bias"), F.count(F.lit(1)).alias("n")
+    ))
+
+
 @registered()
 def random_baseline_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close to one half for every problem."""
@@ -1173,14 +1291,15 @@ def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _altered_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = D.table(spark, sf_dir, "orders")
     price = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice"))
-    n = D.table(spark, sf_dir, "lineitem").agg(F.expr("count(*) div 8")).scalar()
     altered = (
-        eg.first_rows(orders, n, "o_orderkey")
-        .withColumn("o_totalprice", price)
+        orders.withColumn("o_totalprice", price)
         .withColumn("o_custkey", F.col("o_custkey").cast("string"))
         .withColumn("o_clerk", F.lit("c"))
         .drop("o_orderpriority")
     )
+    # the first table is the longer one
+    further = D.table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("o_orderkey"))
+    orders = orders.unionByName(further.withColumn("o_orderkey", F.col("o_orderkey").cast(orders.schema["o_orderkey"].dataType)), allowMissingColumns=True)
     return orders, altered
 
 
@@ -1188,8 +1307,8 @@ _N2 = "(SELECT count(*) FROM b)"
 
 
 @registered(
-    f"""WITH b AS (SELECT * FROM orders WHERE o_orderkey < (SELECT count(*) // 8 FROM lineitem))
-SELECT field, found_in, (SELECT count(*) FROM orders) AS rows_1, {_N2} AS rows_2, {_N2} AS n_compared,
+    f"""WITH b AS (SELECT * FROM orders)
+SELECT field, found_in, (SELECT count(*) + (SELECT count(*) FROM customer) FROM orders) AS rows_1, {_N2} AS rows_2, {_N2} AS n_compared,
        n_differing::BIGINT AS n_differing, same
 FROM (VALUES
   ('o_orderkey', 'both', 0, true), ('o_custkey', 'both', 0, false),
@@ -1200,33 +1319,19 @@ FROM (VALUES
 ) AS v(field, found_in, n_differing, same)"""
 )
 def compare_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders against the first part of a copy with some fields altered."""
+    """Orders and further rows against a copy of the orders with some fields altered."""
     return eg.compare_dataframes(*_altered_orders(spark, sf_dir), on="o_orderkey")
 
 
-@registered(
-    """SELECT f.name AS field,
-  CASE WHEN o.name IS NOT NULL AND l.name IS NOT NULL THEN 'both'
-       WHEN o.name IS NOT NULL THEN 'only_1' ELSE 'only_2' END AS found_in
-FROM (SELECT name FROM pragma_table_info('events') UNION SELECT name FROM pragma_table_info('labels')
-      UNION SELECT name FROM pragma_table_info('documents') WHERE name = 'doc_id') f
-LEFT JOIN pragma_table_info('events') o ON o.name = f.name
-LEFT JOIN pragma_table_info('labels') l ON l.name = f.name"""
-)
-def field_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = (D.table(spark, sf_dir, t) for t in ("events", "labels"))
-    return eg.field_sets(first, second).select("field", "found_in")
-
-
-@registered(O.query('SELECT "Key", tuple_ID, text FROM trials'))
+@registered(O.query(f"""SELECT "Key", tuple_ID, text, {_drawn_sql('"Key"', f"'{K.SHUFFLE_SEED}'")} AS place FROM trials"""))
 def shuffle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eg.shuffle_df(D.trials(spark, sf_dir).select("Key", "tuple_ID", "text"))
+    return eg.shuffle_df(D.trials(spark, sf_dir).select("Key", "tuple_ID", "text"), place="place")
 
 
-@registered(O.query('SELECT "Key", tuple_ID, skin FROM trials'))
+@registered(O.query(f"""SELECT "Key", tuple_ID, skin, {_drawn_sql('tuple_ID', f"'{K.SHUFFLE_SEED}'")} AS place FROM trials"""))
 def shuffle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.trials(spark, sf_dir).select("Key", "tuple_ID", "skin")
-    return eg.shuffle_df(rows, keep_groups="tuple_ID")
+    return eg.shuffle_df(rows, keep_groups="tuple_ID", place="place")
 
 
 @registered(
@@ -1245,3 +1350,94 @@ def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     rows = D.trials(spark, sf_dir).agg(n.alias("trials"))
     return rows.withColumns({k: df.agg(n).scalar() for k, df in stages.items()})
+
+
+@registered(
+    O.query(
+        """SELECT modelname, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (whole = size), 0)::BIGINT AS n_kept,
+  count(*) FILTER (whole = size) AS complete, count(*) FILTER (whole < size) AS incomplete,
+  count(*) FILTER (whole > size) AS overfull
+FROM (
+  SELECT modelname, tuple_ID, len(expectedresp) AS size, count(*) AS n,
+    sum(count(*)) OVER (PARTITION BY modelname, tuple_ID) AS whole
+  FROM assembled GROUP BY modelname, tuple_ID, len(expectedresp)
+) GROUP BY modelname"""
+    )
+)
+def tuple_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the completeness filter keeps and drops of each model."""
+    return eg.tuple_completeness(assembled(spark, sf_dir))
+
+
+@registered(
+    O.query(
+        f'SELECT prompting, modelname, {_heads(_cell("mean", "sem", 100))} FROM st GROUP BY prompting, modelname',
+        "flat AS (SELECT * EXCLUDE (problemsize), 0 AS problemsize FROM acc)",
+        *_stats_ctes("acc", _PROBLEM, source="flat"),
+    )
+)
+def report_without_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's accuracy table for a test set whose trials have no sizes."""
+    folder = scratch_path(spark, "testset")
+    trials = eg.obfuscate_goldresp(D.trials(spark, sf_dir)).drop("problemsize")
+    trials.write.option("compression", "bzip2").json(f"{folder}/{K.TESTSET_FILE}")
+    _stored_results(spark, sf_dir, f"{folder}/results")
+    return eg.analyse_results_in_testset_dir(spark, folder).accuracy
+
+
+@registered(
+    O.query(
+        """SELECT modelname,
+  max(CASE WHEN even AND kind = 'T' THEN n END) AS "true | T", max(CASE WHEN even AND kind = 'P' THEN n END) AS "true | P",
+  max(CASE WHEN even AND kind = '1' THEN n END) AS "true | 1", max(CASE WHEN NOT even AND kind = 'T' THEN n END) AS "false | T",
+  max(CASE WHEN NOT even AND kind = 'P' THEN n END) AS "false | P", max(CASE WHEN NOT even AND kind = '1' THEN n END) AS "false | 1"
+FROM (
+  SELECT modelname, tuple_ID % 2 = 0 AS even, substr(expectedresp[1], 1, 1) AS kind, round(100.0 * count(*), 6)::DOUBLE AS n
+  FROM assembled GROUP BY ALL
+) GROUP BY modelname"""
+    )
+)
+def pivot_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A boolean and a text across: numbers of responses by both."""
+    rows = assembled(spark, sf_dir).select(
+        "modelname", (F.col("tuple_ID") % 2 == 0).alias("even"), F.substring(F.col("expectedresp")[0], 1, 1).alias("kind")
+    )
+    stats = rows.groupBy("modelname", "even", "kind").agg(F.count(F.lit(1)).cast("double").alias("mean"))
+    stats = stats.withColumn("sem", F.lit(0.0))
+    return rounded(eg.pivot_pretty(stats, ["even", "kind"], ["modelname"], cell_style="mean"))
+
+
+@registered(O.query('SELECT "Key", tuple_ID, goldresp, modelname, prompting, resp FROM assembled'))
+def loaded_and_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials and results from their files, joined."""
+    path = _stored_trials(spark, sf_dir, "jsonl.bz2", "bzip2")
+    folder = path.rpartition("/")[0]
+    _stored_results(spark, sf_dir, f"{folder}/results")
+    files = [f"{folder}/results/{D.PROMPTING}___{m}{K.RESULTS_ENDING}" for m in D.MODELS]
+    rows = eg.load_and_assemble_trials_and_results(spark, path, files, include_expname_fields=False)
+    return rows.select("Key", "tuple_ID", "goldresp", "modelname", "prompting", "resp")
+
+
+@registered(
+    O.query(
+        """SELECT 'random' AS modelname, count(*) AS n, count(DISTINCT r."Key") AS n_trials,
+  count(*) FILTER (r.resp = t.goldresp) AS n_right, count(*) FILTER (r.resp = '') AS n_silent
+FROM random_answers r JOIN trials t ON r."Key" = t."Key" GROUP BY ALL""",
+        _RANDOM,
+    )
+)
+def resumed_responder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model answers a test set in two runs, the second only what the first left open."""
+    path = _stored_trials(spark, sf_dir, "jsonl.bz2", "bzip2")
+    folder = path.rpartition("/")[0]
+    for run in range(2):
+        # the first run breaks off after the trials with an even key
+        reached = (lambda t: t.where(F.col("Key") % 2 == 0)) if run == 0 else None
+        eg.answer_testset(spark, folder, D.PROMPTING, "random", eg.random_responses, reached)
+    trials = eg.load_testset(spark, folder, extra=NO_EXTRA).select("Key", "goldresp")
+    results = eg.load_results_as_dataframe(spark, f"{folder}/results/*{K.RESULTS_ENDING}")
+    right = F.count_if(F.col("resp") == F.col("goldresp")).alias("n_right")
+    return eg.assemble_trials_and_results_df(trials, results).groupBy("modelname").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("Key").alias("n_trials"), right,
+        F.count_if(F.col("resp") == "").alias("n_silent"),
+    )

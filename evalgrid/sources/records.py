@@ -18,6 +18,7 @@ from evalgrid.functions.labels import (
     logical_file,
     plain_path,
 )
+from evalgrid.functions.lookups import named
 from evalgrid.session import scratch_path
 
 Paths = str | Sequence[str]
@@ -86,9 +87,12 @@ def read_json(
     is read like the file. A ``.json`` document is a list of records or an object of
     columns. Without ``schema`` the files are read once more to infer it. Malformed
     records fail the job, or are left out with ``skip_corrupt`` (a crash while writing
-    leaves a cut-off last record). ``with_path`` adds the path as ``__path``.
+    leaves a cut-off last record; ``corrupt_records`` counts them). ``with_path`` adds the
+    path as ``__path``, for documents also the record's position as ``__row``.
 
     JSON-Lines, plain or bzip2, is read in splits; other layouts take one task per file.
+    Each document is told apart by itself, so files of both forms may be read together;
+    one of neither form fails the job like a malformed record.
     """
     paths = as_list(paths)
     kinds = {(_kind(p), p.rstrip("/").endswith(".zip")) for p in paths}
@@ -99,14 +103,13 @@ def read_json(
         archives = spark.read.format("binaryFile").load(paths).select("path", "content")
         texts = unzip_texts(archives, whole=kind == "document")
         return _parse_texts(texts, kind, schema, skip_corrupt, with_path)
-    if kind == "document" and _is_column_document(spark, paths):
+    if kind == "document":
         texts = spark.read.text(paths, wholetext=True).select(
             plain_path("_metadata.file_path").alias(PATH), "value"
         )
-        return _parse_texts(texts, "columns", schema, skip_corrupt, with_path)
+        return _parse_texts(texts, kind, schema, skip_corrupt, with_path)
 
-    reader = spark.read.option("multiLine", kind == "document")
-    reader = reader.option("mode", "DROPMALFORMED" if skip_corrupt else "FAILFAST")
+    reader = spark.read.option("mode", "DROPMALFORMED" if skip_corrupt else "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(paths)
@@ -115,10 +118,19 @@ def read_json(
     return df
 
 
-def _is_column_document(spark: SparkSession, paths: list[str]) -> bool:
-    text = F.ltrim(F.col("value"))
-    head = spark.read.text(paths[0]).where(text != "").select(F.substring(text, 1, 1)).first()
-    return head is not None and head[0] == "{"
+def corrupt_records(spark: SparkSession, paths: Paths, schema: T.StructType) -> DataFrame:
+    """``path, n_records, n_corrupt`` of JSON-Lines files: what ``skip_corrupt`` leaves out of each."""
+    broken = "__corrupt"
+    wanted = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    lines = spark.read.schema(wanted).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken)
+    # every field has to be parsed for a record to be found corrupt
+    seen = F.to_json(F.struct(*map(named, schema.fieldNames())))
+    rows = lines.json(as_list(paths)).select(
+        logical_file("_metadata.file_path").alias("path"), (F.col(broken).isNotNull() & seen.isNotNull()).alias("bad")
+    )
+    return rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if("bad").alias("n_corrupt")
+    )
 
 
 def unzip_texts(archives: DataFrame, whole: bool = False) -> DataFrame:
@@ -164,29 +176,23 @@ def _parse_texts(
     with_path: bool,
 ) -> DataFrame:
     """Records out of ``__path, value`` texts."""
-    if kind == "document":
-        # the archive may hold either kind of document
-        is_columns = F.ltrim(F.col("value")).startswith("{")
-        head = texts.select(is_columns).first()
-        kind = "columns" if head is not None and head[0] else kind
+    texts = texts.where(F.trim("value") != "")
+    if kind == "lines":
+        schema = schema or _inferred(texts, kind)
+        mode = {"mode": "PERMISSIVE" if skip_corrupt else "FAILFAST"}
+        parsed = texts.select(PATH, F.from_json("value", schema, mode).alias("r"))
+        if skip_corrupt:
+            parsed = parsed.where(F.to_json("r") != "{}")
+        df = parsed.select("r.*", PATH)
+        return df if with_path else df.drop(PATH)
+    of_columns = F.ltrim(F.col("value")).startswith("{")
     if schema is None:
-        if kind == "columns":
+        if texts.where(of_columns).limit(1).count():
             raise ValueError("a document of columns needs a schema")
         schema = _inferred(texts, kind)
-    if kind == "columns":
-        df = records_from_columns(texts, schema)
-    else:
-        mode = {"mode": "PERMISSIVE" if skip_corrupt else "FAILFAST"}
-        record = schema if kind == "lines" else T.ArrayType(schema)
-        parsed = texts.where(F.trim("value") != "").select(
-            PATH, F.from_json("value", record, mode).alias("r")
-        )
-        if kind == "lines":
-            if skip_corrupt:
-                parsed = parsed.where(F.to_json("r") != "{}")
-            df = parsed.select("r.*", PATH)
-        else:
-            df = parsed.select(F.inline("r"), PATH)
+    lists = records_from_lists(texts.where(~of_columns), schema, skip_corrupt)
+    columns = records_from_columns(texts.where(of_columns), schema, skip_corrupt)
+    df = lists.unionByName(columns)
     return df if with_path else df.drop(PATH, ROW)
 
 
@@ -194,18 +200,44 @@ def _inferred(texts: DataFrame, kind: str) -> T.StructType:
     """Unpack once to the shared folder and let the JSON source look at all of it."""
     spark = texts.sparkSession
     path = scratch_path(spark, "unpacked")
-    texts.select("value").write.text(path)
-    return spark.read.option("multiLine", kind == "document").json(path).schema
+    value = F.col("value")
+    if kind == "document":
+        # a text file has a record a line; JSON may have its line ends anywhere but in a string
+        value = F.regexp_replace(value, "[\\r\\n]+", " ")
+    texts.select(value.alias("value")).write.text(path)
+    return spark.read.option("mode", "FAILFAST").json(path).schema
+
+
+def _mode(skip_corrupt: bool) -> dict[str, str]:
+    return {"mode": "PERMISSIVE" if skip_corrupt else "FAILFAST"}
+
+
+def records_from_lists(texts: DataFrame, schema: T.StructType, skip_corrupt: bool = False) -> DataFrame:
+    """Rows of documents ``[record, ...]`` given as ``__path, value``, with ``__path`` and the position ``__row``.
+
+    A document that is no list of such records fails the job, or is left out with ``skip_corrupt``.
+    """
+    parsed = F.from_json("value", T.ArrayType(schema), _mode(skip_corrupt))
+    is_list = F.ltrim(F.col("value")).startswith("[")
+    if not skip_corrupt:
+        message = F.concat(F.lit("neither a list of records nor an object of columns: "), PATH)
+        parsed = F.when(is_list, parsed).otherwise(F.raise_error(message).cast(T.ArrayType(schema)))
+    else:
+        parsed = F.when(is_list, parsed)
+    rows = texts.select(PATH, F.posexplode(parsed).alias(ROW, "r"))
+    return rows.select("r.*", PATH, F.col(ROW).cast("bigint").alias(ROW))
 
 
-def records_from_columns(texts: DataFrame, schema: T.StructType) -> DataFrame:
+def records_from_columns(texts: DataFrame, schema: T.StructType, skip_corrupt: bool = False) -> DataFrame:
     """Rows of documents ``{"column": {"row": value}}`` given as ``__path, value``.
 
     Adds ``__path`` and the row's position ``__row``. Cells are brought together per
     document and row, so a large document is spread over all tasks once it is parsed.
+    A document or a cell that does not parse fails the job; with ``skip_corrupt`` the
+    document is left out and the cell is NULL.
     """
     names = [f.name for f in schema.fields]
-    columns = F.from_json("value", "map<string,map<string,string>>")
+    columns = F.from_json("value", "map<string,map<string,string>>", _mode(skip_corrupt))
     cells = (
         texts.select(PATH, F.explode(columns).alias("field", "cells"))
         .where(F.col("field").isin(names))
@@ -220,8 +252,8 @@ def records_from_columns(texts: DataFrame, schema: T.StructType) -> DataFrame:
     def typed(field: T.StructField):
         c = F.col(field.name)
         if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            c = F.from_json(c, field.dataType)
-        return c.cast(field.dataType).alias(field.name)
+            return F.from_json(c, field.dataType, _mode(skip_corrupt)).alias(field.name)
+        return (c.try_cast(field.dataType) if skip_corrupt else c.cast(field.dataType)).alias(field.name)
 
     return wide.select(*(typed(f) for f in schema.fields), PATH, ROW)
 
@@ -235,10 +267,9 @@ def with_row_index(
     """JSON-Lines records with their row number in the file, counted from 0.
 
     A first look counts the records of each split of each file; the running total of
-    those counts is the number of a split's first record. It has one row per split,
-    a fixed and tiny share of the input, so it is broadcast. Both looks split the
-    files the same way. The experiment's ``EXPNAME`` and ``__folder`` are worked out once
-    per split too.
+    those counts is the number of a split's first record. Both looks split the files the
+    same way. The table of splits is joined as Spark finds best by its size. The
+    experiment's ``EXPNAME`` and ``__folder`` are worked out once per split too.
     """
     position, block, first = "__position", "__block", "__first"
 
@@ -272,7 +303,7 @@ def with_row_index(
     fields = [f.name for f in schema.fields]
     return (
         scan()
-        .join(F.broadcast(blocks), ["__file", block])
+        .join(blocks, ["__file", block])
         .select(
             *fields,
             (F.col("__before") + F.col(position) - F.col(first)).alias(name),

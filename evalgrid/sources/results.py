@@ -32,9 +32,6 @@ from evalgrid.sources.trials import (
 LEGACY_FILE = K.LEGACY_ENDING + ".jsonl"
 LEGACY_PARTIAL = LEGACY_FILE + ".partial"
 
-# Up to this many files are scanned one by one; a plan with more takes long to make.
-_MOST_SCANS = 100
-
 
 def results_path(directory: str, prompting: str, modelname: str) -> str:
     """Where the responses of a model under a prompting are kept."""
@@ -62,12 +59,11 @@ def load_results_as_dataframe(
     add_modelname_and_prompting: bool = True,
     skip_corrupt: bool = False,
 ) -> DataFrame:
-    """Responses of any number of ``.jsonl`` files.
+    """Responses of any number of ``.jsonl`` files, in one scan.
 
-    The labels come from the name of each file. For files given by name they are
-    constants of the scan of that file, so a filter on a label skips the other files;
-    for patterns and very many files there is one scan that takes them from the path of
-    each row. A name that carries no labels is an error.
+    The labels come from the path of each row, so a filter on a label skips the other
+    files. Names that carry no labels are an error, found on the list of files before any is
+    read, whatever columns are asked for.
 
     ``skip_corrupt`` leaves out cut-off records, as a crash while writing leaves them.
     """
@@ -78,19 +74,16 @@ def load_results_as_dataframe(
         if not path.rstrip("/").endswith(".jsonl"):
             raise ValueError(f"responses are read from .jsonl files only, not {path}")
     mode = "DROPMALFORMED" if skip_corrupt else "FAILFAST"
-    reader = spark.read.schema(schemas.RESULTS).option("mode", mode)
+    rows = spark.read.schema(schemas.RESULTS).option("mode", mode).json(paths)
     if not add_modelname_and_prompting:
-        return reader.json(paths)
-    if len(paths) > _MOST_SCANS or any(c in path for path in paths for c in "*?[{"):
-        return labels.with_labels(reader.json(paths))
-
-    def labelled(path: str) -> DataFrame:
-        model, prompting = labels.infer_modelname_and_prompting(path)
-        return reader.json(path).withColumns({
-            "modelname": F.lit(model), "prompting": F.lit(prompting).cast("string"),
-        })
-
-    return stack(map(labelled, paths))
+        return rows
+    for path in paths:
+        if not any(c in path for c in "*?[{"):
+            labels.infer_modelname_and_prompting(path)
+    # the scan's own list of files, which the driver has in any case
+    for file in {labels.whole_file(f) for f in rows.inputFiles()}:
+        labels.infer_modelname_and_prompting(file)
+    return labels.with_labels(rows)
 
 
 def results_files(spark: SparkSession, directory: str) -> list[str]:
@@ -122,15 +115,18 @@ def load_experiment_results_as_dataframe(
     include_expname_fields: bool = True,
     include_params_fields: bool = False,
     trials_path: str | None = None,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
     """Responses stored by position, with their trials.
 
     A record is ``{"row_i", "text2", "fullresp1", "fullresp2", "resp", "confidence"}``,
     later fields optional. All files are one scan and one join on experiment and row
-    number. A question that differs between both sides fails the job.
+    number. A question that differs between both sides fails the job, and so does a
+    malformed record, unless ``skip_corrupt`` leaves it out.
     """
     paths = as_list(paths)
-    records = spark.read.schema(schemas.POSITIONAL_RESULTS).option("mode", "DROPMALFORMED").json(paths)
+    mode = "DROPMALFORMED" if skip_corrupt else "FAILFAST"
+    records = spark.read.schema(schemas.POSITIONAL_RESULTS).option("mode", mode).json(paths)
     folder = labels.experiment_folder_of_results("_metadata.file_path")
     results = (
         labels.with_labels(records.select("*", "_metadata", folder.alias("__encoded")))
@@ -168,7 +164,10 @@ def _trials_beside(spark: SparkSession, results: str) -> str:
 
 
 def load_all_results(
-    spark: SparkSession, directories: Sequence[str], include_partials: bool = False
+    spark: SparkSession,
+    directories: Sequence[str],
+    include_partials: bool = False,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
     """Responses by position of all experiments in or at the given paths."""
     endings = [LEGACY_FILE] + ([LEGACY_PARTIAL] if include_partials else [])
@@ -182,7 +181,7 @@ def load_all_results(
                 paths += sorted(row.path for row in found.select("path").collect())
     if not paths:
         raise ValueError(f"no results files in {list(directories)}")
-    return load_experiment_results_as_dataframe(spark, paths)
+    return load_experiment_results_as_dataframe(spark, paths, skip_corrupt=skip_corrupt)
 
 
 def load_as_dataframe(

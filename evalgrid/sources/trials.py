@@ -139,10 +139,9 @@ def _index_documents(df: DataFrame) -> DataFrame:
     if ROW in df.columns:
         return df.withColumnRenamed(ROW, "EXP_i")
     rows = df.withColumn("__position", F.monotonically_increasing_id())
-    # one row per file
     firsts = rows.groupBy(PATH).agg(F.min("__position").alias("__first"))
     return (
-        rows.join(F.broadcast(firsts), PATH)
+        rows.join(firsts, PATH)
         .withColumn("EXP_i", F.col("__position") - F.col("__first"))
         .drop("__position", "__first")
     )

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import evalgrid as eg
-from evalgrid import schemas
+from evalgrid import schemas, session
 from evalgrid.functions import labels
 from evalgrid.sources import trials as trial_files
+from evalgrid.sources.records import read_json
 from evalgrid.sources.results import results_files
 
 NO_EXTRA = T.StructType([])
@@ -314,3 +315,90 @@ def test_analysis_of_a_folder_with_text_tuple_identifiers(spark, folder):
 def test_spec_text():
     spec = {"experimentname": "e", "summary": "s", "seed": 1, "params": {"x": 1}}
     assert trial_files.parse_experiment_specs(json.dumps(spec))[3] == {"x": 1}
+
+
+SLIM = T.StructType([T.StructField("Key", T.LongType()), T.StructField("goldresp", T.StringType())])
+
+
+def _keys(df):
+    return sorted(r.Key for r in df.collect())
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0)])
+def test_lists_and_columns_are_told_apart_by_document(spark, folder, order):
+    columns = put(folder, "a.json", json.dumps({"Key": {"0": 1, "1": 2}, "goldresp": {"0": "x", "1": "y"}}))
+    records = put(folder, "l.json", json.dumps([{"Key": 3, "goldresp": "z"}, {"Key": 4, "goldresp": "z"}]))
+    paths = [(columns, records)[i] for i in order]
+    assert _keys(read_json(spark, paths, SLIM)) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("broken", ['{"Key": {"0": 1', '[{"Key": 3}, {"Ke', "3", '{"Key": {"0": "no number"}}'])
+@pytest.mark.parametrize("first", [True, False])
+def test_a_broken_document_fails_or_is_left_out(spark, folder, broken, first):
+    good = put(folder, "g.json", json.dumps({"Key": {"0": 1, "1": 2}}))
+    bad = put(folder, "b.json", broken)
+    paths = [bad, good] if first else [good, bad]
+    with pytest.raises(Exception, match="MALFORMED_RECORD|neither a list|CAST_INVALID_INPUT"):
+        read_json(spark, paths, SLIM).collect()
+    found = {r.Key for r in read_json(spark, paths, SLIM, skip_corrupt=True).collect()}
+    assert {1, 2} <= found and found <= {1, 2, 3, None}
+
+
+def test_archives_may_hold_both_forms(spark, folder):
+    path = f"{folder}/x.json.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("a.json", json.dumps({"Key": {"0": 1}}))
+        archive.writestr("b.json", json.dumps([{"Key": 2}]))
+    assert _keys(read_json(spark, path, SLIM)) == [1, 2]
+
+
+@pytest.mark.parametrize("n", [1, 100, 101])
+def test_names_are_checked_for_any_number_of_files(spark, folder, n):
+    paths = [put(folder, f"r/p___m{i}___results.jsonl", lines([{"Key": i, "resp": "TRUE"}])) for i in range(n)]
+    assert eg.load_results_as_dataframe(spark, paths).count() == n
+    assert eg.load_results_as_dataframe(spark, f"{folder}/r/*.jsonl").select("modelname").distinct().count() == n
+    bad = put(folder, "r/bad.jsonl", lines([{"Key": 1, "resp": "TRUE"}]))
+    for wanted in ([*paths, bad], f"{folder}/r/*.jsonl"):
+        with pytest.raises(ValueError):
+            eg.load_results_as_dataframe(spark, wanted).count()
+
+
+def test_a_filter_on_a_label_skips_files(spark, folder):
+    for i in range(5):
+        put(folder, f"r/p___m{i}___results.jsonl", lines([{"Key": k, "resp": "x"} for k in range(10)]))
+    df = eg.load_results_as_dataframe(spark, f"{folder}/r/*.jsonl").where("modelname = 'm3'")
+    assert df.count() == 10 and {r.prompting for r in df.collect()} == {"p"}
+
+
+def test_corrupt_records_are_counted(spark, folder):
+    put(folder, "r/p___m___results.jsonl", lines([{"Key": 1, "resp": "x"}]) + '{"Key": 2, "re\n{"Key": 3}\n')
+    found = eg.corrupt_records(spark, f"{folder}/r/*.jsonl", schemas.RESULTS).collect()
+    assert [(r.n_records, r.n_corrupt) for r in found] == [(3, 1)]
+
+
+def test_cut_off_positional_records_fail_unless_skipped(spark, folder):
+    put(folder, "e/trials.jsonl", lines([trial(k) for k in range(3)]))
+    whole = [{"row_i": k, "text2": trial(k)["text"], "resp": "TRUE"} for k in range(2)]
+    path = put(folder, "e/results/m__allresults.jsonl", lines(whole) + '{"row_i": 2, "tex')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        eg.load_experiment_results_as_dataframe(spark, path).collect()
+    assert eg.load_experiment_results_as_dataframe(spark, path, skip_corrupt=True).count() == 2
+
+
+def test_a_temporary_folder_only_serves_one_process(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return self.named
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    session.shared_folder(spark)
+    Session.sparkContext.named = None
+    with pytest.raises(ValueError):
+        session.shared_folder(Session)
+    Session.sparkContext.named = "hdfs://x/checkpoints/"
+    assert session.shared_folder(Session) == "hdfs://x/checkpoints"

@@ -200,3 +200,36 @@ def test_new_results_files_are_taken_in_once(spark, folder):
     eg.write_results(responses(spark, [(1, "TRUE")]), folder + "/results", "basic", "b")
     assert ingest() == ingest() == {(0, "a"), (1, "b")}
     assert spark.read.parquet(folder + "/table").count() == 2
+
+
+def test_repeated_row_numbers_are_refused(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "i int, x string")
+    two = spark.createDataFrame([(1, "a"), (2, "c")], "i int, x string")
+    for pair in ((one, two), (two, one)):
+        with pytest.raises(ValueError):
+            eg.compare_dataframes(*pair, on="i")
+    numbered = spark.createDataFrame([(None, "a"), (None, "b"), (2, "c")], "i int, x string")
+    found = {r.field: r for r in eg.compare_dataframes(numbered, two, on="i").collect()}
+    assert (found["x"].rows_1, found["x"].rows_2, found["x"].n_compared) == (3, 2, 1)
+
+
+def test_shuffles_are_sorted_by_their_number(spark):
+    df = spark.range(200).select(F.col("id").alias("Key"), (F.col("id") % 7).alias("g"))
+    for groups in (None, "g"):
+        rows = [(r.place, r.g, r.Key) for r in eg.shuffle_df(df, keep_groups=groups, place="place").collect()]
+        assert len(rows) == 200 and [r[0] for r in rows] == sorted(r[0] for r in rows)
+        if groups:
+            assert rows == sorted(rows) and len({r[0] for r in rows}) == 7
+        else:
+            assert [r[2] for r in rows] != sorted(r[2] for r in rows)
+
+
+def test_pivot_compares_values_as_what_they_are(spark):
+    stats = spark.createDataFrame(
+        [("m", True, "a | b", "c", 1.0), ("m", False, "a", "b | c", 2.0), ("m", True, None, "c", 3.0)],
+        "modelname string, flag boolean, x string, y string, mean double",
+    ).withColumn("sem", F.lit(0.0))
+    table = eg.pivot_pretty(stats, ["flag", "x", "y"], ["modelname"], cell_style="mean", scale=1.0)
+    row = table.collect()[0].asDict()
+    assert sorted(v for k, v in row.items() if k != "modelname") == [1.0, 2.0, 3.0]
+    assert "true | null | c" in row and len(row) == 4

@@ -16,6 +16,7 @@ ERROR = 2.5
 #: rows and queries that one task holds at most, and the rows a block has at least where there are many tasks
 ROWS, QUERIES, LEAST_ROWS = 65_536, 8_192, 512
 _SLICE = 128
+_GUESSES = 3
 
 
 def _rotation(dim: int) -> np.ndarray:
@@ -89,7 +90,8 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def search_block(queries: pa.Table, rows: pa.Table, centre: np.ndarray, nearest: int) -> pa.Table:
     """The ``nearest`` rows of a block for each query, ordered by exact inner product and id.
 
-    Rows are reranked whose upper bound reaches the ``nearest``-th largest lower bound.
+    A row's exact product is computed if the upper bound of its estimate reaches the ``nearest``-th
+    largest exact product among the rows of the best estimates.
     """
     dim = len(centre)
     q, q_ids = _matrix(queries.column("vector"), dim), queries.column("id").to_numpy()
@@ -109,10 +111,17 @@ def search_block(queries: pa.Table, rows: pa.Table, centre: np.ndarray, nearest:
         guess = (offset.astype(np.float32) @ signs.T) * scale + level
         error = np.linalg.norm(offset, axis=1)[:, None].astype(np.float32) * spread.astype(np.float32) + 1e-5
         same = q_ids[at:at + _SLICE, None] == ids
-        low = np.where(same, -np.inf, guess - error)
-        k = min(nearest, len(ids))
-        least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        which, row = np.nonzero((guess + error >= least[:, None]) & ~same)
+        guess[same] = -np.inf
+        # the best guesses' exact scores tell what a row has to reach
+        some = min(_GUESSES * nearest, len(ids))
+        best = np.argpartition(guess, len(ids) - some, axis=1)[:, len(ids) - some:]
+        exact = np.einsum("qd,qkd->qk", own, o[best])
+        exact[np.take_along_axis(same, best, 1)] = -np.inf
+        k = min(nearest, some)
+        least = np.partition(exact, some - k, axis=1)[:, some - k]
+        wanted = guess + error >= least[:, None]
+        np.put_along_axis(wanted, best, np.take_along_axis(wanted, best, 1) | (exact >= least[:, None]), 1)
+        which, row = np.nonzero(wanted & ~same)
         score = np.empty(len(row))
         for a in range(0, len(row), 200_000):
             score[a:a + 200_000] = (own[which[a:a + 200_000]] * o[row[a:a + 200_000]]).sum(1)

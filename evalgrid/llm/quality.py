@@ -60,14 +60,16 @@ def term_shares(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ).reshape(rows, _WORDS)
     total = np.maximum(per_row, 1)
     again = (words[1:] == words[:-1]) & (word_owner[1:] == word_owner[:-1])
-    repeated = np.bincount(word_owner[1:][again], minlength=rows) / total
+    # a few words repeated by chance are no repetition
+    chance = total + 8
+    repeated = np.bincount(word_owner[1:][again], minlength=rows) / chance
     order = np.lexsort((words, word_owner))
     new = np.ones(len(words), bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (word_owner[order][1:] != word_owner[order][:-1])
-    distinct = np.bincount(word_owner[order][new], minlength=rows) / total
+    used_before = (per_row - np.bincount(word_owner[order][new], minlength=rows)) / chance
     out[:, :_PAIRS] /= np.maximum(out[:, :_PAIRS].sum(1, keepdims=True), 1)
     out[:, _PAIRS:_PAIRS + _WORDS] /= 4 * total[:, None]
-    out[:, -2], out[:, -1] = repeated, np.where(per_row > 0, 1 - distinct, 0) / 4
+    out[:, -2], out[:, -1] = repeated, used_before / 4
     return np.sqrt(out)
 
 

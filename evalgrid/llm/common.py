@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: bytes of text that one vectorised step works on; a longer text is a block of its own
 BLOCK = 1 << 20
 
+#: rows that come to a Python worker at once
+BATCH_ROWS = 1000
+
 # An odd multiplier for word hashes (its inverse modulo 2**64 follows) and a mixer.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -20,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have texts come to Python workers in batches of a few MB, as workers keep the memory of their largest.
+
+    Lowers the session's number of rows in an Arrow batch, and never raises it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id counts as empty text."""
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds).cast("int")
@@ -122,6 +135,7 @@ def seen_once(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def keep_rows(rows: DataFrame, wanted: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, that a function of a batch says are wanted. Nothing is shuffled."""
+    small_batches(rows.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

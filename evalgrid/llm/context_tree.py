@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import fold, strings, table
+from evalgrid.llm.common import fold, small_batches, strings, table
 from evalgrid.session import materialise
 
 #: bytes of context of the deepest trees
@@ -326,6 +326,7 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
     NULL ids are scored as rows of their own. Other columns are ignored. Without training rows all
     bytes are equally likely and the base of any text is 0. No documents, no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.coalesce(F.col(training), F.lit(False)).alias("training"))
     counted = docs.select("text", "training").mapInArrow(_count, "gram long, word binary, n long, n_train long")
     counted = counted.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))

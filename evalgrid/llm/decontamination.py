@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import blocks, byte_set, lower_table, run_hashes, runs, table, utf8
+from evalgrid.llm.common import blocks, byte_set, lower_table, run_hashes, runs, small_batches, table, utf8
 from evalgrid.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -192,6 +192,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     one item, a NULL id is written as empty text. Rows of repeated ids are searched one by one.
     Columns of ``docs`` named n_words, spans or items are replaced. An empty benchmark hits nothing.
     """
+    small_batches(docs.sparkSession)
     clashing = [c for c in docs.columns if c in ("n_words", "spans", "items")]
     found = docs.drop(*clashing)
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import strings, table
+from evalgrid.llm.common import small_batches, strings, table
 from evalgrid.session import materialise
 
 #: a subtree is the site's template if it stands on so many pages of a host and on this share of them
@@ -241,6 +241,7 @@ def extract_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float
     extracted in each row, and count as pages of their host. Broken markup is read to its end. Other
     columns are ignored. No pages, no rows.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     # small unless there are very many hosts; Spark decides by the table's size how to join it
     templates = materialise(site_templates(pages, least_pages, share), "templates")

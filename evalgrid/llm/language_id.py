@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import fold, keep_rows, strings, table
+from evalgrid.llm.common import fold, keep_rows, small_batches, strings, table
 
 #: features; n-grams are hashed into them
 FEATURES = 1 << 15
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     Follow-the-regularised-leader with elastic-net penalties passes over four fifths of the sample;
     the last fifth sets the temperature. The sample is what the driver gets of the documents.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "lang", F.col("text")).where("lang is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _sampled(docs, per_language).mapInArrow(
@@ -189,6 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     NULL and texts without a letter are ``und`` with score 0, as all are if nothing could be learnt.
     Repeated rows are scored alike. Columns other than doc_id and text are ignored. No rows, no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features by languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

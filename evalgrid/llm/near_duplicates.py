@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import blocks, byte_set, lower_table, mix, run_hashes, runs, table
+from evalgrid.llm.common import blocks, byte_set, lower_table, mix, run_hashes, runs, small_batches, table
 from evalgrid.llm.components import connected_components
 from evalgrid.session import materialise
 
@@ -146,6 +146,7 @@ def _verifier(words: int, similarity: float):
 
 def _classes(docs: DataFrame, words: int, similarity: float, recall: float) -> DataFrame:
     """text_key, component, class_id, n_links of the texts of linked rows of ``docs`` (doc_id, text, text_key)."""
+    small_batches(docs.sparkSession)
     bands, rows = bands_and_rows(similarity, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.mapInArrow(

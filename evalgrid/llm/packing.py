@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgrid.llm.common import strings, table
+from evalgrid.llm.common import small_batches, strings, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 2048
@@ -36,7 +36,7 @@ def _byte_letters() -> list[str]:
 
 
 class _Ids:
-    """Ids of stretches between spaces, as little-endian bytes; a worker keeps them from task to task.
+    """Ids of stretches between spaces, as little-endian bytes; a worker keeps them for a task.
 
     This tokenizer's splitting never joins a space to what stands before it, so a text may be cut
     before any space that follows something else, and the ids of the cuts joined. Stretches of plain
@@ -79,11 +79,14 @@ class _Ids:
             self.rest[x] = data[4 * at:4 * end]
             at = end + 1
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.rest.clear()
+
     def of(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts that are given by their stretches."""
         if len(self.first) + len(self.rest) > _CACHE_ROWS:
-            self.first.clear()
-            self.rest.clear()
+            self.forget()
         every = [x for t in texts for x in t[1:]]
         ids = list(map(self.rest.get, every))
         unknown = [i for i, x in enumerate(ids) if x is None]
@@ -118,6 +121,7 @@ def tokenised_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int
     The ids of a text and then ``end``; more than ``length`` are cut into pieces of that length, of
     which the first may be shorter.
     """
+    small_batches(docs.sparkSession)
     closing = array("I", [end]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +151,8 @@ def tokenised_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int
             columns = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, size, crc)]
             yield pa.RecordBatch.from_arrays(columns, names)
+        # the worker lives on and may have other work next
+        ids.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import blocks, byte_set, fold, keep_rows, lower_table, run_hashes, runs, table
+from evalgrid.llm.common import blocks, byte_set, fold, keep_rows, lower_table, run_hashes, runs, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
 #: labelled documents of each label that vote, on average
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, dimensio
     ``labels`` holds doc_id and quality, 0 or 1; other values and ids without a document teach
     nothing. The drawn documents, a bounded number, are what the driver gets of the corpus.
     """
+    small_batches(docs.sparkSession)
     labels = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").distinct()
     counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
     total = sum(counts.values())
@@ -164,6 +165,7 @@ def score_quality(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, t
     label 1 among the labelled rows, as do all texts if there are none (then 0.5). Repeated rows
     score alike. Columns other than doc_id and text are ignored. No documents, no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # terms by dimensions, voters by dimensions
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import strings, table
+from evalgrid.llm.common import small_batches, strings, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -52,16 +52,16 @@ def frequent_pretokens(docs: DataFrame, rows: int = TABLE_ROWS) -> list[bytes]:
 class _Lengths(dict):
     """Pre-token to its number of tokens; grows by what it is asked, back to ``first`` when full.
 
-    A worker keeps it from task to task.
+    A worker keeps the tokenizer from task to task.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.first = _tokenizer(path), {}
 
     def begin_with(self, first: dict[bytes, int]) -> None:
-        if first != self.first:
-            self.first = first
-            self.update(first)
+        self.first = first
+        self.clear()
+        self.update(first)
 
     def learn(self, pieces: set[bytes]) -> None:
         missing = list(pieces - self.keys())
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_rows: int
     Columns other than doc_id and text are ignored. No documents, no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tokenizer = _tokenizer(path)
     frequent = frequent_pretokens(docs, table_rows)
     encoded = tokenizer.encode_batch_fast([x.decode() for x in frequent], add_special_tokens=False)
@@ -134,6 +135,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_rows: int
                 [batch.column("doc_id"), n_bytes, pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens])],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        # the worker lives on and may have other work next
+        known.begin_with({})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

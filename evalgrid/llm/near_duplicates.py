@@ -20,6 +20,8 @@ RECALL = 0.999
 HASHES = 128
 #: texts of a candidate group that are compared at once with as many others
 BLOCK_TEXTS = 128
+#: tasks that the copies of one text are dealt to where one of them is chosen
+_SHARES = 16
 
 _WORD = byte_set(range(48, 58), range(97, 123), range(128, 256))
 _LOWER = lower_table()
@@ -227,14 +229,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     classes = _classes(keyed.select("doc_id", "text", F.col(key).alias("text_key")), words, similarity, recall)
     members = keyed.select("doc_id", F.col(key).alias("text_key")).join(classes.select("text_key", "component"), "text_key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))).alias("first")
-    firsts = materialise(members.groupBy("component").agg(first).select("first.doc_id", "first.text_key"), "kept")
-    alone = keyed.join(classes.select(F.col("text_key").alias(key)), key, "left_anti")
-    same = [keyed[key] == firsts["text_key"], keyed["doc_id"].eqNullSafe(firsts["doc_id"])]
-    chosen = keyed.join(firsts, same, "left_semi")
-    one = _free_name("one", docs.columns)
-    chosen = chosen.withColumn(one, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(1))))
-    chosen = chosen.where(F.col(one) == 1)
-    return alone.select(docs.columns).union(chosen.select(docs.columns))
+    decided = classes.select("text_key", "component").join(
+        members.groupBy("component").agg(first).select("component", "first.doc_id", F.col("first.text_key").alias("first_key")), "component"
+    )
+    # a text with very many copies is dealt to several tasks by the copies' ids
+    shares = F.sequence(F.lit(0), F.lit(_SHARES - 1))
+    decided = decided.select("text_key", "first_key", F.col("doc_id").alias("first_id"), F.explode(shares).alias("share"))
+    decided = materialise(decided.withColumn("in_class", F.lit(True)), "decided")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)).cast("int")
+    row = F.struct(*(keyed["`" + c.replace("`", "``") + "`"] for c in docs.columns))
+    rows = keyed.select(row.alias("row"), F.col(key).alias("text_key"), F.col("doc_id").alias("own_id"), share.alias("share"))
+    # one shuffle of the texts at any size, rather than none where the table happens to be small
+    met = rows.join(decided.hint("merge"), ["text_key", "share"], "left")
+    nth = F.row_number().over(Window.partitionBy("text_key", "share", "own_id").orderBy(F.lit(1)))
+    chosen = (F.col("text_key") == F.col("first_key")) & F.col("own_id").eqNullSafe(F.col("first_id"))
+    kept = met.withColumn("nth", nth).where(F.col("in_class").isNull() | (chosen & (F.col("nth") == 1)))
+    return kept.select("row.*")
 
 
 def _free_name(name: str, taken: list[str]) -> str:

@@ -1,7 +1,7 @@
 """Language-model scores by context-tree weighting over bytes, beside a unigram base."""
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,10 +15,14 @@ from evalgrid.session import materialise
 
 #: bytes of context of the deepest trees
 DEPTH = 6
-#: a context is a node of its own if it precedes one in so many training bytes; else it shares one leaf
-CONTEXTS = 1 << 19
-#: (context, byte) pairs that the model holds at most, by a coarser choice of contexts where there are more
-MOST_PAIRS = 1_200_000
+#: a context is a node of its own if it precedes so many training bytes; else it shares one leaf
+LEAST_SEEN = 2
+#: subtrees below contexts of so many bytes are weighed by tasks, what is above them by the driver
+ROOT = 3
+#: n-grams whose scores are broadcast at most, the most frequent ones; the others' come by a join
+FREQUENT_GRAMS = 2_000_000
+#: bounds of ``fit``, a model in the driver's memory; ``score_texts`` has neither
+CONTEXTS, MOST_PAIRS = 1 << 19, 1_200_000
 #: words of at least one in so many tokens are looked up where the text is, the others by a join
 FREQUENT = 1 << 20
 FOLDS, HELD_OUT = 5, 1
@@ -27,8 +31,11 @@ _END = 10  # the byte after each text, and before it as context
 _BLOCK = 4 << 20
 #: distinct n-grams that a task holds before it gives them on
 _HELD_GRAMS = 4_000_000
+#: n-grams of whole subtrees that a task weighs at once
+_CHUNK = 150_000
 _MEMO = 1 << 20
 _LN10 = float(np.log(10))
+_TRAINING = np.uint64(1 << 63)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -65,7 +72,7 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, word, n, n_train): words and their counts by blocks, training n-grams by tasks."""
+    """Rows (gram, word, n, n_train): words and their counts by blocks, n-grams by tasks."""
 
     def rows(grams, words, n, n_train):
         cells = [
@@ -75,12 +82,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(cells, ["gram", "word", "n", "n_train"])
 
+    def gram_rows(held):
+        # n-grams of training texts are marked by their highest bit until here
+        grams, n = _summed(held)
+        learnt = grams >> np.uint64(63) == 1
+        for at in range(0, len(grams), 100_000):
+            part, own = n[at:at + 100_000], learnt[at:at + 100_000]
+            yield rows((grams[at:at + 100_000] & ~_TRAINING).astype(np.int64), None, part, np.where(own, part, 0))
+
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         texts, training = batch.column("text"), batch.column("training").to_pylist()
         row = 0
         while row < len(training):
-            size, everywhere, learnt, trained = 0, Counter(), Counter(), []
+            size, everywhere, learnt, trained, others = 0, Counter(), Counter(), [], []
             while row < len(training) and size < _BLOCK:
                 words = words_of(texts[row].as_py() or "")
                 size += 8 + sum(map(len, words)) + len(words)
@@ -91,24 +106,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     learnt.update(words)
                     learnt[b""] += 1
                     trained.append(words)
+                else:
+                    others.append(words)
                 row += 1
             keys = list(everywhere)
             yield rows(None, keys, [everywhere[k] for k in keys], [learnt[k] for k in keys])
-            if trained:
-                held.append(np.unique(_padded(trained)[0], return_counts=True))
+            for part, mark in ((trained, _TRAINING), (others, np.uint64(0))):
+                if part:
+                    held.append(np.unique(_padded(part)[0] | mark, return_counts=True))
             if sum(len(x) for x, _ in held) > _HELD_GRAMS:
                 held = [_summed(held)]
             if held and len(held[0][0]) > _HELD_GRAMS // 2:
-                grams, n = _summed(held)
+                yield from gram_rows(held)
                 held = []
-                for at in range(0, len(grams), 100_000):
-                    part = n[at:at + 100_000]
-                    yield rows(grams[at:at + 100_000].astype(np.int64), None, part, part)
     if held:
-        grams, n = _summed(held)
-        for at in range(0, len(grams), 100_000):
-            part = n[at:at + 100_000]
-            yield rows(grams[at:at + 100_000].astype(np.int64), None, part, part)
+        yield from gram_rows(held)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -150,6 +162,10 @@ def _level(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return found, np.bincount(place, np.tile(n, 8), len(found)) - n_one, n_one
 
 
+def _fresh_memo() -> tuple[np.ndarray, np.ndarray]:
+    return np.full(_MEMO, np.iinfo(np.uint64).max, np.uint64), np.zeros(_MEMO)
+
+
 @dataclass
 class Model:
     """Contexts by depth; probabilities of a one at the decisions met in them; log10 of those of bytes met."""
@@ -162,7 +178,7 @@ class Model:
     logs: np.ndarray
 
     def fresh_memo(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.full(_MEMO, np.iinfo(np.uint64).max, np.uint64), np.zeros(_MEMO, np.float32)
+        return _fresh_memo()
 
     def _path(self, gram: np.ndarray) -> np.ndarray:
         """Numbers of the known contexts of each depth, -1 beyond the deepest."""
@@ -195,53 +211,73 @@ class Model:
 
     def score(self, gram: np.ndarray, memo: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 of each byte's probability; ``memo`` keeps what was looked up last for each slot."""
-        keys, values = memo
-        slot = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        out = values[slot].astype(np.float64)
-        miss = np.flatnonzero(keys[slot] != gram)
-        if len(miss):
-            wanted, place = np.unique(gram[miss], return_inverse=True)
-            found = self._of(wanted)
-            out[miss] = found[place]
-            # keys and values of a slot that is written twice must be of the same n-gram
-            slots, last = np.unique(slot[miss], return_index=True)
-            keys[slots] = gram[miss][last]
-            values[slots] = out[miss][last]
-        return out
+        return _remembered(gram, memo, self._of)
+
+
+def _remembered(gram: np.ndarray, memo: tuple[np.ndarray, np.ndarray], look_up: Callable) -> np.ndarray:
+    """Values of n-grams from the memo, or from ``look_up``, which gets each n-gram once."""
+    keys, values = memo
+    slot = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    out = values[slot].astype(np.float64)
+    miss = np.flatnonzero(keys[slot] != gram)
+    if len(miss):
+        wanted, place = np.unique(gram[miss], return_inverse=True)
+        found = look_up(wanted)
+        out[miss] = found[place]
+        # keys and values of a slot that is written twice must be of the same n-gram
+        slots, last = np.unique(slot[miss], return_index=True)
+        keys[slots] = gram[miss][last]
+        values[slots] = out[miss][last]
+    return out
 
 
-def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """The weighted trees of all binary decisions, from (context, byte, count) of each depth.
+@dataclass
+class _Trees:
+    """Levels of the trees from one depth on: contexts, and the (key, zeros, ones) of the decisions met in them."""
 
-    At each node, the evidence of its own KT estimate is weighed against that of its known child
-    contexts and of one more leaf that all its other contexts share. The mixture of all depths on
-    the path to a context is then one estimate for each decision met there.
-    """
-    contexts, rows, tables = [], [], []
-    for depth, (context, byte, n) in enumerate(levels):
+    contexts: list[np.ndarray]
+    rows: list[np.ndarray]  # context number in its depth times 256 plus byte
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    parents: list  # where a node's parent is in the table before: the decision in the context without its oldest byte
+
+
+def _trees(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], at: int = 0) -> _Trees:
+    """The trees of (context, byte, count) of each depth from ``at`` on, as far as there are contexts."""
+    out = _Trees([], [], [], [])
+    for depth, (context, byte, n) in enumerate(levels, at):
         known = np.unique(context) if depth else np.zeros(1, np.uint64)
         if depth and not len(known):
             break
         number = np.searchsorted(known, context)
-        contexts.append(known)
-        rows.append(number * 256 + byte)
-        tables.append(_level(number, byte, n))
-    # where a node's parent, the same decision in the context without its oldest byte, is in its table
-    parents: list = [None]
-    for depth in range(1, len(contexts)):
-        keys = tables[depth][0]
-        up = np.searchsorted(contexts[depth - 1], contexts[depth] & np.uint64((1 << 8 * (depth - 1)) - 1))
-        parents.append(np.searchsorted(tables[depth - 1][0], up[keys >> 8] * 256 + (keys & 255)))
-    weights: list = [None] * len(contexts)
-    log_pw = np.zeros(0)
-    for depth in range(len(contexts) - 1, -1, -1):
-        _, zeros, ones = tables[depth]
+        out.contexts.append(known)
+        out.rows.append(number * 256 + byte)
+        out.tables.append(_level(number, byte, n))
+        out.parents.append(_parents(out.contexts[-2], out.tables[-2], known, out.tables[-1], depth) if depth > at else None)
+    return out
+
+
+def _parents(contexts, table_, child_contexts, child_table, depth: int) -> np.ndarray:
+    """Places in a table of the parents of the nodes of the next, which is of ``depth``."""
+    keys = child_table[0]
+    up = np.searchsorted(contexts, child_contexts & np.uint64((1 << 8 * (depth - 1)) - 1))
+    return np.searchsorted(table_[0], up[keys >> 8] * 256 + (keys & 255))
+
+
+def _weights(trees: _Trees, log_pw: np.ndarray | None = None) -> tuple[list, np.ndarray]:
+    """Weight of each node's own estimate and estimate of the leaf of its other contexts, by depth; ln of the
+    weighted probabilities of the first depth. ``log_pw`` has those of the last depth, if it is weighed already."""
+    last = len(trees.tables) - 1
+    weights: list = [None] * len(trees.tables)
+    if log_pw is None:
+        last, log_pw = last + 1, np.zeros(0)
+    for depth in range(last - 1, -1, -1):
+        _, zeros, ones = trees.tables[depth]
         log_pe = _log_kt(zeros, ones)
         other_zeros, other_ones, below = zeros.copy(), ones.copy(), np.zeros(len(zeros))
         leaf = np.ones(len(zeros), bool)
-        if depth + 1 < len(contexts):
-            _, child_zeros, child_ones = tables[depth + 1]
-            parent = parents[depth + 1]
+        if depth + 1 < len(trees.tables):
+            _, child_zeros, child_ones = trees.tables[depth + 1]
+            parent = trees.parents[depth + 1]
             other_zeros -= np.bincount(parent, child_zeros, len(zeros))
             other_ones -= np.bincount(parent, child_ones, len(zeros))
             below = np.bincount(parent, log_pw, len(zeros))
@@ -253,32 +289,143 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
         rest = np.where(other_zeros + other_ones > 0, rest, (ones + 0.5) / (zeros + ones + 1))
         weights[depth] = (w, rest)
         log_pw = np.where(leaf, log_pe, np.log(0.5) + np.logaddexp(log_pe, below))
-    nodes, p_one, pairs, logs, first, total = [], [], [], [], [], 0
-    before, remaining = np.zeros(len(tables[0][0])), np.ones(len(tables[0][0]))
-    for depth, known in enumerate(contexts):
-        keys, zeros, ones = tables[depth]
-        w, rest = weights[depth]
+    return weights, log_pw
+
+
+def _estimates(
+    trees: _Trees, weights: list, before: np.ndarray, remaining: np.ndarray, total: int = 0
+) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model of the weighed depths, whose contexts are numbered from ``total``, from the share of the estimate
+    that is settled above each node of the first depth and the weight that remains; those of the last depth."""
+    nodes, p_one, pairs, logs, first = [], [], [], [], []
+    for depth, weighed in enumerate(weights):
+        if weighed is None:
+            break
+        keys, zeros, ones = trees.tables[depth]
+        own_rows, (w, rest) = trees.rows[depth], weighed
         if depth:
-            before, remaining = before[parents[depth]], remaining[parents[depth]]
+            before, remaining = before[trees.parents[depth]], remaining[trees.parents[depth]]
         own = before + remaining * w * (ones + 0.5) / (zeros + ones + 1)
         p = np.clip(own + remaining * (1 - w) * rest, 1e-12, 1 - 1e-12)
         before, remaining = own, remaining * (1 - w)
-        log = np.zeros(len(rows[depth]))
-        for decision, one in _decisions(rows[depth] & 255):
-            q = p[np.searchsorted(keys, (rows[depth] >> 8) * 256 + decision)]
+        log = np.zeros(len(own_rows))
+        for decision, one in _decisions(own_rows & 255):
+            q = p[np.searchsorted(keys, (own_rows >> 8) * 256 + decision)]
             log += np.log10(np.where(one, q, 1 - q))
         nodes.append(keys + total * 256)
         p_one.append(p.astype(np.float32))
-        order = np.argsort(rows[depth])
-        pairs.append(rows[depth][order] + total * 256)
+        order = np.argsort(own_rows)
+        pairs.append(own_rows[order] + total * 256)
         logs.append(log[order].astype(np.float32))
         first.append(total)
-        total += len(known)
-    return Model(contexts, first, *map(np.concatenate, (nodes, p_one, pairs, logs)))
+        total += len(trees.contexts[depth])
+    model = Model(trees.contexts[:len(first)], first, *map(np.concatenate, (nodes, p_one, pairs, logs)))
+    return model, before, remaining
+
+
+def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """The weighted trees of all binary decisions, from (context, byte, count) of each depth.
+
+    At each node, the evidence of its own KT estimate is weighed against that of its known child
+    contexts and of one more leaf that all its other contexts share. The mixture of all depths on
+    the path to a context is then one estimate for each decision met there.
+    """
+    trees = _trees(levels)
+    nodes = len(trees.tables[0][0])
+    return _estimates(trees, _weights(trees)[0], np.zeros(nodes), np.ones(nodes))[0]
+
+
+def known_levels(
+    gram: np.ndarray, n: np.ndarray, depths: range, least_seen: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, byte, count) of each depth for contexts seen so often; any count of the empty context will do."""
+    out = []
+    for depth in depths:
+        key, place = np.unique(gram & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        count = np.bincount(place, n, len(key)).astype(np.int64)
+        context = key >> np.uint64(8)
+        if depth:
+            found, place = np.unique(context, return_inverse=True)
+            kept = (np.bincount(place, count, len(found)) >= least_seen)[place]
+            key, count, context = key[kept], count[kept], context[kept]
+        out.append((context, (key & np.uint64(255)).astype(np.int64), count))
+    return out
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams, counts, training counts) of whole subtrees, from rows in the order of their roots."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("root", "gram", "n", "n_train")])
+        size += batch.num_rows
+        if size >= _CHUNK:
+            root, *cells = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(root, root[-1]))
+            held, size = [[root[cut:], *(c[cut:] for c in cells)]], 0
+            if cut:
+                yield cells[0][:cut].astype(np.uint64), cells[1][:cut], cells[2][:cut]
+    if held:
+        gram, n, n_train = [np.concatenate(x) for x in zip(*held, strict=True)][1:]
+        yield gram.astype(np.uint64), n, n_train
+
+
+def score_grams(grams: DataFrame, least_seen: int = LEAST_SEEN, root: int = ROOT) -> DataFrame:
+    """(gram, n, log) of each row of counted n-grams (gram, n, n_train): log10 of the probability of its byte.
+
+    Every context that ``least_seen`` training bytes follow is a node. Tasks get whole subtrees, of contexts that
+    end in the same ``root`` bytes, and give the evidence of these. The driver weighs what is above, which
+    grows with the different runs of ``root`` bytes and one more only. Then tasks weigh their subtrees
+    below it and score the n-grams, those never learnt as well.
+    """
+    spark = grams.sparkSession
+    mask = (1 << 8 * root) - 1
+    dealt = grams.select(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(mask)).alias("root"), "gram", "n", "n_train")
+    dealt = dealt.repartition("root").sortWithinPartitions("root")
+    below = range(root, DEPTH + 1)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, _, n in _subtrees(batches):
+            trees = _trees(known_levels(gram[n > 0], n[n > 0], below, least_seen), root)
+            if trees.tables:
+                keys = trees.tables[0][0]
+                node = (trees.contexts[0].astype(np.int64)[keys >> 8] << 8) | (keys & 255)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_weights(trees)[1])], ["node", "log_pw"])
+
+    weighed = dealt.where("n_train > 0").mapInArrow(evidence, "node long, log_pw double").toArrow()
+    top = grams.where("n_train > 0").groupBy(F.col("gram").bitwiseAND(F.lit((mask << 8) | 255)).alias("gram"))
+    top = top.agg(F.sum("n_train").alias("n")).toArrow()
+    trees = _trees(known_levels(top.column("gram").to_numpy().astype(np.uint64), top.column("n").to_numpy(), range(root + 1), least_seen))
+    log_pw = None
+    if len(trees.tables) > root:
+        node, log_pw = weighed.column("node").to_numpy(), weighed.column("log_pw").to_numpy()
+        log_pw = log_pw[np.argsort(node)]  # in the order of the last table
+    weights, _ = _weights(trees, log_pw)
+    nodes = len(trees.tables[0][0])
+    upper, before, remaining = _estimates(trees, weights, np.zeros(nodes), np.ones(nodes))
+    shared = spark.sparkContext.broadcast((upper, trees.tables[len(upper.first) - 1], before, remaining))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper, last, before, remaining = shared.value
+        for gram, n, n_train in _subtrees(batches):
+            learnt = n_train > 0
+            trees = _trees(known_levels(gram[learnt], n_train[learnt], below, least_seen), root)
+            model = upper
+            if trees.tables:
+                up = _parents(upper.contexts[-1], last, trees.contexts[0], trees.tables[0], root)
+                own, _, _ = _estimates(
+                    trees, _weights(trees)[0], before[up], remaining[up], upper.first[-1] + len(upper.contexts[-1])
+                )
+                model = Model(upper.contexts + own.contexts, upper.first + own.first, *(
+                    np.concatenate([getattr(upper, x), getattr(own, x)]) for x in ("nodes", "p_one", "pairs", "logs")
+                ))
+            log = model._of(gram)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n), pa.array(log)], ["gram", "n", "log"])
+
+    return dealt.mapInArrow(score, "gram long, n long, log double")
 
 
 def fit(grams: DataFrame, contexts: int = CONTEXTS, most_pairs: int = MOST_PAIRS) -> Model:
-    """The model of all counted n-grams (gram, n).
+    """A model of counted n-grams (gram, n) that fits into the driver, to look into; no query uses it.
 
     A context is known if it precedes at least one in ``contexts`` training bytes, so per depth at most
     that many are; the number is halved until the known contexts' pairs with the byte after them are
@@ -311,7 +458,31 @@ def fit(grams: DataFrame, contexts: int = CONTEXTS, most_pairs: int = MOST_PAIRS
     return weigh(out)
 
 
-def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
+def _least_frequent(scored: DataFrame, most: int) -> int:
+    """The least count of which there are at most ``most`` n-grams with that count or a higher one."""
+    found = scored.groupBy("n").count().toArrow()
+    least, held = 1 << 62, 0
+    for n, rows in sorted(zip(found.column("n").to_pylist(), found.column("count").to_pylist(), strict=True), reverse=True):
+        held += rows
+        if held > most:
+            break
+        least = n
+    return least
+
+
+def _gram_keys(gram: np.ndarray) -> pa.Array:
+    """Join keys of n-grams, which no word has: a line end, g and the n-gram's eight bytes from the highest."""
+    data = np.empty((len(gram), 10), np.uint8)
+    data[:, 0], data[:, 1] = _END, ord("g")
+    data[:, 2:] = gram.astype(">u8").view(np.uint8).reshape(-1, 8)
+    offsets = np.arange(len(gram) + 1, dtype=np.int32) * 10
+    return pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def score_texts(
+    docs: DataFrame, training: str, least_seen: int = LEAST_SEEN, frequent: int = FREQUENT,
+    frequent_grams: int = FREQUENT_GRAMS,
+) -> DataFrame:
     """Scores of every row of ``docs``; rows whose boolean column ``training`` is true teach.
 
     Adds to each row's doc_id and ``training``: n_tokens, n_known, train_tokens, base_score and score
@@ -320,7 +491,9 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
 
     One pass counts words and byte n-grams, combining within blocks before the shuffle. Words that
     make up at least one of ``frequent`` tokens, so at most that many, are broadcast; the other words
-    of a text meet their counts in a join, none of which has a large key then.
+    of a text meet their counts in a join, none of which has a large key then. n-grams are scored as a
+    table (``score_grams``); at most ``frequent_grams`` of them, the most frequent, are broadcast, and
+    the others of a text meet their scores in the same join. Neither number changes a result.
 
     NULL texts are empty: one token, the end. NULL ``training`` counts as false. Rows with repeated or
     NULL ids are scored as rows of their own. Other columns are ignored. Without training rows all
@@ -338,16 +511,27 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
     n_all, n_train = n_all or 0, n_train or 0
     common = F.col("n") * frequent >= max(2 * frequent, n_all)
     table_ = words.where(common).select("word", "n_train").toArrow()
-    model = fit(counted.where("gram is not null").select("gram", "n"), contexts)
+    scored = score_grams(counted.where("gram is not null").select("gram", "n", "n_train"), least_seen)
+    scored = materialise(scored, "scores")
+    least = _least_frequent(scored, frequent_grams)
+    kept = scored.where(F.col("n") >= least).select("gram", "log").toArrow()
+    known_grams, logs = kept.column("gram").to_numpy().astype(np.uint64), kept.column("log").to_numpy()
+    order = np.argsort(known_grams)
+    known_grams, logs = known_grams[order], logs[order]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, table_.column("word").to_pylist(), table_.column("n_train").to_numpy()))
+    shared = spark.sparkContext.broadcast((known_grams, logs, table_.column("word").to_pylist(), table_.column("n_train").to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent_words, found = shared.value
+        known_grams, logs, frequent_words, found = shared.value
         known = dict(zip(frequent_words, zip(np.log10(found + 0.5).tolist(), (found > 0).tolist(), strict=True), strict=True))
-        memo = model.fresh_memo()
+        memo = _fresh_memo()
+
+        def look_up(gram):
+            at, hit = _found(known_grams, gram)
+            return np.where(hit, logs[at] if len(logs) else 0, np.nan)
+
         number = TaskContext.get().partitionId() << 40
-        names = ["row", "word", "doc_id", "training", "n_tokens", "n_known", "base", "score", "n_bytes"]
+        names = ["row", "word", "doc_id", "training", "n_tokens", "n_known", "base", "score", "n_bytes", "times"]
         for batch in batches:
             texts, row = strings(batch.column("text")), 0
             while row < len(texts):
@@ -356,7 +540,15 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
                     part.append(words_of(texts[row + len(part)]))
                     held += len(texts[row + len(part) - 1]) + 8
                 gram, starts, lengths = _padded(part)
-                scores = np.add.reduceat(model.score(gram, memo), starts)
+                each = _remembered(gram, memo, look_up)
+                rare = np.flatnonzero(np.isnan(each))
+                each[rare] = 0
+                scores = np.add.reduceat(each, starts)
+                # a text's rare n-grams, each once with how often it stands there
+                grams, at = np.unique(gram[rare], return_inverse=True)
+                text = np.searchsorted(starts, rare, "right") - 1
+                cell, times = np.unique(text * max(1, len(grams)) + at, return_counts=True)
+                gram_row, gram_key = cell // max(1, len(grams)) + number, _gram_keys(grams[cell % max(1, len(grams))])
                 rare_row, rare_word, n_known, base = [], [], [], []
                 for i, words in enumerate(part):
                     got = list(map(known.get, words))
@@ -370,10 +562,10 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
                     n_known.append(sum(g[1] for g in got))
                 # a text's own row has a word that no text has, so that these rows spread
                 own = [b"\n%d" % (number + i) for i in range(len(part))]
-                size, extra = len(part), len(rare_row)
+                size, extra = len(part), len(rare_row) + len(cell)
                 cells = [
-                    pa.array([*range(number, number + size), *rare_row], pa.int64()),
-                    pa.array([*own, *rare_word], pa.binary()),
+                    pa.concat_arrays([pa.array([*range(number, number + size), *rare_row], pa.int64()), pa.array(gram_row)]),
+                    pa.concat_arrays([pa.array([*own, *rare_word], pa.binary()), gram_key]),
                     pa.concat_arrays([batch.column("doc_id")[row:row + size], pa.nulls(extra, batch.column("doc_id").type)]),
                     pa.concat_arrays([batch.column("training")[row:row + size], pa.nulls(extra, pa.bool_())]),
                 ]
@@ -382,6 +574,7 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
                     (scores, pa.float64()), (lengths, pa.int64()),
                 ):
                     cells.append(pa.concat_arrays([pa.array(values, kind), pa.nulls(extra, kind)]))
+                cells.append(pa.concat_arrays([pa.nulls(size + len(rare_row), pa.int64()), pa.array(times)]))
                 yield pa.RecordBatch.from_arrays(cells, names)
                 row += size
                 number += size
@@ -389,17 +582,19 @@ def score_texts(docs: DataFrame, training: str, contexts: int = CONTEXTS, freque
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(score, (
         f"row long, word binary, doc_id {kind}, training boolean, n_tokens long, n_known long, base double, "
-        "score double, n_bytes long"
+        "score double, n_bytes long, times long"
     ))
-    rare = words.where(~common).select("word", F.col("n_train").alias("c"))
-    met = rows.join(rare, "word", "left")
-    is_rare = F.col("n_tokens").isNull()
+    rare = words.where(~common).select("word", F.col("n_train").alias("c"), F.lit(None).cast("double").alias("log"))
+    key = F.concat(F.lit(b"\ng"), F.unhex(F.lpad(F.hex("gram"), 16, "0")))
+    rare_grams = scored.where(F.col("n") < least).select(key.alias("word"), F.lit(None).cast("long").alias("c"), "log")
+    met = rows.join(rare.unionAll(rare_grams), "word", "left")
+    is_rare = F.col("n_tokens").isNull() & F.col("times").isNull()
     c = F.coalesce("c", F.lit(0))
     summed = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("training").alias("training"), F.max("n_tokens").alias("n_tokens"),
         F.sum(F.when(is_rare, (c > 0).cast("long")).otherwise(F.col("n_known"))).alias("n_known"),
         F.sum(F.when(is_rare, F.log10(c + 0.5)).otherwise(F.col("base"))).alias("base"),
-        F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"),
+        F.sum(F.coalesce(F.col("times") * F.col("log"), "score")).alias("score"), F.max("n_bytes").alias("n_bytes"),
     )
     denominator = float(np.log10(n_train + 0.5 * (n_words + 1)))
     return summed.select(

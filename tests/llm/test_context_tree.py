@@ -151,3 +151,28 @@ def test_probabilities_add_up_to_one():
 def test_fewer_contexts_where_there_are_many(spark):
     grams = spark.createDataFrame([(i * 7919 % 100_000, 1 + i % 3) for i in range(2000)], "gram long, n long")
     assert len(T.fit(grams, most_pairs=500).pairs) <= 500 < len(T.fit(grams).pairs)
+
+
+def test_every_context_seen_twice_is_a_node_at_any_size(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcde"), 4)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 2500)), True) for i in range(100)]  # 1.25 MB
+    rows += [(200, "zq xv", True), (201, "zq xv", True), (202, "zq xv", False), (203, "zq new", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, training boolean")
+    gram, n = np.unique(T._padded([T.words_of(t) for _, t, learnt in rows if learnt])[0], return_counts=True)
+    model = T.weigh(T.known_levels(gram, n, range(T.DEPTH + 1), 2))
+    assert any((model.contexts[6] == int.from_bytes(b"\nzq xv", "big")).tolist())
+    expected = {}
+    for key, text, _ in rows:
+        expected[key] = model.score(T._padded([T.words_of(text)])[0], model.fresh_memo()).sum()
+    for frequent_grams in (0, 100, 1 << 20):
+        found = {r.doc_id: r.score for r in T.score_texts(docs, "training", frequent_grams=frequent_grams).collect()}
+        assert len(found) == len(rows)
+        assert all(math.isclose(found[k], expected[k], rel_tol=1e-5) for k in expected)
+    # met twice in 1.25 MB, it is foretold
+    assert found[202] > found[203] / 2
+    grams = spark.createDataFrame([(int(g), int(c), int(c)) for g, c in zip(gram, n, strict=True)], "gram long, n long, n_train long")
+    logs = [{r.gram: r.log for r in T.score_grams(grams, root=root).collect()} for root in (1, 3, 6)]
+    each = dict(zip(gram.tolist(), model.score(gram, model.fresh_memo()).tolist(), strict=True))
+    for found in logs:
+        assert all(math.isclose(found[g], each[g], rel_tol=1e-4, abs_tol=1e-6) for g in each)

@@ -1,7 +1,6 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and removed."""
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,6 +42,7 @@ _TOKEN = re.compile(
 )
 _NAMING = re.compile(r"""(?<![\w-])(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LAYOUT = re.compile(r"(?<![^\s])(?:with|has|no|without)-[a-z]+")  # of the page around a sidebar, not of the sidebar
 
 
 class Element:
@@ -54,7 +54,7 @@ class Element:
         for m in _NAMING.finditer(attributes) if attributes else ():
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                self.names |= frozenset(_WORD.findall(value))
+                self.names |= frozenset(_WORD.findall(_LAYOUT.sub("", value)))
             elif name == "role":
                 self.role = value
             else:
@@ -114,37 +114,44 @@ def parse(html: str) -> Element:
     return root
 
 
-def _mains(root: Element) -> list[Element]:
-    """The outermost elements that the page marks as its text."""
+def _marked(e: Element) -> bool:
+    return e.tag in ("article", "main") or e.role in ("article", "main")
+
+
+def _mains(root: Element, removed: set[int], asides: bool = False) -> list[Element]:
+    """The outermost elements that the page marks as its text, outside of what is removed; those in asides on demand."""
     out, stack = [], [root]
     while stack:
         e = stack.pop()
-        if e.tag in ("article", "main") or e.role in ("article", "main"):
+        if id(e) in removed or e.tag in _NEVER or not asides and _is_aside(e, False, set()):
+            continue
+        if _marked(e):
             out.append(e)
-        elif e.tag not in _NEVER:
+        else:
             stack += [c for c in reversed(e.children) if isinstance(c, Element)]
     return out
 
 
-def subtree_hashes(root: Element, mains: list[Element]) -> list[Element]:
-    """The block elements outside of the marked text, with the hashes of their subtrees set; none that has no text."""
-    inside = {id(m) for m in mains}
-    outside, stack = [], [root]
-    while stack:
-        e = stack.pop()
-        outside.append(e)
-        stack += [c for c in e.children if isinstance(c, Element) and id(c) not in inside]
+def subtree_hashes(root: Element) -> list[tuple[Element, Element]]:
+    """The block elements that may be templates, with the article, main element or else page each stands in.
+
+    Sets the hash of every element's subtree. Elements without text and those that are or hold an article or
+    main element are none.
+    """
+    every = list(root.elements())
+    within, holds = {id(root): root}, set()
+    for e in every[1:]:
+        within[id(e)] = e.parent if _marked(e.parent) else within[id(e.parent)]
     found = []
-    for e in reversed(outside):  # children before parents
-        if any(id(c) in inside for c in e.children):
-            inside.add(id(e))  # what holds the text is not template
-            continue
+    for e in reversed(every):  # children before parents
+        if _marked(e) or id(e) in holds:
+            holds |= {id(e), id(e.parent)}
         parts = [e.tag, " ".join(sorted(e.names))]
         for c in e.children:
             parts.append(f"<{c.hash}>" if isinstance(c, Element) else " ".join(c.split()))
         e.hash = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-        if e.tag in _BLOCKS and e.tag not in ("html", "body", "head") and any(p for p in parts[2:]):
-            found.append(e)
+        if e.tag in _BLOCKS and e.tag not in ("html", "body", "head") and id(e) not in holds and any(parts[2:]):
+            found.append((e, within[id(e)]))
     return found
 
 
@@ -162,8 +169,13 @@ def _is_aside(e: Element, within_main: bool, holds_main: set[int]) -> bool:
 def main_text(html: str, templates: frozenset[int] | set[int]) -> str:
     """Blocks of the page's text, joined by line ends; ``templates`` are hashes of subtrees to leave out."""
     root = parse(html)
-    mains = _mains(root)
-    removed = {id(e) for e in subtree_hashes(root, mains) if e.hash in templates}
+    removed = {id(e) for e, _ in subtree_hashes(root) if e.hash in templates} if templates else set()
+    mains = _mains(root, removed)
+    # where nothing is left without them, articles in what is named like an aside are the text
+    return _text_of(root, mains, removed) or _text_of(root, _mains(root, removed, True), removed)
+
+
+def _text_of(root: Element, mains: list[Element], removed: set[int]) -> str:
     holds_main: set[int] = set()
     for m in mains:
         e = m
@@ -203,24 +215,28 @@ def host_of(url: Column) -> Column:
 
 
 def _count_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, pages) of each batch; hash NULL counts the host's pages."""
+    """(host, hash, within) of each batch, each once: a subtree and the article or page it stands in; hash NULL for pages."""
     for batch in batches:
-        counts: Counter = Counter()
+        rows: set = set()
         for host, html in zip(batch.column("host").to_pylist(), strings(batch.column("html")), strict=True):
             root = parse(html)
-            counts[host, None] += 1
-            counts.update({(host, e.hash) for e in subtree_hashes(root, _mains(root))})
+            found = subtree_hashes(root)
+            rows.add((host, None, root.hash))
+            rows.update((host, e.hash, within.hash) for e, within in found)
+        rows = list(rows)
         yield pa.RecordBatch.from_arrays([
-            pa.array([h for h, _ in counts], pa.string()), pa.array([x for _, x in counts], pa.int64()),
-            pa.array(list(counts.values()), pa.int64()),
-        ], ["host", "hash", "pages"])
+            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.int64()),
+        ], ["host", "hash", "within"])
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """host and the hashes of its recurring subtrees. A host has at most 1 / ``share`` times as many as
     its pages have subtrees on average."""
-    counted = pages.select("host", "html").mapInArrow(_count_subtrees, "host string, hash long, pages long")
-    counted = materialise(counted.groupBy("host", "hash").agg(F.sum("pages").alias("pages")), "subtree_counts")
+    counted = pages.select("host", "html").mapInArrow(_count_subtrees, "host string, hash long, within long")
+    # copies of an article or page are one
+    counted = counted.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    counted = materialise(counted, "subtree_counts")
     hosts = counted.where("hash is null").select("host", F.col("pages").alias("host_pages"))
     frequent = counted.where(F.col("hash").isNotNull() & (F.col("pages") >= least_pages)).join(hosts, "host")
     frequent = frequent.where(F.col("pages") >= F.col("host_pages") * share)
@@ -231,14 +247,15 @@ def extract_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float
     """page_id, url, text and n_chars (code points) of every row of ``pages``.
 
     The text is that of the article or main element; where a page marks none, that of the page. Left
-    out are subtrees that recur on the host's pages (hashed with tags, names and text, counted once
-    a page by a shuffle of counts only), and menus, headers, footers, sidebars, notices, adverts,
-    forms, comments and scripts as their tags, roles or names tell. What stands inside the article
-    is never taken for a template, however often it is repeated. Character references are decoded,
+    out are subtrees that recur on the host's pages (hashed with tags, names and text), in its articles
+    too, and menus, headers, footers, sidebars, notices, adverts,
+    forms, comments and scripts as their tags, roles or names tell. A subtree is counted
+    once for each different article, main element or else page it stands in, so that copies, which are one,
+    stay whole. An article in an aside is text only where nothing else is. Character references are decoded,
     white space in a block is one blank, blocks are lines.
 
     NULL and empty pages have empty text; pages without host are one host. Repeated pages are
-    extracted in each row, and count as pages of their host. Broken markup is read to its end. Other
+    extracted in each row, and count as one page of their host. Broken markup is read to its end. Other
     columns are ignored. No pages, no rows.
     """
     small_batches(pages.sparkSession)

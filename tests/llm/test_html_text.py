@@ -65,3 +65,11 @@ def test_table_keeps_whole_articles(spark):
     for r in found:
         article = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         assert r.text.count("\n") + 1 >= article.count("<p>") / 2 and "<" not in r.text and "\xa9" not in r.text
+
+
+def test_templates_in_articles_and_text_outside_of_teasers(spark):
+    rows = [(i, "http://a.org", f"<article><p>Story {i}</p><div class='x'>Tell friends</div></article>") for i in range(8)]
+    rows += [(10 + i, "http://a.org", f"<p>Date {i}</p><article><p>Copied</p><div class='x'>Tell friends</div></article>") for i in range(8)]
+    rows.append((30, "http://b.org", "<div>Long story</div><div class='related'><article>A teaser</article></div>"))
+    found = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"Story {i}" for i in range(8)} | {10 + i: "Copied" for i in range(8)} | {30: "Long story"}

@@ -22,13 +22,16 @@ _CACHE_ROWS = 300_000
 _LONGEST = 64
 
 
-def _pretokens(lowered: bytes) -> list[bytes]:
-    """The text between ASCII white space, for a text whose A-Z are lower-cased.
+def _pretokens(text: bytes) -> list[bytes]:
+    """The text between ASCII white space, its wholly ASCII pieces lower-cased.
 
-    This tokenizer works within white space and lower-cases letter by letter, so the counts of
-    these pieces add up to the count of the text.
+    This tokenizer works within white space, composes letters and then lower-cases them, so the
+    counts of these pieces add up to the count of the text. Others keep their capitals, as some
+    letters compose in lower case only.
     """
-    return lowered.split()
+    if text.isascii():
+        return text.lower().split()
+    return [x.lower() if x.isascii() else x for x in text.split()]
 
 
 def frequent_pretokens(docs: DataFrame, rows: int = TABLE_ROWS) -> list[bytes]:
@@ -38,7 +41,7 @@ def frequent_pretokens(docs: DataFrame, rows: int = TABLE_ROWS) -> list[bytes]:
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column(0):
-                counts.update(_pretokens((text.as_py() or "").encode().lower()))
+                counts.update(_pretokens((text.as_py() or "").encode()))
             best = [(w, n) for w, n in counts.most_common(_NAMED) if len(w) <= _LONGEST]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["piece", "n"]
@@ -116,11 +119,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_rows: int
             texts = strings(batch.column("text"))
             n_tokens, waiting, held = [0] * len(texts), [], 0
             for i, text in enumerate(texts):
-                lowered = text.encode().lower()
+                coded = text.encode()
+                lowered = coded.lower()
                 if any(x in lowered for x in added):
                     n_tokens[i] = len(tokenizer.encode(text, add_special_tokens=False))
                 else:
-                    waiting.append((i, _pretokens(lowered)))
+                    waiting.append((i, _pretokens(coded)))
                     held += len(waiting[-1][1])
                 if waiting and (held > 100_000 or i == len(texts) - 1):
                     known.learn(set().union(*(p for _, p in waiting)))

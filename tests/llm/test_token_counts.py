@@ -43,3 +43,11 @@ def test_table_of_documents(spark):
 def test_no_rows(spark, rows):
     docs = spark.createDataFrame([(None, None)][:rows], "doc_id long, text string")
     assert token_counts.count_tokens(docs, PATH).count() == rows
+
+
+def test_letters_that_compose_in_lower_case_only(spark):
+    texts = ["J̌", "aJ̌b THE", "Ä ABC", "T̈ x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = {i: len(tokenizer.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, PATH).collect()} == expected

@@ -2,6 +2,7 @@
 
 from evalgrid.llm import (
     context_tree,
+    conversation_repair,
     decontamination,
     html_text,
     language_id,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard_join": near_duplicates.op8_jaccard_join,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_survivor_viterbi": conversation_repair.op11_survivor_viterbi,
 }
 
 ORACLES = {

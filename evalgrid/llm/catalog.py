@@ -10,6 +10,7 @@ from evalgrid.llm import (
     packing,
     quality,
     rotated_codes,
+    spelling,
     token_counts,
     url_filter,
 )
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_survivor_viterbi": conversation_repair.op11_survivor_viterbi,
+    "op12_prefix_suffix_tiles": spelling.op12_prefix_suffix_tiles,
 }
 
 ORACLES = {

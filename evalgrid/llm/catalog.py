@@ -8,6 +8,7 @@ from evalgrid.llm import (
     language_id,
     near_duplicates,
     packing,
+    personal_data,
     quality,
     rotated_codes,
     spelling,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_survivor_viterbi": conversation_repair.op11_survivor_viterbi,
     "op12_prefix_suffix_tiles": spelling.op12_prefix_suffix_tiles,
+    "op13_bootstrapped_contexts": personal_data.op13_bootstrapped_contexts,
 }
 
 ORACLES = {

@@ -853,6 +853,64 @@ def corrupt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.with_labels(counted, "path").select("modelname", "n_records", "n_corrupt")
 
 
+def _with_cut_tails(spark: SparkSession, sf_dir: str, within: bool) -> str:
+    """Results of all models in the order of their keys, the last record of each cut off; with ``within`` others as well."""
+    directory = f"{scratch_path(spark, 'testset')}/results"
+    rows = D.results(spark, sf_dir)
+    ends = rows.groupBy("modelname").agg(F.max("Key").alias("end"))
+    line = F.to_json(F.struct("Key", "resp"))
+    is_cut = (F.col("Key") == F.col("end")) | ((F.col("Key") % 101 == 0) & F.lit(within))
+    cut = F.when(is_cut, line.substr(F.lit(1), F.length(line) - 3)).otherwise(line)
+    rows = rows.join(F.broadcast(ends), "modelname").select("Key", "modelname", cut.alias("value"))
+    for model in D.MODELS:
+        mine = rows.where(F.col("modelname") == model).orderBy("Key")
+        mine.select("value").write.text(result_files.results_path(directory, D.PROMPTING, model))
+    return f"{directory}/*{K.RESULTS_ENDING}"
+
+
+@registered(
+    O.query(
+        'SELECT "Key", prompting, modelname, resp FROM results AS r '
+        'WHERE "Key" < (SELECT max("Key") FROM results AS o WHERE o.modelname = r.modelname)'
+    )
+)
+def cut_off_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the last record of each file is cut off, as a crash leaves it; any other damage would fail."""
+    rows = eg.load_results_as_dataframe(spark, _with_cut_tails(spark, sf_dir, within=False), cut_tail=True)
+    return rows.select("Key", "prompting", "modelname", "resp")
+
+
+@registered(
+    O.query(
+        'SELECT modelname, count(*) AS n_records, count(*) FILTER ("Key" % 101 = 0 AND "Key" < last) AS n_damaged, '
+        '1::BIGINT AS n_cut_off FROM (SELECT *, max("Key") OVER (PARTITION BY modelname) AS last FROM results) '
+        "GROUP BY modelname"
+    )
+)
+def damage_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of each file, the one at its end apart from those within."""
+    counted = eg.damage_by_place(spark, _with_cut_tails(spark, sf_dir, within=True), schemas.RESULTS)
+    return labels.with_labels(counted, "path").drop("path", "prompting")
+
+
+@registered(
+    O.query(
+        'SELECT "Key", goldresp, \'testset\' AS EXPNAME, row_number() OVER (ORDER BY "Key") - 1 AS EXP_i, '
+        "'note ' || \"Key\" AS note, (\"Key\" % 7) / 2 AS half FROM trials"
+    )
+)
+def row_index_from_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers and the types of other fields from the directory of splits that an earlier load has stored."""
+    rows = eg.obfuscate_goldresp(D.trials(spark, sf_dir))
+    note = F.concat(F.lit("note "), F.col("Key").cast("string"))
+    rows = rows.withColumns({"note": note, "half": (F.col("Key") % 7) / 2}).orderBy("Key")
+    path = f"{scratch_path(spark, 'testset')}/{K.TESTSET_FILE}"
+    rows.write.option("compression", "bzip2").json(path)
+    eg.load_testset(spark, path.rpartition("/")[0])
+    again = eg.load_testset(spark, path.rpartition("/")[0])
+    return again.select("Key", "goldresp", "EXPNAME", "EXP_i", "note", "half")
+
+
 def _documents(spark: SparkSession, sf_dir: str, ending: str, codec: str, columns: bool = False) -> str:
     """Trials in JSON documents, one for every batch of rows; returns their folder's pattern."""
     names = ["Key", "text", "goldresp", "problemsize", "expectedresp"]

@@ -6,6 +6,7 @@ Lineage is cut by writing a table to the shared folder the session names in
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +58,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_once(spark: SparkSession, name: str, table: Callable[[], DataFrame]) -> DataFrame:
+    """A scan of the table kept under ``name`` in the shared folder, computed if it is not there yet.
+
+    It outlives the application. The table is written elsewhere and then renamed, so it is there
+    whole or not at all; of two that write at once, one is taken. ``name`` has to say all that the
+    table depends on.
+    """
+    jvm = spark.sparkContext._jvm
+    kept = f"{shared_folder(spark)}/evalgrid/kept/{name}"
+    path = jvm.org.apache.hadoop.fs.Path(kept)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        new = scratch_path(spark, "kept")
+        table().write.parquet(new)
+        files.mkdirs(path.getParent())
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(new), path) and not files.exists(path):
+            raise OSError(f"cannot move {new} to {kept}")
+    return spark.read.parquet(kept)

@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from evalgrid import constants as K
 from evalgrid.functions.labels import (
@@ -20,6 +19,7 @@ from evalgrid.functions.labels import (
 )
 from evalgrid.functions.lookups import named
 from evalgrid.session import scratch_path
+from evalgrid.sources.splits import FILE, inferred_fields, scan_places, split_directory, with_position
 
 Paths = str | Sequence[str]
 
@@ -30,8 +30,9 @@ _BATCH_LINES = 20_000
 PATH = "__path"
 # Path of an experiment's folder.
 FOLDER = "__folder"
-# Position of a row in a document of columns.
+# Position of a row in its file or document.
 ROW = "__row"
+_BROKEN = "__broken"
 
 
 def as_list(paths: Paths) -> list[str]:
@@ -118,6 +119,21 @@ def read_json(
     return df
 
 
+def inferred_schema(spark: SparkSession, paths: Paths) -> T.StructType:
+    """Schema of JSON files; that of JSON-Lines comes from their stored directory of splits."""
+    paths = as_list(paths)
+    if all(is_lines(p) for p in paths):
+        found = inferred_fields(split_directory(spark, paths, fields=True))
+        if found is not None:
+            return found
+    return read_json(spark, paths).schema
+
+
+def is_lines(path: str) -> bool:
+    """Whether a file is JSON-Lines that Spark unpacks itself."""
+    return _kind(path) == "lines" and not path.rstrip("/").endswith(".zip")
+
+
 def corrupt_records(spark: SparkSession, paths: Paths, schema: T.StructType) -> DataFrame:
     """``path, n_records, n_corrupt`` of JSON-Lines files: what ``skip_corrupt`` leaves out of each."""
     broken = "__corrupt"
@@ -263,51 +279,57 @@ def with_row_index(
     paths: Paths,
     schema: T.StructType,
     name: str = "EXP_i",
+    fields: bool = False,
 ) -> DataFrame:
     """JSON-Lines records with their row number in the file, counted from 0.
 
-    A first look counts the records of each split of each file; the running total of
-    those counts is the number of a split's first record. Both looks split the files the
-    same way. The table of splits is joined as Spark finds best by its size. The
-    experiment's ``EXPNAME`` and ``__folder`` are worked out once per split too.
+    The number of a split's first record comes from the files' stored directory of splits, which is
+    made by one look at the files and used again until they change. The experiment's ``EXPNAME`` and
+    ``__folder`` are worked out once per split too.
     """
-    position, block, first = "__position", "__block", "__first"
-
-    def scan() -> DataFrame:
-        return (
-            spark.read.schema(schema)
-            .option("mode", "FAILFAST")
-            .json(as_list(paths))
-            .select(
-                "*",
-                F.col("_metadata.file_path").alias("__file"),
-                F.col("_metadata.file_block_start").alias(block),
-                F.monotonically_increasing_id().alias(position),
-            )
-        )
-
-    # parts of a folder by number, as names stop sorting at part 100000
-    part = F.regexp_extract("__file", r"/part-(\d+)[^/]*$", 1)
-    number = F.when(part != "", part.cast("bigint"))
-    in_order = Window.partitionBy("__whole").orderBy(number, "__file", block)
-    blocks = (
-        scan()
-        .groupBy("__file", block)
-        .agg(F.min(position).alias(first), F.count(F.lit(1)).alias("__n"))
-        .withColumn("__whole", logical_file("__file"))
-        .withColumn("__before", F.sum("__n").over(in_order) - F.col("__n"))
-        .select("__file", block, first, "__before", plain_path("__file").alias(PATH))
-        .withColumn(FOLDER, experiment_folder(PATH))
+    directory = split_directory(spark, as_list(paths), fields)
+    splits = (
+        directory.drop("fields", "n_odd")
+        .withColumn(FOLDER, experiment_folder(plain_path(FILE)))
         .withColumn("EXPNAME", experiment_name(FOLDER))
     )
-    fields = [f.name for f in schema.fields]
-    return (
-        scan()
-        .join(blocks, ["__file", block])
-        .select(
-            *fields,
-            (F.col("__before") + F.col(position) - F.col(first)).alias(name),
-            "EXPNAME",
-            FOLDER,
-        )
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(as_list(paths)).select("*", *scan_places())
+    numbered = with_position(rows, splits)
+    return numbered.select(*map(named, schema.fieldNames()), F.col(ROW).alias(name), "EXPNAME", FOLDER)
+
+
+def lines_but_cut_tail(spark: SparkSession, paths: Paths, schema: T.StructType) -> DataFrame:
+    """JSON-Lines records without a damaged one that is the last of its logical file; adds the scan's ``__split_file``.
+
+    That is what a crash while writing leaves. A damaged record at any other place fails the job.
+    """
+    rows = _lines_by_place(spark, paths, schema)
+    message = F.concat(F.lit("damaged record before the end of "), PATH, F.lit(", row "), F.col(ROW).cast("string"))
+    fails = F.raise_error(message).cast("boolean")
+    whole = F.when(~F.col(_BROKEN), F.lit(True)).when(F.col("__is_end"), F.lit(False)).otherwise(fails)
+    return rows.where(whole).select(*map(named, schema.fieldNames()), FILE)
+
+
+def damage_by_place(spark: SparkSession, paths: Paths, schema: T.StructType) -> DataFrame:
+    """``path, n_records, n_damaged, n_cut_off`` of JSON-Lines files.
+
+    A damaged record is cut off if it is the last of its logical file; ``n_damaged`` counts all others.
+    """
+    rows = _lines_by_place(spark, paths, schema)
+    end = F.col("__is_end")
+    return rows.groupBy(logical_file(PATH).alias("path")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if(F.col(_BROKEN) & ~end).alias("n_damaged"),
+        F.count_if(F.col(_BROKEN) & end).alias("n_cut_off"),
     )
+
+
+def _lines_by_place(spark: SparkSession, paths: Paths, schema: T.StructType) -> DataFrame:
+    """All records, damaged ones marked ``__broken``, with their path, place and whether they are the last."""
+    text = "__corrupt"
+    wanted = T.StructType([*schema.fields, T.StructField(text, T.StringType())])
+    lines = spark.read.schema(wanted).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", text)
+    # every field has to be parsed for a record to be found damaged
+    seen = F.to_json(F.struct(*map(named, schema.fieldNames())))
+    rows = lines.json(as_list(paths)).select("*", *scan_places())
+    rows = with_position(rows, split_directory(spark, as_list(paths)))
+    return rows.withColumn(_BROKEN, F.col(text).isNotNull() & seen.isNotNull()).withColumn(PATH, plain_path(FILE))

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalgrid import constants as K
 from evalgrid import schemas
@@ -20,8 +21,10 @@ from evalgrid.sources.records import (
     Paths,
     as_list,
     find_files_ending_in,
+    lines_but_cut_tail,
     path_exists,
 )
+from evalgrid.sources.splits import FILE
 from evalgrid.sources.trials import (
     get_trials_file,
     is_experiment_directory,
@@ -58,6 +61,7 @@ def load_results_as_dataframe(
     paths: Paths,
     add_modelname_and_prompting: bool = True,
     skip_corrupt: bool = False,
+    cut_tail: bool = False,
 ) -> DataFrame:
     """Responses of any number of ``.jsonl`` files, in one scan.
 
@@ -65,7 +69,9 @@ def load_results_as_dataframe(
     files. Names that carry no labels are an error, found on the list of files before any is
     read, whatever columns are asked for.
 
-    ``skip_corrupt`` leaves out cut-off records, as a crash while writing leaves them.
+    A damaged record fails the job. ``cut_tail`` leaves it out where it is the last one of its file, as
+    a crash while writing leaves it; damage at another place fails still (``damage_by_place`` counts
+    both). ``skip_corrupt`` leaves out every damaged record.
     """
     paths = as_list(paths)
     if not paths:
@@ -73,17 +79,28 @@ def load_results_as_dataframe(
     for path in paths:
         if not path.rstrip("/").endswith(".jsonl"):
             raise ValueError(f"responses are read from .jsonl files only, not {path}")
-    mode = "DROPMALFORMED" if skip_corrupt else "FAILFAST"
-    rows = spark.read.schema(schemas.RESULTS).option("mode", mode).json(paths)
+    rows, path = _lines(spark, paths, schemas.RESULTS, skip_corrupt, cut_tail)
     if not add_modelname_and_prompting:
-        return rows
-    for path in paths:
-        if not any(c in path for c in "*?[{"):
-            labels.infer_modelname_and_prompting(path)
+        return rows.select(*schemas.RESULTS.fieldNames())
+    for name in paths:
+        if not any(c in name for c in "*?[{"):
+            labels.infer_modelname_and_prompting(name)
     # the scan's own list of files, which the driver has in any case
-    for file in {labels.whole_file(f) for f in rows.inputFiles()}:
+    for file in {labels.whole_file(f) for f in spark.read.text(paths).inputFiles()}:
         labels.infer_modelname_and_prompting(file)
-    return labels.with_labels(rows)
+    return labels.with_labels(rows, path).select(*schemas.RESULTS.fieldNames(), "modelname", "prompting")
+
+
+def _lines(
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType, skip_corrupt: bool, cut_tail: bool
+) -> tuple[DataFrame, str]:
+    """Records of results files, and the column that has their path."""
+    if cut_tail:
+        if skip_corrupt:
+            raise ValueError("either a cut-off tail or every damaged record is left out")
+        return lines_but_cut_tail(spark, paths, schema), FILE
+    mode = "DROPMALFORMED" if skip_corrupt else "FAILFAST"
+    return spark.read.schema(schema).option("mode", mode).json(list(paths)), "_metadata.file_path"
 
 
 def results_files(spark: SparkSession, directory: str) -> list[str]:
@@ -116,22 +133,23 @@ def load_experiment_results_as_dataframe(
     include_params_fields: bool = False,
     trials_path: str | None = None,
     skip_corrupt: bool = False,
+    cut_tail: bool = False,
 ) -> DataFrame:
     """Responses stored by position, with their trials.
 
     A record is ``{"row_i", "text2", "fullresp1", "fullresp2", "resp", "confidence"}``,
     later fields optional. All files are one scan and one join on experiment and row
     number. A question that differs between both sides fails the job, and so does a
-    malformed record, unless ``skip_corrupt`` leaves it out.
+    malformed record, unless ``skip_corrupt`` or, at the end of a file, ``cut_tail`` leaves it out.
     """
     paths = as_list(paths)
-    mode = "DROPMALFORMED" if skip_corrupt else "FAILFAST"
-    records = spark.read.schema(schemas.POSITIONAL_RESULTS).option("mode", mode).json(paths)
-    folder = labels.experiment_folder_of_results("_metadata.file_path")
+    records, path = _lines(spark, paths, schemas.POSITIONAL_RESULTS, skip_corrupt, cut_tail)
+    records = records.select(*schemas.POSITIONAL_RESULTS.fieldNames(), F.col(path).alias("__encoded"))
+    folder = labels.experiment_folder_of_results("__encoded")
     results = (
-        labels.with_labels(records.select("*", "_metadata", folder.alias("__encoded")))
-        .withColumn(FOLDER, labels.plain_path("__encoded"))
-        .drop("_metadata", "__encoded", "prompting")
+        labels.with_labels(records, "__encoded")
+        .withColumn(FOLDER, labels.plain_path(folder))
+        .drop("__encoded", "prompting")
         .withColumnRenamed("row_i", "EXP_i")
     )
     if trials_path is None:
@@ -168,6 +186,7 @@ def load_all_results(
     directories: Sequence[str],
     include_partials: bool = False,
     skip_corrupt: bool = False,
+    cut_tail: bool = False,
 ) -> DataFrame:
     """Responses by position of all experiments in or at the given paths."""
     endings = [LEGACY_FILE] + ([LEGACY_PARTIAL] if include_partials else [])
@@ -181,7 +200,7 @@ def load_all_results(
                 paths += sorted(row.path for row in found.select("path").collect())
     if not paths:
         raise ValueError(f"no results files in {list(directories)}")
-    return load_experiment_results_as_dataframe(spark, paths, skip_corrupt=skip_corrupt)
+    return load_experiment_results_as_dataframe(spark, paths, skip_corrupt=skip_corrupt, cut_tail=cut_tail)
 
 
 def load_as_dataframe(

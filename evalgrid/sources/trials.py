@@ -21,6 +21,8 @@ from evalgrid.sources.records import (
     ROW,
     Paths,
     as_list,
+    inferred_schema,
+    is_lines,
     path_exists,
     read_json,
     with_row_index,
@@ -60,15 +62,15 @@ def trials_schema(
 ) -> T.StructType:
     """Schema of trials files: the known fields they have, and every other one.
 
-    Found by one distributed pass over the files, unless the other fields are given
-    as ``extra`` (an empty struct for none), in which case all known fields are taken.
+    Found by one distributed pass over the files, which is kept for later loads, unless the other
+    fields are given as ``extra`` (an empty struct for none), in which case all known fields are taken.
     """
     if extra is not None:
         named = {f.name for f in extra.fields}
         return T.StructType([f for f in schemas.TRIALS.fields if f.name not in named] + extra.fields)
     known = {f.name: f for f in schemas.TRIALS.fields}
     opaque = "tuple_ID"  # any type will do as a key
-    found = read_json(spark, paths).schema.fields
+    found = inferred_schema(spark, paths).fields
     return T.StructType([
         known[f.name] if f.name in known and f.name != opaque else f for f in found
     ])
@@ -108,17 +110,18 @@ def load_trials_as_dataframe(
 ) -> DataFrame:
     """Trials files, with the experiment's name ``EXPNAME`` and the row number ``EXP_i``.
 
-    Several files of one layout are one scan. See ``trials_schema`` for ``extra``. The
-    row number takes a second look at the files: leave it out where it is not needed.
+    Several files of one layout are one scan. See ``trials_schema`` for ``extra``. Schema and row
+    numbers take one look at the files, whose findings are kept (``splits``): the first load reads
+    the files twice, later ones once.
     """
     paths = as_list(paths)
     for path in paths:
         if not path_exists(spark, path):
             raise FileNotFoundError(f"no such trials file: {path}")
     schema = trials_schema(spark, paths, extra)
-    lines = all(p.rstrip("/").endswith(K.JSONL_ENDINGS) and not p.endswith(".zip") for p in paths)
-    if include_expname_fields and lines:
-        df = with_row_index(spark, paths, schema)
+    if include_expname_fields and all(map(is_lines, paths)):
+        # the look for the schema has counted the splits too
+        df = with_row_index(spark, paths, schema, fields=extra is None)
     else:
         by_file = include_expname_fields or keep_folder
         df = read_json(spark, paths, schema, with_path=by_file)

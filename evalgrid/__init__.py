@@ -3,10 +3,13 @@
 from evalgrid.functions.labels import infer_modelname_and_prompting
 from evalgrid.functions.numbers import format_cell
 from evalgrid.operators.assemble import (
+    answered_by_position,
     assemble_trials_and_results_df,
     coverage,
     invalid_responses,
     join_by_position,
+    mismatches_by_position,
+    pending_by_model,
     pending_trials,
     reprompts,
     require_same_text,

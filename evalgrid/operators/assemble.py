@@ -1,12 +1,16 @@
 """Bringing trials and responses together."""
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions import lookups as L
+from evalgrid.session import materialise
+
+# Rows that are sent to every task to fetch the texts of; more are joined by size.
+MOST_SENT = 100_000
 
 
 def stack(frames: Iterable[DataFrame]) -> DataFrame:
@@ -36,6 +40,35 @@ def pending_trials(trials: DataFrame, results: DataFrame) -> DataFrame:
     return trials.join(results.select("Key").distinct(), "Key", "left_anti")
 
 
+def pending_by_model(
+    trials: DataFrame, results: DataFrame, models: Sequence[tuple[str, str | None]] | None = None
+) -> DataFrame:
+    """Trials without a response yet, for every model: the trials' columns, ``modelname`` and ``prompting``.
+
+    ``models`` are pairs of (modelname, prompting), those of ``results`` if not given, which takes a look
+    at their labels. One aggregate over the responses keeps, for each key, a bit for each model, 64 to a
+    number; so all models take one scan and one join, and a row is made only for what is pending. A NULL
+    key is answered by no response. A model with responses that is not in ``models`` is not asked about.
+    """
+    spark, labels = trials.sparkSession, ["modelname", "prompting"]
+    if models is None:
+        models = [tuple(r) for r in results.select(*labels).distinct().collect()]
+    models = sorted(set(models), key=str)
+    numbered = spark.createDataFrame(
+        [(i // 64, i % 64, *m) for i, m in enumerate(models)], "__word int, __bit int, modelname string, prompting string"
+    )
+    both = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in labels]
+    answered = (
+        results.alias("r").join(F.broadcast(numbered.alias("m")), both)
+        .groupBy("r.Key", "m.__word").agg(F.bit_or(F.expr("shiftleft(1L, m.__bit)")).alias("__done"))
+    )
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit(F.coalesce("__done", F.lit(0).cast("long")), b) == 0, b))
+    words = F.explode(F.sequence(F.lit(0), F.lit((len(models) - 1) // 64))) if models else F.explode(F.array().cast("array<int>"))
+    left = trials.withColumn("__word", words).join(answered, ["Key", "__word"], "left")
+    left = left.withColumn("__bit", F.explode(F.array_compact(bits)))
+    return left.join(F.broadcast(numbered), ["__word", "__bit"]).select(*map(L.named, trials.columns), *labels)
+
+
 def coverage(trials: DataFrame, results: DataFrame) -> DataFrame:
     """Rows answered per model and prompting, next to the number of trials."""
     n_trials = trials.agg(F.count(F.lit(1)).alias("n_trials")).scalar()
@@ -94,3 +127,45 @@ def require_same_text(joined: DataFrame) -> DataFrame:
     """Pass rows on without ``text2``; a differing question fails the job."""
     message = F.concat(F.lit("trials and results do not line up at row "), F.col("EXP_i").cast("string"))
     return require(joined, F.col("text").eqNullSafe(F.col("text2")), message).drop("text2")
+
+
+def text_digest(c: Column | str) -> Column:
+    """16 bytes that stand for a text; NULL for NULL."""
+    return F.unhex(F.md5(L.column(c).cast("binary")))
+
+
+def answered_by_position(
+    trials: DataFrame, results: DataFrame, on: Iterable[str] = ("EXP_i",)
+) -> DataFrame:
+    """The i-th response with the i-th trial; a differing question fails the job.
+
+    The same rows as ``require_same_text`` of ``join_by_position``, but the questions are compared by
+    digests taken before the exchange. ``text2`` crosses none, and ``text`` only if it is asked for.
+    """
+    asked = trials.withColumn("__text", text_digest("text"))
+    answered = results.withColumn("__text2", text_digest("text2")).drop("text2")
+    joined = join_by_position(asked, answered, on)
+    message = F.concat(F.lit("trials and results do not line up at row "), F.col("EXP_i").cast("string"))
+    return require(joined, F.col("__text").eqNullSafe(F.col("__text2")), message).drop("__text", "__text2")
+
+
+def mismatches_by_position(
+    trials: DataFrame, results: DataFrame, on: Iterable[str] = ("EXP_i",)
+) -> DataFrame:
+    """``on, text, text2`` of the responses whose question differs from the trial's, like ``text_mismatches``.
+
+    Row numbers and digests are joined first; texts are fetched for the rows that differ alone.
+    """
+    on = list(on)
+    answered = results.select(*on, text_digest("text2").alias("__text2"))
+    asked = trials.select(*on, text_digest("text").alias("__text"))
+    differ = answered.join(asked, on, "left").where(~F.col("__text").eqNullSafe(F.col("__text2")))
+    rows = materialise(differ.select(*on).distinct(), "differing")
+    rows = (F.broadcast(rows) if rows.count() <= MOST_SENT else rows).alias("d")
+
+    def fetched(side: DataFrame, text: str) -> DataFrame:
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in on]
+        return side.select(*on, text).alias("s").join(rows, same, "left_semi")
+
+    questions = materialise(fetched(trials, "text"), "questions")
+    return text_mismatches(fetched(results, "text2").join(questions, on, "left")).select(*on, "text", "text2")

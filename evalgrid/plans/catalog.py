@@ -1087,6 +1087,18 @@ def text_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.text_mismatches(joined).select("EXP_i", "text", "text2")
 
 
+@registered(
+    "SELECT o_orderkey AS EXP_i, 'Q' || o_orderkey AS text, CASE WHEN o_orderkey % 11 = 3 THEN 'Q' || (o_orderkey + 1) END AS text2 "
+    "FROM orders WHERE o_orderkey % 11 = 3 OR o_orderkey % 13 = 5"
+)
+def mismatches_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differing and missing questions, found by their digests."""
+    trials = _positional(spark, sf_dir)[0]
+    i = F.col("EXP_i")
+    shifted = F.when(i % 11 == 3, F.concat(F.lit("Q"), (i + 1).cast("string"))).when(i % 13 != 5, F.col("text"))
+    return eg.mismatches_by_position(trials, trials.select("EXP_i", shifted.alias("text2")))
+
+
 @registered(
     "SELECT o_orderkey AS prefix_key, o_totalprice FROM orders "
     "WHERE o_orderkey < (SELECT count(*) // 8 FROM lineitem)"
@@ -1155,6 +1167,20 @@ def pending_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.stack(left)
 
 
+@registered(
+    O.query(
+        """SELECT m.modelname, m.prompting, t."Key", t.text FROM trials t, (SELECT DISTINCT modelname, prompting FROM results
+  UNION ALL SELECT 'silent-model', 'basic') AS m
+WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r."Key" = t."Key" AND r.modelname = m.modelname AND r.prompting = m.prompting)"""
+    )
+)
+def pending_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every model has still to answer, one of them all of it, from one scan of the responses."""
+    models = [(m, D.PROMPTING) for m in (*D.MODELS, "silent-model")]
+    pending = eg.pending_by_model(D.trials(spark, sf_dir), D.results(spark, sf_dir), models)
+    return pending.select("modelname", "prompting", "Key", "text")
+
+
 @registered(
     O.query(
         """SELECT modelname, prompting, count(*) AS n_results, (SELECT count(*) FROM trials) AS n_trials,

@@ -10,9 +10,8 @@ from evalgrid import constants as K
 from evalgrid import schemas
 from evalgrid.functions import labels
 from evalgrid.operators.assemble import (
+    answered_by_position,
     assemble_trials_and_results_df,
-    join_by_position,
-    require_same_text,
     stack,
 )
 from evalgrid.operators.enrich import add_missing_columns
@@ -168,7 +167,7 @@ def load_experiment_results_as_dataframe(
     on = [FOLDER, "EXP_i"]
     if trials_path is not None:
         trials, results, on = trials.drop(FOLDER), results.drop(FOLDER), ["EXP_i"]
-    joined = require_same_text(join_by_position(trials, results, on)).drop(FOLDER)
+    joined = answered_by_position(trials, results, on).drop(FOLDER)
     joined = add_missing_columns(joined, clarified=0, context_nb=0)
     return joined if include_expname_fields else joined.drop("EXPNAME", "EXP_i")
 

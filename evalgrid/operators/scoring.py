@@ -111,28 +111,29 @@ def _number(n: int) -> Column:
 
 
 def _place(names: Sequence[str]) -> Column:
-    """One number that orders rows like their (EXP_i, Key), or what there is of them.
+    """One number that orders rows like their (EXP_i, Key), or like the one there is of them; NULL first.
 
-    A hash aggregate can keep the least of such numbers, but not of structs. Row numbers
-    are not negative.
+    A hash aggregate can keep the least of such numbers, but not of structs. One column is its own
+    number; two need 38 digits. Row numbers are not negative.
     """
-    place = _number(0)
-    if "EXP_i" in names:
-        place = F.coalesce(F.col("EXP_i"), F.lit(-1)).cast("decimal(38,0)")
-    if "Key" in names:
-        key = F.coalesce(F.col("Key").cast("decimal(38,0)"), _number(_LOWEST)) - _number(_LOWEST)
-        place = (place * _number(_RANGE)).cast("decimal(38,0)") + key
+    if len(names) == 1:
+        return F.col(names[0]).cast("bigint")
+    place = F.coalesce(F.col("EXP_i"), F.lit(-1)).cast("decimal(38,0)")
+    key = F.coalesce(F.col("Key").cast("decimal(38,0)"), _number(_LOWEST)) - _number(_LOWEST)
+    place = (place * _number(_RANGE)).cast("decimal(38,0)") + key
     return place.cast("decimal(38,0)")
 
 
 def _from_place(place: Column, names: Sequence[str]) -> dict[str, Column]:
     """The columns out of their number."""
+    if len(names) == 1:
+        return {names[0]: place}
     key = F.pmod(place, _number(_RANGE))
-    found = {"Key": F.nullif(key + _number(_LOWEST), _number(_LOWEST)).cast("bigint")}
-    if "Key" in names:
-        place = F.call_function("div", (place - key).cast("decimal(38,0)"), _number(_RANGE))
-    found["EXP_i"] = F.nullif(place.cast("bigint"), F.lit(-1).cast("bigint"))
-    return {n: found[n] for n in names}
+    row = F.call_function("div", (place - key).cast("decimal(38,0)"), _number(_RANGE))
+    return {
+        "Key": F.nullif(key + _number(_LOWEST), _number(_LOWEST)).cast("bigint"),
+        "EXP_i": F.nullif(row.cast("bigint"), F.lit(-1).cast("bigint")),
+    }
 
 
 def first_row_per_group(
@@ -235,13 +236,13 @@ def _reduce_in_steps(
     part = rows.groupBy(*keys, length, *fixed, *file).agg(
         F.count(F.lit(1)).alias("tuplelen"), F.sum(weight).alias("__weights"),
         *(F.sum(F.col(f) * F.col("acc_weight")).alias(f"__{f}") for f in ("acc", "bias")),
-        F.min(_place(places)).alias("__place"),
+        F.when(~F.bool_or(_place(places).isNull()), F.min(_place(places))).alias("__place"),
     )
     if complete_only:
         whole = F.sum("tuplelen").over(Window.partitionBy(*keys))
         part = part.withColumn("tuplelen", whole).where(F.col("tuplelen") == F.col(length))
     prompting = [c for c in ("prompting",) if c in part.columns]
-    order = F.struct(*prompting, "__place")
+    order = F.struct(*prompting, "__place")  # a NULL place is the first
     first = F.min_by(F.struct(*map(L.named, fixed), "__place"), order)
     weights = F.sum("__weights")
     kept = part.groupBy(*keys).agg(

@@ -43,7 +43,13 @@ from evalgrid.operators.scoring import (
 from evalgrid.operators.shuffle import first_rows, shuffle_df
 from evalgrid.plans.analyse import Report, analyse_results_df, analyse_results_in_testset_dir
 from evalgrid.plans.answer import answer_testset
-from evalgrid.sources.records import corrupt_records, damage_by_place, find_files_ending_in, read_json
+from evalgrid.sources.records import (
+    corrupt_documents,
+    corrupt_records,
+    damage_by_place,
+    find_files_ending_in,
+    read_json,
+)
 from evalgrid.sources.results import (
     load_all_results,
     load_and_assemble_trials_and_results,

@@ -23,7 +23,7 @@ from evalgrid.plans import analyse
 from evalgrid.plans import derived as D
 from evalgrid.plans import oracle as O
 from evalgrid.session import materialise, scratch_path
-from evalgrid.sources import records
+from evalgrid.sources import pieces, records
 from evalgrid.sources import results as result_files
 from evalgrid.sources import trials as trial_files
 from evalgrid.streaming import incremental
@@ -950,6 +950,53 @@ def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_documents(spark, _documents(spark, sf_dir, ".json", "none"))
 
 
+@registered(_DOCUMENT_SQL)
+def json_lists_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into records while they are read, as large ones are."""
+    rows = records.read_json(spark, _documents(spark, sf_dir, ".json", "none"), _DOCUMENT, large=0)
+    return rows.withColumn("expectedresp", F.array_join("expectedresp", "|"))
+
+
+def _damaged_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Lists of records in which keys that end in 3 are no numbers."""
+    texts = spark.read.text(_documents(spark, sf_dir, ".json", "none"), wholetext=True)
+    root = scratch_path(spark, "damaged.json")
+    damaged = F.regexp_replace(F.trim("value"), '"Key":([0-9]*3),', '"Key":no$1,')
+    # a task writes a file, and a file is a document
+    texts.select(damaged.alias("value"), F.concat(F.xxhash64("value"), F.lit(".json")).alias("document")).write.partitionBy("document").text(root)
+    return f"{root}/document=*.json"
+
+
+@registered(
+    O.query(
+        "SELECT \"Key\", text, goldresp, problemsize, array_to_string(expectedresp, '|') AS expectedresp "
+        'FROM trials WHERE "Key" % 10 <> 3'
+    )
+)
+def documents_but_corrupt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A malformed record costs itself, not its document."""
+    rows = records.read_json(spark, _damaged_documents(spark, sf_dir), _DOCUMENT, skip_corrupt=True)
+    return rows.withColumn("expectedresp", F.array_join("expectedresp", "|"))
+
+
+@registered(O.query('SELECT count(*) AS n_records, count(*) FILTER ("Key" % 10 = 3) AS n_corrupt FROM trials'))
+def corrupt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of documents are left out, over all documents."""
+    counted = eg.corrupt_documents(spark, _damaged_documents(spark, sf_dir), _DOCUMENT)
+    return counted.agg(F.sum("n_records").alias("n_records"), F.sum("n_corrupt").alias("n_corrupt"))
+
+
+@registered(_DOCUMENT_SQL)
+def zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of many members through the reader, which deals the members out."""
+    root = scratch_path(spark, "archives")
+    names = [f.name for f in _DOCUMENT.fields]
+    rows = D.trials(spark, sf_dir).select(F.to_json(F.struct(*names)).alias("value"))
+    packed = rows.repartition(4).mapInPandas(pieces.archives_in(root, lines=200), "path string")
+    paths = [r.path for r in packed.collect()]  # one for each archive
+    return records.read_json(spark, paths, _DOCUMENT).withColumn("expectedresp", F.array_join("expectedresp", "|"))
+
+
 @registered(_DOCUMENT_SQL)
 def json_lists_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_documents(spark, _documents(spark, sf_dir, ".json.gz", "gzip"))

@@ -19,6 +19,7 @@ from evalgrid.functions.labels import (
 )
 from evalgrid.functions.lookups import named
 from evalgrid.session import scratch_path
+from evalgrid.sources import pieces
 from evalgrid.sources.splits import FILE, inferred_fields, scan_places, split_directory, with_position
 
 Paths = str | Sequence[str]
@@ -33,6 +34,8 @@ FOLDER = "__folder"
 # Position of a row in its file or document.
 ROW = "__row"
 _BROKEN = "__broken"
+# Bytes from which a document is streamed; an eighth of it if packed.
+LARGE = 1 << 29
 
 
 def as_list(paths: Paths) -> list[str]:
@@ -81,6 +84,7 @@ def read_json(
     schema: T.StructType | None = None,
     skip_corrupt: bool = False,
     with_path: bool = False,
+    large: int | None = None,
 ) -> DataFrame:
     """Records of JSON-Lines or JSON files, told apart by the end of their names.
 
@@ -91,8 +95,10 @@ def read_json(
     leaves a cut-off last record; ``corrupt_records`` counts them). ``with_path`` adds the
     path as ``__path``, for documents also the record's position as ``__row``.
 
-    JSON-Lines, plain or bzip2, is read in splits; other layouts take one task per file.
-    Each document is told apart by itself, so files of both forms may be read together;
+    JSON-Lines, plain or bzip2, is read in splits; members of archives are dealt out to tasks; a
+    document takes one task. Documents of over ``large`` bytes (``LARGE``) are streamed, which needs a schema, and so
+    are all lists with ``skip_corrupt``, which then costs only the records that are malformed
+    (``corrupt_documents`` counts them). Each document is told apart by itself, so files of both forms may be read together;
     one of neither form fails the job like a malformed record.
     """
     paths = as_list(paths)
@@ -101,14 +107,10 @@ def read_json(
         raise ValueError("files of different layouts have to be read one by one")
     kind, zipped = kinds.pop()
     if zipped:
-        archives = spark.read.format("binaryFile").load(paths).select("path", "content")
-        texts = unzip_texts(archives, whole=kind == "document")
+        texts = _archived(spark, paths, kind == "document", with_path)
         return _parse_texts(texts, kind, schema, skip_corrupt, with_path)
     if kind == "document":
-        texts = spark.read.text(paths, wholetext=True).select(
-            plain_path("_metadata.file_path").alias(PATH), "value"
-        )
-        return _parse_texts(texts, kind, schema, skip_corrupt, with_path)
+        return _documents(spark, paths, schema, skip_corrupt, with_path, LARGE if large is None else large)
 
     reader = spark.read.option("mode", "DROPMALFORMED" if skip_corrupt else "FAILFAST")
     if schema is not None:
@@ -119,6 +121,96 @@ def read_json(
     return df
 
 
+def _archived(spark: SparkSession, paths: list[str], whole: bool, with_row: bool) -> DataFrame:
+    """Texts in zip archives, read member by member where tasks reach the files, else from whole archives."""
+    files = pieces.files_of(spark, paths)
+    if all(pieces.reaches(p) for p in _schemes(files)):
+        members = pieces.zip_members(files)
+        texts = pieces.member_texts(members, whole)
+        return texts.select(PATH, "value") if whole or not with_row else pieces.numbered_through(texts, members)
+    return unzip_texts(spark.read.format("binaryFile").load(paths).select("path", "content"), whole)
+
+
+def _schemes(files: DataFrame) -> list[str]:
+    """One path of each file system."""
+    return [r[0] for r in files.groupBy(F.substring_index("path", ":", 1)).agg(F.min("path").alias("path")).select("path").collect()]
+
+
+def _documents(
+    spark: SparkSession, paths: list[str], schema: T.StructType | None, skip_corrupt: bool, with_path: bool, most: int
+) -> DataFrame:
+    """Records of documents, each of which is a cell of a table or, if large, streamed."""
+    files = pieces.files_of(spark, paths)
+
+    def limit(path: str):
+        return F.when(F.col(path).rlike(r"\.(gz|bz2)$"), most // 8).otherwise(most)
+
+    large = files.where(F.col("length") > limit("path"))
+    reached = all(pieces.reaches(p) for p in _schemes(files))
+    streamed = large.limit(1).count() > 0 if not (skip_corrupt and reached and schema) else True
+    texts = spark.read.text(paths, wholetext=True)
+    if not streamed:
+        texts = texts.select(plain_path("_metadata.file_path").alias(PATH), "value")
+        return _parse_texts(texts, "document", schema, skip_corrupt, with_path)
+    if not reached:
+        raise ValueError(f"documents of more than {most} bytes cannot be read from this file system")
+    if schema is None:
+        raise ValueError(f"documents of more than {most} bytes need a schema")
+    # the size of a file is known before it is read, so the large ones never come into a cell
+    small = texts.where(F.col("_metadata.file_size") <= limit("_metadata.file_path"))
+    small = small.select(plain_path("_metadata.file_path").alias(PATH), "value").where(F.trim("value") != "")
+    of_columns = F.ltrim(F.col("value")).startswith("{")
+    if skip_corrupt:
+        streamed_files, parsed = files, [records_from_columns(small.where(of_columns), schema, skip_corrupt)]
+    else:
+        streamed_files, parsed = large, [_parse_texts(small, "document", schema, skip_corrupt, with_path=True)]
+    rows = _streamed(streamed_files, schema, skip_corrupt)
+    df = rows.unionByName(parsed[0])
+    return df if with_path else df.drop(PATH, ROW)
+
+
+def _streamed(files: DataFrame, schema: T.StructType, skip_corrupt: bool) -> DataFrame:
+    """Records of documents that are lists, streamed, with ``__path`` and ``__row``."""
+    records = pieces.list_records(files)
+    if skip_corrupt:
+        parsed = F.from_json("value", _with_broken(schema), _mode(True) | {"columnNameOfCorruptRecord": _BROKEN})
+        rows = records.where(pieces.WHOLE).select(parsed.alias("r"), PATH, ROW).where(~_malformed(schema))
+        return rows.select(*(F.col("r")[f].alias(f) for f in schema.fieldNames()), PATH, ROW)
+    message = F.concat(F.lit("neither a list of records nor an object of columns, or broken off: "), PATH)
+    whole = F.when(F.col(pieces.WHOLE), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return records.where(whole).select(F.from_json("value", schema, _mode(False)).alias("r"), PATH, ROW).select("r.*", PATH, ROW)
+
+
+def _with_broken(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+
+
+def _malformed(schema: T.StructType):
+    """Whether the record ``r`` did not parse; every field has to be looked at for that."""
+    seen = F.to_json(F.struct(*(F.col("r")[f] for f in schema.fieldNames())))
+    return F.col("r")[_BROKEN].isNotNull() & seen.isNotNull()
+
+
+def corrupt_documents(spark: SparkSession, paths: Paths, schema: T.StructType) -> DataFrame:
+    """``path, n_records, n_corrupt`` of ``.json`` documents: what ``skip_corrupt`` leaves out of each.
+
+    A list counts its records, and one more as corrupt if it breaks off; any other document counts
+    as one record, corrupt if it is no object of columns.
+    """
+    paths = as_list(paths)
+    records = pieces.list_records(pieces.files_of(spark, paths))
+    parsed = F.from_json("value", _with_broken(schema), _mode(True) | {"columnNameOfCorruptRecord": _BROKEN})
+    lists = records.select(PATH, "value", pieces.WHOLE, parsed.alias("r"))
+    columns = F.from_json("value", "map<string,map<string,string>>", _mode(True))
+    of_columns = spark.read.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= LARGE).select(plain_path("_metadata.file_path").alias(PATH), "value")
+    of_columns = of_columns.where(F.ltrim("value").startswith("{")).select(PATH, columns.isNull().alias("bad"))
+    bad = ~F.col(pieces.WHOLE) | _malformed(schema)
+    rows = lists.select(F.regexp_replace(PATH, "^file:/+", "file:///").alias(PATH), bad.alias("bad"))
+    others = of_columns.select(F.regexp_replace(PATH, "^file:/+", "file:///").alias(PATH), "bad")
+    rows = rows.join(others.select(PATH), PATH, "left_anti").unionByName(others)
+    return rows.groupBy(F.col(PATH).alias("path")).agg(F.count(F.lit(1)).alias("n_records"), F.count_if("bad").alias("n_corrupt"))
+
+
 def inferred_schema(spark: SparkSession, paths: Paths) -> T.StructType:
     """Schema of JSON files; that of JSON-Lines comes from their stored directory of splits."""
     paths = as_list(paths)
@@ -196,11 +288,12 @@ def _parse_texts(
     if kind == "lines":
         schema = schema or _inferred(texts, kind)
         mode = {"mode": "PERMISSIVE" if skip_corrupt else "FAILFAST"}
-        parsed = texts.select(PATH, F.from_json("value", schema, mode).alias("r"))
+        parsed = texts.withColumn("r", F.from_json("value", schema, mode)).drop("value")
         if skip_corrupt:
             parsed = parsed.where(F.to_json("r") != "{}")
-        df = parsed.select("r.*", PATH)
-        return df if with_path else df.drop(PATH)
+        places = [c for c in (PATH, ROW) if c in texts.columns]
+        df = parsed.select("r.*", *places)
+        return df if with_path else df.drop(*places)
     of_columns = F.ltrim(F.col("value")).startswith("{")
     if schema is None:
         if texts.where(of_columns).limit(1).count():

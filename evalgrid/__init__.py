@@ -69,6 +69,7 @@ from evalgrid.sources.trials import (
     load_trainset,
     load_trials_as_dataframe,
 )
+from evalgrid.streaming.growing import ingest_growing_results, read_growing_results
 from evalgrid.streaming.incremental import ingest_new_results
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -26,7 +26,7 @@ from evalgrid.session import materialise, scratch_path
 from evalgrid.sources import pieces, records
 from evalgrid.sources import results as result_files
 from evalgrid.sources import trials as trial_files
-from evalgrid.streaming import incremental
+from evalgrid.streaming import growing, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1361,6 +1361,48 @@ def incremental_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _grown(folder: str, whole: bool):
+    """For ``mapInPandas``: a task writes the lines of one model to its file; if not ``whole``, the first batch less a few letters."""
+
+    def write(batches):
+        first = next(batches, None)
+        if first is None or first.empty:
+            return
+        path = f"{folder}/{D.PROMPTING}___{first['modelname'][0]}{K.RESULTS_ENDING}"
+        system, inside = pieces.file_system(path)
+        system.create_dir(inside.rpartition("/")[0])
+        with system.open_output_stream(inside) as raw:
+            text = "".join(f"{x}\n" for x in first["value"])
+            raw.write(text.encode() if whole else text[:-5].encode())
+            for batch in batches if whole else ():
+                raw.write("".join(f"{x}\n" for x in batch["value"]).encode())
+        yield pd.DataFrame({"path": [path]})
+
+    return write
+
+
+@registered(
+    O.query(
+        'SELECT modelname, count(*) AS n, count(DISTINCT "Key") AS n_keys, sum(tuple_ID)::BIGINT AS tuple_sum, '
+        "count(*) FILTER (resp = goldresp) AS n_right FROM assembled GROUP BY modelname"
+    )
+)
+def growing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results files that are taken in half-written, with a last line cut off, and again when they are whole."""
+    root = scratch_path(spark, "growing")
+    trials, line = D.trials(spark, sf_dir), F.to_json(F.struct("Key", "resp")).alias("value")
+    rows = D.results(spark, sf_dir).select("Key", "modelname", line)
+    for whole in (False, True):
+        for model in D.MODELS:
+            mine = rows.where(F.col("modelname") == model).coalesce(1).sortWithinPartitions("Key")
+            mine.mapInPandas(_grown(f"{root}/results", whole), "path string").collect()
+        growing.ingest_growing_results(spark, trials, f"{root}/results", f"{root}/table", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/table").groupBy("modelname").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("Key").alias("n_keys"), F.sum("tuple_ID").alias("tuple_sum"),
+        F.count_if(F.col("resp") == F.col("goldresp")).alias("n_right"),
+    )
+
+
 # --- profiles, comparison, order -------------------------------------------------------------
 
 

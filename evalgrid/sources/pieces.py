@@ -29,7 +29,7 @@ _TASK = 1 << 27
 PATH, ROW, WHOLE = "__path", "__row", "__whole"
 
 
-def _found(path: str) -> tuple[FileSystem, str]:
+def file_system(path: str) -> tuple[FileSystem, str]:
     """The file system of a path as Spark writes it, and the path in it."""
     local = re.match(r"file:/*(/.*)", path)
     return (LocalFileSystem(), local[1]) if local else FileSystem.from_uri(path)
@@ -38,14 +38,14 @@ def _found(path: str) -> tuple[FileSystem, str]:
 def reaches(path: str) -> bool:
     """Whether Arrow has a file system for the path, as tasks need it."""
     try:
-        _found(path)
+        file_system(path)
     except (ArrowException, OSError):
         return False
     return True
 
 
 def _opened(path: str) -> NativeFile:
-    system, inside = _found(path)
+    system, inside = file_system(path)
     return system.open_input_file(inside)
 
 
@@ -132,7 +132,7 @@ def archives_in(folder: str, lines: int) -> Callable[[Iterator[pd.DataFrame]], I
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = f"{folder}/{TaskContext.get().partitionId():05d}.jsonl.zip"
-        system, inside = _found(path)
+        system, inside = file_system(path)
         system.create_dir(inside.rpartition("/")[0])
         member = 0
         with system.open_output_stream(inside) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:

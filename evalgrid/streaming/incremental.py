@@ -17,7 +17,7 @@ from evalgrid.operators.assemble import assemble_trials_and_results_df
 def read_results_stream(spark: SparkSession, pattern: str) -> DataFrame:
     """Responses with labels from every results file that matches, now or later.
 
-    New files are picked up; lines added to a file already read are not.
+    New files are picked up; lines added to a file already read are not (``growing`` reads those).
     """
     stream = spark.readStream.schema(schemas.RESULTS).option("mode", "FAILFAST").json(pattern)
     return labels.with_labels(stream)

@@ -1,0 +1,87 @@
+import json
+import os
+
+import pytest
+
+import evalgrid as eg
+from evalgrid.streaming import growing
+from tests.test_splits import put
+
+NAME = "r/{}basic___{}___results.jsonl"
+
+
+def line(key, resp="TRUE"):
+    return json.dumps({"Key": key, "resp": resp}) + "\n"
+
+
+def _trials(spark, n=2000):
+    return spark.createDataFrame([(i, "TRUE", i // 2) for i in range(n)], "Key long, goldresp string, tuple_ID long")
+
+
+def _taken(spark, folder, **options):
+    growing.ingest_growing_results(spark, _trials(spark), f"{folder}/r", f"{folder}/table", f"{folder}/state", **options).awaitTermination()
+    if not os.path.exists(f"{folder}/table"):
+        return []
+    return sorted((r.modelname, r.Key) for r in spark.read.parquet(f"{folder}/table").collect())
+
+
+def test_added_lines_are_read_once(spark, folder):
+    path = put(folder, NAME.format("", "a"), line(0) + line(1) + line(2)[:-6])
+    assert _taken(spark, folder) == [("a", 0), ("a", 1)]
+    assert _taken(spark, folder) == [("a", 0), ("a", 1)]
+    with open(path, "a") as f:
+        f.write(line(2)[-6:] + "\n" + line(3))
+    put(folder, NAME.format("deep/", "b+ c%20"), line(7))
+    put(folder, "r/other.txt", line(9))
+    expected = [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b+ c%20", 7)]
+    assert _taken(spark, folder) == expected
+    put(folder, NAME.format("", "empty"), "")
+    put(folder, NAME.format("", "started"), '{"Key": 5')
+    assert _taken(spark, folder) == expected
+
+
+@pytest.mark.parametrize("split", [1, 7, 50, 1000, 10**9])
+def test_ranges_cut_no_line_and_double_none(folder, split, monkeypatch):
+    monkeypatch.setattr(growing, "_BLOCK", 16)
+    path = put(folder, NAME.format("", "a"), "".join(line(i, "é" * (i % 9)) + ("\n" if i % 4 == 0 else "") for i in range(60)))
+    reader = growing.GrowingLinesReader({"path": f"{folder}/r", "split": str(split)})
+    seen, start = [], reader.initialOffset()
+    for more in ("", line(60)[:4], line(60)[4:] + line(61), line(62)):
+        with open(path, "a") as f:
+            f.write(more)
+        end = reader.latestOffset()
+        for part in reader.partitions(start, end):
+            for batch in reader.read(part):
+                seen += [json.loads(x)["Key"] for x in batch.column("value").to_pylist()]
+        start = end
+    assert seen == list(range(63))
+
+
+def test_a_line_longer_than_a_block_waits_for_its_end(folder, monkeypatch):
+    monkeypatch.setattr(growing, "_BLOCK", 16)
+    put(folder, NAME.format("", "a"), line(0) + '{"Key": 1, "resp": "' + "x" * 500)
+    reader = growing.GrowingLinesReader({"path": f"{folder}/r"})
+    assert list(reader.latestOffset()["files"].values()) == [len(line(0))]
+
+
+def test_a_file_that_became_shorter_fails(spark, folder):
+    put(folder, NAME.format("", "a"), line(0) + line(1))
+    assert len(_taken(spark, folder)) == 2
+    put(folder, NAME.format("", "a"), line(5))
+    with pytest.raises(Exception, match="shorter"):
+        _taken(spark, folder)
+
+
+def test_a_malformed_line_fails(spark, folder):
+    put(folder, NAME.format("", "a"), line(0) + '{"Key": 1, "re\n' + line(2))
+    with pytest.raises(Exception, match="MALFORMED"):
+        _taken(spark, folder)
+
+
+def test_no_folder_yet(spark, folder):
+    assert _taken(spark, folder) == []
+
+
+def test_other_file_systems_are_refused(spark):
+    with pytest.raises(ValueError, match="read on"):
+        eg.read_growing_results(spark, "viewfs://x/y")

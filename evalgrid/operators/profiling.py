@@ -1,11 +1,13 @@
 """Describing one table, and comparing two."""
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions.lookups import named
+from evalgrid.session import materialise
 
 # Kinds of value a JSON text can hold, by the prefix of its schema.
 _JSON_KINDS = {
@@ -87,12 +89,50 @@ def field_sets(df1: DataFrame, df2: DataFrame) -> DataFrame:
     )
 
 
-def compare_dataframes(df1: DataFrame, df2: DataFrame, on: Sequence[str] | str) -> DataFrame:
+# Buckets of row numbers whose checksums are compared first; so many rows are sent to every task at most.
+BUCKETS = 8192
+
+
+def _bucket(on: Sequence[str], buckets: int) -> Column:
+    """The bucket of a row number; NULL for rows without one."""
+    known = [named(c).isNotNull() for c in on]
+    return F.when(reduce(lambda a, b: a & b, known), F.pmod(F.xxhash64(*map(named, on)), F.lit(buckets)))
+
+
+def _checksums(df: DataFrame, on: Sequence[str], values: Sequence[Column], buckets: int) -> DataFrame:
+    """One row per bucket: its rows, and 128 bits over the row numbers (``c0``) and each of the values together with them.
+
+    An exclusive or of the rows' hashes, so it combines before the exchange and does not depend on
+    the order of rows.
+    """
+    keys = [named(c) for c in on]
+
+    def sums(i: int, *value: Column) -> list[Column]:
+        return [
+            F.bit_xor(F.xxhash64(*keys, *value)).alias(f"c{i}"),
+            F.bit_xor(F.xxhash64(F.lit(i), *value, *keys)).alias(f"e{i}"),
+        ]
+
+    figures = [s for i, v in enumerate([None, *values]) for s in sums(i, *([] if v is None else [v]))]
+    return df.groupBy(_bucket(on, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *figures)
+
+
+def _hashable(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
+
+
+def compare_dataframes(
+    df1: DataFrame, df2: DataFrame, on: Sequence[str] | str, buckets: int = BUCKETS
+) -> DataFrame:
     """Compare two tables field by field over the rows that share the row number ``on``.
 
     One row per field: where it occurs, the rows of both tables, the rows compared
     and, for a common field, how many of them differ (two NULLs do not). Row numbers
     that repeat in a table are an error, as it would be open which rows to compare.
+
+    Checksums of each bucket of row numbers and each field are compared first, for which nothing but
+    a row per bucket is exchanged. Rows are joined in the buckets that differ alone, and with those
+    fields alone that differ in any; equal tables are not joined at all.
     """
     on = [on] if isinstance(on, str) else list(on)
     first, second = dict(df1.dtypes), dict(df2.dtypes)
@@ -103,33 +143,70 @@ def compare_dataframes(df1: DataFrame, df2: DataFrame, on: Sequence[str] | str)
         repeated = df.dropna(subset=on).groupBy(*on).count().where("count > 1").select(*on).first()
         if repeated is not None:
             raise ValueError(f"row number {tuple(repeated)} repeats, so it is open which rows to compare")
-    left = df1.select(*on, F.struct(F.lit(True).alias("__here"), *map(named, data)).alias("a"))
-    right = df2.select(*on, F.struct(F.lit(True).alias("__here"), *map(named, data)).alias("b"))
-    in_a, in_b = F.col("a").isNotNull(), F.col("b").isNotNull()
-    figures = [
-        F.count_if(in_a).alias("rows_1"),
-        F.count_if(in_b).alias("rows_2"),
-        F.count_if(in_a & in_b).alias("n_compared"),
-    ]
-    for i, f in enumerate(data):
-        x, y = F.col("a")[f], F.col("b")[f]
-        if first[f] != second[f] or "map<" in first[f]:
-            # no common type to compare in, or one without equality
-            x, y = x.cast("string"), y.cast("string")
-        same = x.eqNullSafe(y)
-        figures.append(F.count_if(in_a & in_b & ~same).alias(f"d{i}"))
+
+    # no common type to compare in, or one without equality
+    as_text = {f for f in data if first[f] != second[f] or not _hashable(first[f])}
+    values = [named(f).cast("string") if f in as_text else named(f) for f in data]
+    numbers = F.col("rows_1"), F.col("rows_2"), F.col("n_compared")
+    # numbers that are equal across types, or in two forms, would fall into different buckets
+    bucketed = all(first[c] == second[c] and first[c] in ("tinyint", "smallint", "int", "bigint", "string", "date") for c in on)
+    if bucketed:
+        sides = [_checksums(df, on, values, buckets).alias(name) for df, name in ((df1, "x"), (df2, "y"))]
+        sums = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("n", "c0", "e0")]
+        same = [F.col(f"x.c{i}").eqNullSafe(F.col(f"y.c{i}")) & F.col(f"x.e{i}").eqNullSafe(F.col(f"y.e{i}")) for i in range(1, len(data) + 1)]
+        keyed = F.coalesce(F.col("x.bucket"), F.col("y.bucket"))
+        met = materialise(sides[0].join(sides[1], F.col("x.bucket").eqNullSafe(F.col("y.bucket")), "full").select(
+            keyed.alias("bucket"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"),
+            (reduce(lambda a, b: a & b, sums)).alias("same_rows"), F.array(*same).alias("same_values"),
+        ), "checksums")
+        whole = F.col("same_rows") & F.forall("same_values", lambda s: s)
+        known = F.col("bucket").isNotNull()
+        # sums over the buckets come to the driver as one row
+        told = met.agg(
+            F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0)),
+            F.coalesce(F.sum(F.when(known & whole, F.col("n1"))), F.lit(0)),
+            *(F.count_if(known & ~F.col("same_values")[i]) for i in range(len(data))), F.count_if(known & ~whole),
+        ).first()
+        differing = [i for i in range(len(data)) if told[3 + i]]
+        narrow = F.broadcast(met.where(known & ~whole).select("bucket"))  # a row per bucket at most
+
+        def inside(df: DataFrame) -> DataFrame:
+            return df.withColumn("bucket", _bucket(on, buckets)).join(narrow, "bucket", "left_semi").drop("bucket")
+
+        if told[-1]:
+            figures = _joined_figures(inside(df1), inside(df2), on, [(i, data[i], values[i]) for i in differing])
+        else:
+            figures = df1.sparkSession.range(1).select(F.lit(0).alias("n_compared"))
+        n_compared = (F.col("n_compared") + told[2]).cast("bigint").alias("n_compared")
+        rest = [F.col(f"d{i}") if i in differing and told[-1] else F.lit(0).cast("bigint").alias(f"d{i}") for i in range(len(data))]
+        figures = figures.select(
+            F.lit(told[0]).cast("bigint").alias("rows_1"), F.lit(told[1]).cast("bigint").alias("rows_2"), n_compared, *rest
+        )
+    else:
+        counts = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((df1, "rows_1"), (df2, "rows_2"))]
+        figures = _joined_figures(df1, df2, on, list(zip(range(len(data)), data, values, strict=True)))
+        figures = figures.select(counts[0].scalar().alias("rows_1"), counts[1].scalar().alias("rows_2"), "*")
     rows = []
     for f in [*first, *(f for f in second if f not in first)]:
-        differing = F.lit(0 if f in on else None).cast("bigint")
+        differing_rows = F.lit(0 if f in on else None).cast("bigint")
         if f in data:
-            differing = F.col(f"d{data.index(f)}")
+            differing_rows = F.col(f"d{data.index(f)}")
         found = "both" if f in common else "only_1" if f in first else "only_2"
         equal_types = F.lit(first.get(f) == second.get(f))
         rows.append(F.struct(
             F.lit(f).alias("field"),
             F.lit(found).alias("found_in"),
-            F.col("rows_1"), F.col("rows_2"), F.col("n_compared"),
-            differing.alias("n_differing"),
-            F.when(F.lit(f in common), equal_types & (differing == 0)).alias("same"),
+            *numbers,
+            differing_rows.alias("n_differing"),
+            F.when(F.lit(f in common), equal_types & (differing_rows == 0)).alias("same"),
         ))
-    return left.join(right, on, "full").agg(*figures).select(F.inline(F.array(*rows)))
+    return figures.select(F.inline(F.array(*rows)))
+
+
+def _joined_figures(
+    df1: DataFrame, df2: DataFrame, on: Sequence[str], fields: Sequence[tuple[int, str, Column]]
+) -> DataFrame:
+    """``n_compared`` and, for each (i, field, value), ``d<i>``: the rows in which the values differ."""
+    left, right = (df.select(*on, F.struct(F.lit(True), *(v.alias(f"v{i}") for i, _, v in fields)).alias(n)) for df, n in ((df1, "a"), (df2, "b")))
+    differs = [F.count_if(~F.col("a")[f"v{i}"].eqNullSafe(F.col("b")[f"v{i}"])).alias(f"d{i}") for i, _, _ in fields]
+    return left.join(right, list(on)).agg(F.count(F.lit(1)).alias("n_compared"), *differs)

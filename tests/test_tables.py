@@ -1,5 +1,6 @@
 """Joins by key and by position, checks, profiles, comparison, order, responders."""
 
+import random
 import json
 import os
 
@@ -233,3 +234,46 @@ def test_pivot_compares_values_as_what_they_are(spark):
     row = table.collect()[0].asDict()
     assert sorted(v for k, v in row.items() if k != "modelname") == [1.0, 2.0, 3.0]
     assert "true | null | c" in row and len(row) == 4
+
+
+def _brute_comparison(a, b, fields):
+    left, right = ({r[0]: r for r in rows if r[0] is not None} for rows in (a, b))
+    shared = left.keys() & right.keys()
+    return len(a), len(b), len(shared), {f: sum(left[k][i] != right[k][i] for k in shared) for i, f in enumerate(fields) if i}
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 64])
+@pytest.mark.parametrize("changed", [0, 1, 40])
+def test_comparison_by_checksums_equals_brute_force(spark, buckets, changed):
+    rng = random.Random(buckets + changed)
+    fields = "i long, x string, y double, z string"
+    a = [(i, rng.choice(["p", "q", None]), rng.choice([0.5, None]), f"z{i}") for i in range(300)]
+    b = [tuple(r) for r in a]
+    for k in rng.sample(range(300), changed):
+        b[k] = (k, "other", *b[k][2:]) if k % 2 else (1000 + k, *b[k][1:])
+    if changed:
+        a += [(None, "n", 1.0, "z")] * 3
+        b += [(None, "n", 1.0, "z")]
+    found = eg.compare_dataframes(spark.createDataFrame(a, fields), spark.createDataFrame(b, fields), "i", buckets=buckets).collect()
+    rows_1, rows_2, n, differing = _brute_comparison(a, b, "ixyz")
+    assert {(r.rows_1, r.rows_2, r.n_compared) for r in found} == {(rows_1, rows_2, n)}
+    assert {r.field: r.n_differing for r in found} == {"i": 0} | differing
+    assert {r.field: r.same for r in found} == {"i": True} | {f: d == 0 for f, d in differing.items()}
+
+
+def test_equal_tables_are_not_joined(spark):
+    a = spark.range(500).select("id", (F.col("id") * 2).alias("x"), F.lit("t").alias("y"))
+    plan = eg.compare_dataframes(a, a.repartition(7), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    b = a.withColumn("x", F.when(F.col("id") == 3, 0).otherwise(F.col("x")))
+    plan = eg.compare_dataframes(a, b, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "v0" in plan and "v1" not in plan  # the field that differs, and no other
+
+
+def test_row_numbers_of_other_types_are_compared_too(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "i int, s string")
+    b = spark.createDataFrame([(1, "x"), (2, "z")], "i long, s string")
+    found = {r.field: r for r in eg.compare_dataframes(a, b, "i").collect()}
+    assert (found["s"].n_compared, found["s"].n_differing, found["i"].same) == (2, 1, False)
+    empty = {r.field: r for r in eg.compare_dataframes(a.limit(0), a, "i").collect()}
+    assert (empty["s"].rows_1, empty["s"].rows_2, empty["s"].n_compared, empty["s"].n_differing) == (0, 2, 0, 0)

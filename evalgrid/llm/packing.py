@@ -67,17 +67,21 @@ class _Ids:
 
     def _learn_rest(self, stretches: set[str]) -> None:
         # a line end is one id wherever it stands before a space, so it tells apart what is encoded at once
-        plain = [x for x in stretches if _PLAIN.fullmatch(x) and not any(a in x for a in self.added)]
-        for x in stretches.difference(plain):
-            self.rest[x] = self._encode(" " + x)
+        plain = list(filter(_PLAIN.fullmatch, stretches))
+        text = " " + "\n ".join(plain)
+        if any(a in text for a in self.added):
+            plain = [x for x in plain if not any(a in x for a in self.added)]
+            text = " " + "\n ".join(plain)
+        if len(plain) < len(stretches):
+            for x in stretches.difference(plain):
+                self.rest[x] = self._encode(" " + x)
         if not plain:
             return
-        ids = self.merges.encode_to_numpy("\n".join([" " + x for x in plain]), disallowed_special=()).astype(np.uint32)
-        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
-        data, at = ids.tobytes(), 0
-        for x, end in zip(plain, ends, strict=True):
-            self.rest[x] = data[4 * at:4 * end]
-            at = end + 1
+        ids = self.merges.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        breaks = np.flatnonzero(ids == self.line_end) * 4
+        ends = [*breaks.tolist(), 4 * len(ids)]
+        data, starts = ids.tobytes(), [0, *(breaks + 4).tolist()]
+        self.rest.update(zip(plain, map(data.__getitem__, map(slice, starts, ends)), strict=True))
 
     def forget(self) -> None:
         self.first.clear()
@@ -87,19 +91,15 @@ class _Ids:
         """The ids of texts that are given by their stretches."""
         if len(self.first) + len(self.rest) > _CACHE_ROWS:
             self.forget()
-        every = [x for t in texts for x in t[1:]]
-        ids = list(map(self.rest.get, every))
-        unknown = [i for i, x in enumerate(ids) if x is None]
-        self._learn_rest({every[i] for i in unknown})
-        for i in unknown:
-            ids[i] = self.rest[every[i]]
-        out, at = [], 0
+        unknown = set().union(*texts).difference(self.rest)
+        if unknown:
+            self._learn_rest(unknown)
+        known, out = self.rest.__getitem__, []
         for t in texts:
             first = self.first.get(t[0])
             if first is None:
                 first = self.first[t[0]] = self._encode(t[0])
-            out.append(first + b"".join(ids[at:at + len(t) - 1]))
-            at += len(t) - 1
+            out.append(first + b"".join(map(known, t[1:])))
         return out
 
 

@@ -35,7 +35,6 @@ _HELD_GRAMS = 4_000_000
 _CHUNK = 150_000
 _MEMO = 1 << 20
 _LN10 = float(np.log(10))
-_TRAINING = np.uint64(1 << 63)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -64,11 +63,11 @@ def _padded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return gram[own], np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
 
 
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and the sums of their counts."""
-    grams, n = (np.concatenate(x) for x in zip(*held, strict=True))
+def _summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their two counts."""
+    grams, n, n_train = (np.concatenate(x) for x in zip(*held, strict=True))
     grams, place = np.unique(grams, return_inverse=True)
-    return grams, np.bincount(place, n, len(grams)).astype(np.int64)
+    return grams, *(np.bincount(place, x, len(grams)).astype(np.int64) for x in (n, n_train))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,14 +82,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(cells, ["gram", "word", "n", "n_train"])
 
     def gram_rows(held):
-        # n-grams of training texts are marked by their highest bit until here
-        grams, n = _summed(held)
-        learnt = grams >> np.uint64(63) == 1
+        grams, n, n_train = _summed(held)
         for at in range(0, len(grams), 100_000):
-            part, own = n[at:at + 100_000], learnt[at:at + 100_000]
-            yield rows((grams[at:at + 100_000] & ~_TRAINING).astype(np.int64), None, part, np.where(own, part, 0))
+            part = slice(at, at + 100_000)
+            yield rows(grams[part].astype(np.int64), None, n[part], n_train[part])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         texts, training = batch.column("text"), batch.column("training").to_pylist()
         row = 0
@@ -111,10 +108,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row += 1
             keys = list(everywhere)
             yield rows(None, keys, [everywhere[k] for k in keys], [learnt[k] for k in keys])
-            for part, mark in ((trained, _TRAINING), (others, np.uint64(0))):
+            for part, teaches in ((trained, 1), (others, 0)):
                 if part:
-                    held.append(np.unique(_padded(part)[0] | mark, return_counts=True))
-            if sum(len(x) for x, _ in held) > _HELD_GRAMS:
+                    grams, n = np.unique(_padded(part)[0], return_counts=True)
+                    held.append((grams, n, n * teaches))
+            if sum(len(x[0]) for x in held) > _HELD_GRAMS:
                 held = [_summed(held)]
             if held and len(held[0][0]) > _HELD_GRAMS // 2:
                 yield from gram_rows(held)
@@ -502,6 +500,8 @@ def score_texts(
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.coalesce(F.col(training), F.lit(False)).alias("training"))
     counted = docs.select("text", "training").mapInArrow(_count, "gram long, word binary, n long, n_train long")
+    # tasks have summed already: one more sum before the exchange would find next to nothing to combine
+    counted = counted.repartition("gram", "word")
     counted = counted.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
     counted = materialise(counted, "counts")
     words = counted.where("word is not null").select("word", "n", "n_train")

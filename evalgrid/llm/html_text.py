@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from evalgrid.llm.common import small_batches, strings, table
 from evalgrid.session import materialise
 
-#: a subtree is the site's template if it stands on so many pages of a host and on this share of them
-LEAST_PAGES, SHARE = 5, 0.3
+#: a subtree is the site's template if it stands on so many different pages of a host ...
+LEAST_PAGES = 5
+#: ... and, where it stands in articles, in as many of them as this share of the host's different pages
+SHARE = 0.3
 
 # Kinds of elements and the words by which sites name what is not the article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,23 +42,35 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )
-_NAMING = re.compile(r"""(?<![\w-])(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Words that say of a named part only what shape it has.
+_SHAPES = frozenset("area bar block body box btn button buttons container content form icons inner item items link links list outer panel row section text title wrap wrapper".split())
+#: every attribute in turn, so that nothing inside a value is taken for one
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 _LAYOUT = re.compile(r"(?<![^\s])(?:with|has|no|without)-[a-z]+")  # of the page around a sidebar, not of the sidebar
 
 
 class Element:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "parent", "hash")
+    __slots__ = ("tag", "names", "wholly_named", "role", "hidden", "children", "parent", "hash")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent, self.children, self.hash = tag, parent, [], None
-        self.names, self.role, self.hidden = frozenset(), "", False
-        for m in _NAMING.finditer(attributes) if attributes else ():
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        self.names, self.wholly_named, self.role, self.hidden = frozenset(), False, "", False
+        seen = set()
+        for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+            name = m[1].lower()
+            if name in seen or name not in ("class", "id", "role", "hidden"):
+                continue
+            seen.add(name)  # of an attribute given twice, the first counts
+            value = unescape((m[2] or "").strip("\"'")).lower()
             if name in ("class", "id"):
-                self.names |= frozenset(_WORD.findall(_LAYOUT.sub("", value)))
+                value = _LAYOUT.sub("", value)
+                self.names |= frozenset(_WORD.findall(value))
+                for one in value.split():
+                    words = set(_WORD.findall(one)) - _SHAPES
+                    self.wholly_named |= bool(words) and words <= _NAMES - {"header"}
             elif name == "role":
-                self.role = value
+                self.role = value.strip()
             else:
                 self.hidden = True
 
@@ -132,16 +146,19 @@ def _mains(root: Element, removed: set[int], asides: bool = False) -> list[Eleme
     return out
 
 
-def subtree_hashes(root: Element) -> list[tuple[Element, Element]]:
-    """The block elements that may be templates, with the article, main element or else page each stands in.
+def subtree_hashes(root: Element) -> list[tuple[Element, int, Element]]:
+    """The block elements that may be templates, their keys and the article, main element or else page each stands in.
 
-    Sets the hash of every element's subtree. Elements without text and those that are or hold an article or
-    main element are none.
+    Sets the hash of every element's subtree; a key is that hash with the last bit set in an article or main
+    element. Elements without text, those that are or hold an article or main element, and what
+    is left out by its tag in any case are none.
     """
     every = list(root.elements())
-    within, holds = {id(root): root}, set()
+    within, holds, never = {id(root): root}, set(), set()
     for e in every[1:]:
         within[id(e)] = e.parent if _marked(e.parent) else within[id(e.parent)]
+        if e.tag in _NEVER or id(e.parent) in never:
+            never.add(id(e))
     found = []
     for e in reversed(every):  # children before parents
         if _marked(e) or id(e) in holds:
@@ -150,8 +167,9 @@ def subtree_hashes(root: Element) -> list[tuple[Element, Element]]:
         for c in e.children:
             parts.append(f"<{c.hash}>" if isinstance(c, Element) else " ".join(c.split()))
         e.hash = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-        if e.tag in _BLOCKS and e.tag not in ("html", "body", "head") and id(e) not in holds and any(parts[2:]):
-            found.append((e, within[id(e)]))
+        may_be = e.tag in _BLOCKS and e.tag not in ("html", "body") and id(e) not in holds and id(e) not in never
+        if may_be and any(parts[2:]):
+            found.append((e, e.hash | 1 if _marked(within[id(e)]) else e.hash & ~1, within[id(e)]))
     return found
 
 
@@ -162,14 +180,15 @@ def _is_aside(e: Element, within_main: bool, holds_main: set[int]) -> bool:
         return True
     if e.tag == "header":
         return not within_main
-    names = e.names & _NAMES
-    return bool(names - {"header"} if within_main else names) and e.tag not in ("html", "body")
+    # in an article a name counts only as a whole: "related-links" is an aside, "related-work" is text
+    named = e.wholly_named if within_main else e.names & _NAMES
+    return bool(named) and e.tag not in ("html", "body")
 
 
 def main_text(html: str, templates: frozenset[int] | set[int]) -> str:
-    """Blocks of the page's text, joined by line ends; ``templates`` are hashes of subtrees to leave out."""
+    """Blocks of the page's text, joined by line ends; ``templates`` are keys of subtrees to leave out."""
     root = parse(html)
-    removed = {id(e) for e, _ in subtree_hashes(root) if e.hash in templates} if templates else set()
+    removed = {id(e) for e, key, _ in subtree_hashes(root) if key in templates} if templates else set()
     mains = _mains(root, removed)
     # where nothing is left without them, articles in what is named like an aside are the text
     return _text_of(root, mains, removed) or _text_of(root, _mains(root, removed, True), removed)
@@ -214,53 +233,62 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
 
 
-def _count_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, within) of each batch, each once: a subtree and the article or page it stands in; hash NULL for pages."""
+def _list_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, key, within) of each batch, each once: a subtree and the article or page it stands in; key NULL for pages."""
     for batch in batches:
         rows: set = set()
-        for host, html in zip(batch.column("host").to_pylist(), strings(batch.column("html")), strict=True):
+        ids = zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), strings(batch.column("html")), strict=True)
+        for host, page, html in ids:
             root = parse(html)
             found = subtree_hashes(root)
-            rows.add((host, None, root.hash))
-            rows.update((host, e.hash, within.hash) for e, within in found)
-        rows = list(rows)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.int64()),
-        ], ["host", "hash", "within"])
+            rows.add((host, page, None, root.hash))
+            rows.update((host, page, key, within.hash) for _, key, within in found)
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "key", "within"]
+        )
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host and the hashes of its recurring subtrees. A host has at most 1 / ``share`` times as many as
-    its pages have subtrees on average."""
-    counted = pages.select("host", "html").mapInArrow(_count_subtrees, "host string, hash long, within long")
+    """host, page and the keys of the recurring subtrees on it, of the pages (host, page, html) that have any.
+
+    A list is as long as its page at most, whatever the host's size.
+    """
+    found = pages.select("host", "page", "html").mapInArrow(_list_subtrees, "host string, page long, key long, within long")
+    found = materialise(found, "subtrees")
     # copies of an article or page are one
-    counted = counted.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    counted = materialise(counted, "subtree_counts")
-    hosts = counted.where("hash is null").select("host", F.col("pages").alias("host_pages"))
-    frequent = counted.where(F.col("hash").isNotNull() & (F.col("pages") >= least_pages)).join(hosts, "host")
-    frequent = frequent.where(F.col("pages") >= F.col("host_pages") * share)
-    return frequent.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    counted = found.select("host", "key", "within").distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
+    counted = materialise(counted.where(F.col("key").isNull() | (F.col("pages") >= least_pages)), "subtree_counts")
+    hosts = counted.where("key is null").select("host", F.col("pages").alias("host_pages"))
+    frequent = counted.where("key is not null").join(hosts, "host")
+    in_article = F.col("key").bitwiseAND(1) == 1
+    frequent = frequent.where(~in_article | (F.col("pages") >= F.col("host_pages") * share))
+    met = found.select("host", "page", "key").join(frequent.select("host", "key"), ["host", "key"])
+    return met.groupBy("host", "page").agg(F.collect_set("key").alias("templates"))
 
 
 def extract_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages``.
 
     The text is that of the article or main element; where a page marks none, that of the page. Left
-    out are subtrees that recur on the host's pages (hashed with tags, names and text), in its articles
-    too, and menus, headers, footers, sidebars, notices, adverts,
-    forms, comments and scripts as their tags, roles or names tell. A subtree is counted
-    once for each different article, main element or else page it stands in, so that copies, which are one,
-    stay whole. An article in an aside is text only where nothing else is. Character references are decoded,
-    white space in a block is one blank, blocks are lines.
+    out are the site's templates, and menus, headers, footers, sidebars, notices, adverts, forms, comments and
+    scripts as their tags, roles or names tell; in an article a name counts only if all of its words tell so.
+
+    A template is a subtree (hashed with tags, names and text) that stands on ``least_pages`` different pages
+    of the host. In an article it has to stand in as many as ``share`` of the host's pages too, as
+    articles quote each other. A subtree is counted once for each different article, main element or else page it
+    stands in, so that copies, which are one, stay whole. An article in an aside is text only where
+    nothing else is. Character references are decoded, white space in a block is one blank, blocks are lines.
 
     NULL and empty pages have empty text; pages without host are one host. Repeated pages are
     extracted in each row, and count as one page of their host. Broken markup is read to its end. Other
     columns are ignored. No pages, no rows.
     """
     small_batches(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    # small unless there are very many hosts; Spark decides by the table's size how to join it
+    # equal numbers of two pages of a host would only join their lists, which changes no text
+    page = F.xxhash64(F.coalesce("html", F.lit("")))
+    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), page.alias("page"))
+    # Spark decides by the table's size how to join it
     templates = materialise(site_templates(pages, least_pages, share), "templates")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +302,7 @@ def extract_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float
             ], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.join(templates, "host", "left").select("page_id", "url", "html", "templates").mapInArrow(
+    return pages.join(templates, ["host", "page"], "left").select("page_id", "url", "html", "templates").mapInArrow(
         extract, f"page_id {kind}, url string, text string, n_chars long"
     )
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from evalgrid.llm import html_text as H
@@ -23,6 +25,10 @@ def _text(html):
     ("<article>a</article><p>x</p><article>b</article>", "a\nb"), ("<p>cut <b", "cut"), ("<script>never ends <p>x", ""),
     ("<p title='a > b'>t</p>", "t"), ("<p class='x>lost quote</p><p>u</p>", "lost quote\nu"), ("<div hidden>h</div><div role=navigation>n</div>t", "t"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<div class='page with-sidebar'><article>k</article></div>", "k"),
+    ("<div style='overflow: hidden'><p>Body</p></div><p title='hidden gems'>u</p><p data-x='id=notice'>v</p>", "Body\nu\nv"),
+    ("<p hidden='until-found'>x</p><p HIDDEN>y</p><p class=a class=ad>z</p><p data-hidden=1>t</p>", "z\nt"),
+    ("<article><section id='related-work'>r</section><p class='share-price'>s</p><div class='share-buttons x'>b</div><p class='ad'>c</p></article>", "r\ns"),
+    ("<main><section class='comment-list'>c</section><div id='cookie-notice-2'>n</div><p class='header'>h</p></main>", "h"),
     ("<pre>a\n  b</pre>", "a b"), ("</div></p>x</b>", "x"), ("<p>a</p>" * 3000, "\n".join(["a"] * 3000)),
 ])
 def test_text_of_a_page(html, text):
@@ -73,3 +79,37 @@ def test_templates_in_articles_and_text_outside_of_teasers(spark):
     rows.append((30, "http://b.org", "<div>Long story</div><div class='related'><article>A teaser</article></div>"))
     found = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {i: f"Story {i}" for i in range(8)} | {10 + i: "Copied" for i in range(8)} | {30: "Long story"}
+
+
+def test_templates_of_one_section_of_a_large_host(spark):
+    # 6 of 60 pages: too few to be a share of the host, and enough pages
+    rows = [(i, "http://a.org/x", f"<div><p>Story {i}</p></div>" + ("<div>Section links</div>" if i < 6 else "")) for i in range(60)]
+    # what articles quote of each other is text until it stands in a share of the host's pages
+    rows += [(100 + i, "http://a.org/y", f"<article><p>Own {i}</p><p>Quoted by six</p></article>") for i in range(6)]
+    found = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"Story {i}" for i in range(60)} | {100 + i: f"Own {i}\nQuoted by six" for i in range(6)}
+
+
+def test_templates_against_brute_force(spark):
+    """Pages of random parts: the templates of each page as counted in plain Python from the parts they were made of."""
+    rng = random.Random(7)
+    rows, made = [], []
+    for i in range(300):
+        host = rng.choice("aaab")
+        parts = [f"part {int(rng.expovariate(0.15))}" for _ in range(rng.randint(1, 6))]
+        marked = rng.random() < 0.5
+        made.append((host, parts, marked))
+        body = "".join(f"<div>{p}</div>" for p in parts)
+        rows.append((i, f"http://{host}.org/{i}", f"<article>{body}</article>" if marked else body))
+    pages, stands = {}, {}
+    for host, parts, marked in made:
+        pages.setdefault(host, set()).add((marked, tuple(parts)))
+        for p in parts:
+            stands.setdefault((host, marked, p), set()).add(tuple(parts))
+    expected, decided = {}, 0
+    for i, (host, parts, marked) in enumerate(made):
+        least = max(H.LEAST_PAGES, H.SHARE * len(pages[host]) if marked else 0)
+        expected[i] = "\n".join(p for p in parts if len(stands[host, marked, p]) < least)
+        decided += expected[i] != "\n".join(parts)
+    found = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == expected and decided > 50

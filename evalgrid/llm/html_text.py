@@ -234,27 +234,30 @@ def host_of(url: Column) -> Column:
 
 
 def _list_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, key, within) of each batch, each once: a subtree and the article or page it stands in; key NULL for pages."""
+    """(host, page, key, within, decides) of each batch, each once: a subtree and the article or page it stands in; key NULL
+    for pages. Where a page's text is that of its articles, subtrees outside of them count but decide nothing."""
     for batch in batches:
         rows: set = set()
         ids = zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), strings(batch.column("html")), strict=True)
         for host, page, html in ids:
             root = parse(html)
             found = subtree_hashes(root)
-            rows.add((host, page, None, root.hash))
-            rows.update((host, page, key, within.hash) for _, key, within in found)
-        columns = list(zip(*rows, strict=True)) or [()] * 4
+            unmarked = not _mains(root, set())
+            rows.add((host, page, None, root.hash, False))
+            rows.update((host, page, key, within.hash, unmarked or key & 1 == 1) for _, key, within in found)
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "key", "within"]
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "key", "within", "decides"]
         )
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host, page and the keys of the recurring subtrees on it, of the pages (host, page, html) that have any.
+    """host, page and the keys of the recurring subtrees that may be in its text, of the pages (host, page, html) that have any.
 
     A list is as long as its page at most, whatever the host's size.
     """
-    found = pages.select("host", "page", "html").mapInArrow(_list_subtrees, "host string, page long, key long, within long")
+    found = pages.select("host", "page", "html").mapInArrow(_list_subtrees, "host string, page long, key long, within long, decides boolean")
     found = materialise(found, "subtrees")
     # copies of an article or page are one
     counted = found.select("host", "key", "within").distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
@@ -263,7 +266,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
     frequent = counted.where("key is not null").join(hosts, "host")
     in_article = F.col("key").bitwiseAND(1) == 1
     frequent = frequent.where(~in_article | (F.col("pages") >= F.col("host_pages") * share))
-    met = found.select("host", "page", "key").join(frequent.select("host", "key"), ["host", "key"])
+    met = found.where("decides").select("host", "page", "key").join(frequent.select("host", "key"), ["host", "key"])
     return met.groupBy("host", "page").agg(F.collect_set("key").alias("templates"))
 
 

@@ -38,6 +38,22 @@ def fold(key: str, folds: int) -> Column:
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds).cast("int")
 
 
+def draw_rows(rows: DataFrame, group: str, wanted: int) -> DataFrame:
+    """About ``wanted`` rows of each value of ``group`` (few values), by a hash of doc_id and text, with that hash as ``draw``.
+
+    Rows equal in doc_id, text and group are one, so no id, not even a NULL one, and no copies bring more rows than that.
+    """
+    rows = rows.select("doc_id", group, "text", F.xxhash64("doc_id", "text").alias("draw"))
+    counts = {r[group]: r.n for r in rows.groupBy(group).agg(F.count_distinct("draw").alias("n")).collect()}
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for value, n in sorted(counts.items()) for x in (value, min(1.0, wanted / n))])
+    # the digest is hashed again, as folds and other samples hash ids too
+    place = F.pmod(F.xxhash64(F.lit(group), "draw"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.where(place < share[F.col(group)])
+    return drawn.groupBy(group, "draw").agg(F.first("text").alias("text"))
+
+
 def strings(column: pa.Array) -> list[str]:
     """The column as text; NULL is empty."""
     return [x or "" for x in column.to_pylist()]

@@ -8,20 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import fold, keep_rows, small_batches, strings, table
+from evalgrid.llm.common import draw_rows, fold, keep_rows, small_batches, strings, table
 
 #: features; n-grams are hashed into them
 FEATURES = 1 << 15
 NGRAMS = (1, 2, 3)
-#: labelled documents of each language the model is fitted on, on average
-PER_LANGUAGE = 600
+#: labelled documents of each language the model is fitted on, on average, and of all languages
+PER_LANGUAGE, MOST_ROWS = 600, 40_000
+#: languages that are learnt, the most frequent ones; the weights of more would not fit a worker
+MOST_LANGUAGES = 256
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-#: a text whose language is less probable than this is in no known one
-LEAST_SCORE = 0.5
 
 _EPOCHS, _ALPHA, _BETA, _L1, _L2 = 3, 0.5, 1.0, 0.02, 0.002
 _SCALE = 20.0
+#: of the least share of known letters among the texts kept for calibration
+_MARGIN = 0.25
 _CHARS = 1 << 19
 
 _letters: np.ndarray | None = None
@@ -70,6 +72,20 @@ class Model:
     weights: np.ndarray  # feature by language, with the inverse document frequency and scale in it
     bias: np.ndarray
     temperature: float
+    letters: np.ndarray  # feature by language: whether learnt texts in it hold that letter
+    least_known: float  # a text that shares fewer of its letters with those of its language is not in it
+
+    def known_letters(self, texts: list[str], names: list[str]) -> np.ndarray:
+        """The share of each text's letters that learnt texts in the named language hold too; 0 without letters or language."""
+        out = np.zeros(len(texts))
+        place = {name: k for k, name in enumerate(self.languages)}
+        for row, codes, starts, has in _blocks(texts):
+            for i in np.flatnonzero(has):
+                own = codes[starts[i]:starts[i + 1]]
+                own = own[own != 32]
+                if names[row + i] in place:
+                    out[row + i] = self.letters[_features(own, 1), place[names[row + i]]].mean()
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -96,19 +112,9 @@ class Model:
         return names, scores
 
 
-def _sampled(docs: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language, by a hash of the id."""
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not counts:
-        return docs.limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.where(drawn < share[F.col("lang")])
-
-
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, counts = [], []
+        ids, counts, letters, letter_counts = [], [], [], []
         for _, codes, starts, _ in _blocks(strings(batch.column("text"))):
             for i in range(len(starts) - 1):
                 own = codes[starts[i]:starts[i + 1]]
@@ -116,28 +122,38 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j, c = np.unique(found, return_counts=True)
                 ids.append(j.astype(np.int32))
                 counts.append((c / len(found)).astype(np.float32))
+                j, c = np.unique(_features(own[own != 32], 1), return_counts=True)
+                letters.append(j.astype(np.int32))
+                letter_counts.append((c / max(c.sum(), 1)).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-            ["doc_id", "lang", "ids", "shares"],
+            [batch.column("draw"), batch.column("lang"), *(
+                pa.array(x, pa.list_(k)) for x, k in ((ids, pa.int32()), (counts, pa.float32()), (letters, pa.int32()), (letter_counts, pa.float32()))
+            )],
+            ["draw", "lang", "ids", "shares", "letters", "letter_shares"],
         )
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from about ``per_language`` of the rows of each ``lang``; rows without one teach nothing.
+    """A model from about ``per_language`` of the different rows of each ``lang``; rows without one teach nothing.
 
+    Of more than ``MOST_LANGUAGES`` languages the most frequent are learnt, of equally frequent ones the first by name;
+    all together bring about ``MOST_ROWS`` rows at most. Rows are drawn by a hash of id and text, equal ones are one.
     Follow-the-regularised-leader with elastic-net penalties passes over four fifths of the sample;
-    the last fifth sets the temperature. The sample is what the driver gets of the documents.
+    the last fifth sets the temperature and the share of letters that a text in a learnt language has to
+    share with others in it. The sample is what the driver gets of the documents.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "lang", F.col("text")).where("lang is not null")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _sampled(docs, per_language).mapInArrow(
-        _vectors, f"doc_id {kind}, lang string, ids array<int>, shares array<float>"
+    docs = docs.select("doc_id", "lang", "text").where("lang is not null")
+    learnt = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    docs = docs.where(F.col("lang").isin([r.lang for r in learnt]))
+    per_language = min(per_language, MOST_ROWS // max(len(learnt), 1))
+    rows = draw_rows(docs, "lang", per_language).mapInArrow(
+        _vectors, "draw long, lang string, ids array<int>, shares array<float>, letters array<int>, letter_shares array<float>"
     ).toArrow().to_pydict()
     languages = sorted(set(rows["lang"]))
     if not languages:
-        return Model([], np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    order = np.random.default_rng(5).permutation(np.argsort([str(x) for x in rows["doc_id"]], kind="stable"))
+        return Model([], np.zeros((FEATURES, 0)), np.zeros(0), 1.0, np.zeros((FEATURES, 0), bool), 0.0)
+    order = np.random.default_rng(5).permutation(np.lexsort((rows["lang"], rows["draw"])))
     ids = [np.array(rows["ids"][i]) for i in order]
     target = np.array([languages.index(rows["lang"][i]) for i in order])
     seen = np.zeros(FEATURES)
@@ -181,7 +197,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         return float(np.mean(np.log(np.exp(x).sum(1)) - x[np.arange(len(x)), target[list(check)]]))
 
     temperature = min(np.geomspace(0.05, 20, 121), key=loss)
-    return Model(languages, (w * idf[:, None] * _SCALE).astype(np.float32), bias, float(temperature))
+    letters = np.zeros((FEATURES, len(languages)), bool)
+    for k, i in enumerate(order[:n_fit]):
+        letters[rows["letters"][i], target[k]] = True
+    shares = [
+        float(np.dot(rows["letter_shares"][order[k]], letters[rows["letters"][order[k]], target[k]])) for k in check if rows["letters"][order[k]]
+    ]
+    return Model(
+        languages, (w * idf[:, None] * _SCALE).astype(np.float32), bias, float(temperature), letters, min(shares, default=0.0) * _MARGIN
+    )
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -204,18 +228,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows, with all columns, that ``identify`` gives a language with at least ``least_score``.
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all columns, that ``identify`` gives a language which they are written in.
 
-    All stay if nothing could be learnt.
+    A text that is split between languages stays, however little probable the best one is. One goes if it is ``und``
+    or shares fewer of its letters with the learnt texts in its language than ``least_known``, a quarter of the least
+    that any labelled text kept for calibration shares with its own. All stay if nothing could be learnt.
     """
-    if not model.languages:
+    if not model.letters.any():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def identified(batch: pa.RecordBatch) -> np.ndarray:
-        names, scores = shared.value.predict(strings(batch.column("text")))
-        return (np.array(names, object) != UNKNOWN) & (scores >= least_score)
+        texts = strings(batch.column("text"))
+        names, _ = shared.value.predict(texts)
+        known = shared.value.known_letters(texts, names)
+        return (known > 0) & (known >= shared.value.least_known)
 
     return keep_rows(docs, identified)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import blocks, byte_set, fold, keep_rows, lower_table, run_hashes, runs, small_batches, table
+from evalgrid.llm.common import blocks, byte_set, draw_rows, fold, keep_rows, lower_table, run_hashes, runs, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
 #: labelled documents of each label that vote, on average
@@ -115,16 +115,17 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, end, data, starts in blocks(batch.column("text"), _BLOCK, _BLOCK_ROWS):
             x = term_shares(data, starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[row:end], batch.column("quality")[row:end], pa.array([r.tobytes() for r in x], pa.binary())],
-                ["doc_id", "quality", "shares"],
+                [batch.column("draw")[row:end], batch.column("quality")[row:end], pa.array([r.tobytes() for r in x], pa.binary())],
+                ["draw", "quality", "shares"],
             )
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, dimensions: int = DIMENSIONS) -> Model:
-    """A model of about ``per_label`` documents of each label, drawn by a hash of the id.
+    """A model of about ``per_label`` documents of each label, drawn by a hash of the id and then of id and text.
 
     ``labels`` holds doc_id and quality, 0 or 1; other values and ids without a document teach
-    nothing. The drawn documents, a bounded number, are what the driver gets of the corpus.
+    nothing. Rows equal in id and text are one, and an id of very many rows brings no more than other drawn
+    ones together. The drawn documents, a bounded number, are what the driver gets of the corpus.
     """
     small_batches(docs.sparkSession)
     labels = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").distinct()
@@ -136,17 +137,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, dimensio
     for label, n in counts.items():
         share = F.when(F.col("quality") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
     drawn = labels.where(draw < share).withColumn("quality", F.col("quality").cast("int"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    # at most about two times per_label ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(
-        _shares, f"doc_id {kind}, quality int, shares binary"
-    ).toArrow()
+    # at most about two times per_label ids, of which each may have any number of rows
+    labelled = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = draw_rows(labelled, "quality", 2 * per_label).mapInArrow(_shares, "draw long, quality int, shares binary").toArrow()
     n = rows.num_rows
     if not n:
         return Model(np.zeros((TERMS, 0)), np.zeros((0, 0)), np.zeros(0), prior)
     x = np.frombuffer(b"".join(rows.column("shares").to_pylist()), np.float32).reshape(n, TERMS)
     # the same order in every run, whatever order the tasks end in
-    order = np.lexsort(np.array([rows.column("quality").to_numpy(), rows.column("doc_id").to_numpy()]))
+    order = np.lexsort(np.array([rows.column("quality").to_numpy(), rows.column("draw").to_numpy()]))
     x = x[order]
     idf = (np.log((1 + n) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x = x * idf

@@ -1,6 +1,7 @@
 import zlib
 
 from evalgrid.llm import language_id
+from evalgrid.llm.common import draw_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,3 +44,46 @@ def test_weights_are_sparse(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(docs)
     assert (model.weights == 0).mean() > 0.5
+
+
+def _texts(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_texts_in_no_learnt_language_go(spark):
+    rows = [(i, f"the cat and the dog {'abcdefghij'[i % 10]}", "en") for i in range(60)]
+    rows += [(100 + i, f"der hund und die katze {'abcdefghij'[i % 10]}", "de") for i in range(60)]
+    rows += [(200 + i, t, None) for i, t in enumerate([
+        "\u4e2d\u6587\u7684\u6587\u672c", "\u0440\u0443\u0441\u0441\u043a\u0438\u0439", None, "", "12 !!",
+        "the dog und die katze", "the cat \u4e2d\u6587", "die", "der hund " * 5000,
+    ])]
+    docs = _texts(spark, rows).selectExpr("*", "0.5 as score", "lang as lang_pred")
+    kept = language_id.keep_identified(docs, language_id.fit(docs))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(60)) | set(range(100, 160)) | {205, 206, 207, 208}
+
+
+def test_unlabelled_documents_teach_no_rejection(spark):
+    docs = _texts(spark, [(1, "abc", None), (2, None, None)])
+    assert language_id.keep_identified(docs, language_id.fit(docs)).count() == 2
+    docs = _texts(spark, [(1, "abc", None), (2, "12", "en")])
+    assert language_id.keep_identified(docs, language_id.fit(docs)).count() == 2
+
+
+def test_samples_are_bounded_by_rows(spark):
+    # a third of the rows has one id and as many texts, a third no id, a third is one text many times
+    rows = [(7, f"text {i}", "en") for i in range(3000)] + [(None, f"text {i}", "en") for i in range(3000)] + [(8, "copy", "en")] * 3000
+    drawn = draw_rows(_texts(spark, rows), "lang", 300).collect()
+    assert 200 < len(drawn) < 400 and len({r.draw for r in drawn}) == len(drawn)
+    everything = draw_rows(_texts(spark, rows), "lang", 100000)
+    assert everything.count() == 6001
+    assert draw_rows(_texts(spark, []), "lang", 5).count() == 0
+
+
+def test_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_ROWS", 3000)
+    rows = [(i, f"word {i}", f"l{i:05d}") for i in range(10000)] + [(20000 + i, f"the dog {i}", "en") for i in range(50)]
+    rows += [(21000 + i, f"der hund {i}", "de") for i in range(40)]
+    model = language_id.fit(_texts(spark, rows))
+    assert len(model.languages) <= language_id.MOST_LANGUAGES and {"en", "de", "l00000"} <= set(model.languages)
+    assert "l09999" not in model.languages

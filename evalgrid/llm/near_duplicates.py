@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrid.llm.common import blocks, byte_set, lower_table, mix, run_hashes, runs, small_batches, table
@@ -20,8 +20,8 @@ RECALL = 0.999
 HASHES = 128
 #: texts of a candidate group that are compared at once with as many others
 BLOCK_TEXTS = 128
-#: tasks that the copies of one text are dealt to where one of them is chosen
-_SHARES = 16
+#: a text that holds this share of the linked rows is one of so few that they are broadcast
+_HEAVY = 0.001
 
 _WORD = byte_set(range(48, 58), range(97, 123), range(128, 256))
 _LOWER = lower_table()
@@ -147,7 +147,7 @@ def _verifier(words: int, similarity: float):
 
 
 def _classes(docs: DataFrame, words: int, similarity: float, recall: float) -> DataFrame:
-    """text_key, component, class_id, n_links of the texts of linked rows of ``docs`` (doc_id, text, text_key)."""
+    """text_key, component, class_id, n_links, least id and number of rows n of the texts of linked rows of ``docs`` (doc_id, text, text_key)."""
     small_batches(docs.sparkSession)
     bands, rows = bands_and_rows(similarity, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -190,8 +190,8 @@ def _classes(docs: DataFrame, words: int, similarity: float, recall: float) -> D
     ).where("n_links > 0")
     known = materialise(known, "linked")
     named = known.groupBy("component").agg(F.min("least").alias("class_id"))
-    by_text = texts.select("text_key", "set_key").join(known.join(named, "component"), "set_key")
-    return materialise(by_text.select("text_key", "component", "class_id", "n_links"), "classes")
+    by_text = texts.select("text_key", "set_key", "least", "n").join(known.drop("least").join(named, "component"), "set_key")
+    return materialise(by_text.select("text_key", "component", "class_id", "n_links", "least", "n"), "classes")
 
 
 def join_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -227,24 +227,26 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     key = _free_name("text_key", docs.columns)
     keyed = docs.withColumn(key, F.md5("text"))
     classes = _classes(keyed.select("doc_id", "text", F.col(key).alias("text_key")), words, similarity, recall)
-    members = keyed.select("doc_id", F.col(key).alias("text_key")).join(classes.select("text_key", "component"), "text_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))).alias("first")
-    decided = classes.select("text_key", "component").join(
-        members.groupBy("component").agg(first).select("component", "first.doc_id", F.col("first.text_key").alias("first_key")), "component"
-    )
-    # a text with very many copies is dealt to several tasks by the copies' ids
-    shares = F.sequence(F.lit(0), F.lit(_SHARES - 1))
-    decided = decided.select("text_key", "first_key", F.col("doc_id").alias("first_id"), F.explode(shares).alias("share"))
-    decided = materialise(decided.withColumn("in_class", F.lit(True)), "decided")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)).cast("int")
+    first = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("text_key"))).alias("first")
+    firsts = classes.groupBy("component").agg(first).select("component", "first.least", F.col("first.text_key").alias("first_key"))
+    decided = classes.select("text_key", "component", "n").join(firsts, "component")
+    decided = decided.select("text_key", "n", "first_key", F.col("least").alias("first_id"), F.lit(True).alias("in_class"))
+    decided = materialise(decided, "decided")
+    total = decided.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") >= total * _HEAVY
+
     row = F.struct(*(keyed["`" + c.replace("`", "``") + "`"] for c in docs.columns))
-    rows = keyed.select(row.alias("row"), F.col(key).alias("text_key"), F.col("doc_id").alias("own_id"), share.alias("share"))
-    # one shuffle of the texts at any size, rather than none where the table happens to be small
-    met = rows.join(decided.hint("merge"), ["text_key", "share"], "left")
-    nth = F.row_number().over(Window.partitionBy("text_key", "share", "own_id").orderBy(F.lit(1)))
+    has_words = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    rows = keyed.select(row.alias("row"), F.col(key).alias("text_key"), F.col("doc_id").alias("own_id"), has_words.alias("has_words"))
     chosen = (F.col("text_key") == F.col("first_key")) & F.col("own_id").eqNullSafe(F.col("first_id"))
-    kept = met.withColumn("nth", nth).where(F.col("in_class").isNull() | (chosen & (F.col("nth") == 1)))
-    return kept.select("row.*")
+    # copies of the few texts with very many are decided where they are read, so no key of the other join is hot
+    few = rows.where("has_words").join(F.broadcast(decided.where(heavy).drop("n")), "text_key", "left")
+    others = few.where("in_class is null").select("row", "text_key", "own_id").join(decided.where(~heavy).drop("n"), "text_key", "left")
+    # rows equal in id and text are combined before they are shuffled
+    linked = few.where(chosen).select("row", "text_key").union(others.where(chosen).select("row", "text_key"))
+    linked = linked.groupBy("text_key").agg(F.first("row").alias("row"))
+    kept = rows.where("not has_words").select("row").union(others.where("in_class is null").select("row"))
+    return kept.union(linked.select("row")).select("row.*")
 
 
 def _free_name(name: str, taken: list[str]) -> str:

@@ -79,3 +79,21 @@ def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.999), (0.5, 0.9), (0.95, 0.99), (1.0, 0.9)):
         bands, rows = N.bands_and_rows(similarity, recall)
         assert bands * rows <= N.HASHES and 1 - (1 - similarity**rows) ** bands >= recall - 1e-9
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    rnd = random.Random(5)
+    rows = list(enumerate(_texts(3)))
+    # copies of one text are a third of all rows, some of one id, and texts without words are many
+    rows += [(500 + i % 20, rows[0][1]) for i in range(200)] + [(None, rows[0][1])] * 20 + [(900, "")] * 30 + [(None, None)] * 30
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id long, text string, text_key int").repartition(4)
+    kept = N.keep_one(docs)
+    assert kept.schema == docs.schema
+    wordless = [r for r in rows if not r[1]]
+    worded = [r for r in rows if r[1]]
+    classes = {}
+    for (doc_id, text), (_, class_id, links) in zip(sorted(worded, key=str), sorted(brute_force(worded), key=str), strict=True):
+        classes.setdefault(class_id if links else (doc_id, text), []).append((doc_id is None, doc_id, text))
+    expected = [min(c, key=lambda r: (r[0], r[1] or 0, hashlib.md5(r[2].encode()).hexdigest()))[1:] for c in classes.values()]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected + wordless, key=str)

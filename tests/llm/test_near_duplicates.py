@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evalgrid.llm import rotated_codes
@@ -50,6 +51,48 @@ def test_blocks_agree_with_brute_force(spark):
     assert hits >= 0.98 * 20 * len(found)
 
 
+def test_an_id_that_holds_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(16).round(3).tolist()) for i in range(400)]
+    rows += [(100, rng.standard_normal(16).round(3).tolist()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = _found(rotated_codes.nearest_neighbours(df, F.col("vec_id") % 50 == 0, rows=100, queries=3))
+    asked = {q: max(v for i, v in rows if i == q) for q in range(0, 400, 50)}
+    assert set(found) == set(asked)
+    hits = 0
+    for q, own in asked.items():
+        scores = sorted((float(np.dot(own, v)) for i, v in rows if i != q), reverse=True)[:20]
+        hits += np.isclose([s for _, _, s in found[q]], scores).sum()
+        assert all(i != q for _, i, _ in found[q])
+    assert any(i == 100 for q in found for _, i, _ in found[q]) and hits >= 0.98 * 20 * len(found)
+
+
+def test_estimates_come_from_packed_bits():
+    rng = np.random.default_rng(8)
+    offset, signs = rng.standard_normal((5, 512)), rng.standard_normal((9000, 512)) > 0
+    estimate = rotated_codes._products(offset, np.packbits(signs, axis=1))
+    assert np.allclose(estimate, offset @ (signs * 2.0 - 1).T, atol=1e-3)
+
+
+def test_bounds_leave_few_rows(spark):
+    """Far from the origin too, where the products with the centre are most of a score."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 64))
+    for shift in (0.0, 3.0, -3.0):
+        vectors = (centres[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 64)) + shift).tolist()
+        df = spark.createDataFrame(list(enumerate(vectors)), "id long, vector array<double>")
+        centre = np.mean(vectors, axis=0)
+        rows = pa.Table.from_batches(rotated_codes.encode(df, {64: centre}).toArrow().to_batches())
+        queries = rows.take(pa.array(range(0, 4000, 40)))
+        found, reranked = rotated_codes.search_block(queries, rows, centre, 20)
+        assert reranked < 0.1 * 4000 * 100
+        exact = np.array(vectors)[::40] @ np.array(vectors).T
+        exact[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+        best = {(40 * i, int(j)) for i, row in enumerate(exact) for j in np.argsort(-row)[:20]}
+        got = set(zip(found["query_id"].to_pylist(), found["vec_id"].to_pylist(), strict=True))
+        assert len(got & best) >= 0.99 * len(best)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
@@ -58,6 +101,6 @@ def test_odd_vectors(spark):
     ]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, rank int")
     found = _found(rotated_codes.nearest_neighbours(df, F.col("vec_id") % 20 == 0))
-    assert [(i, s) for _, i, s in found[0]] == [(1, 2.0), (2, 2.0), (10, -1.0)]
+    assert [(i, s) for _, i, s in found[0]] == [(1, 2.0), (1, 2.0), (2, 2.0), (10, -1.0), (10, -3.0)]
     assert [(i, s) for _, i, s in found[40]] == [(9, 6.0)] and set(found) == {0, 40}
     assert rotated_codes.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0

@@ -6,20 +6,26 @@ from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrid.llm.common import small_batches, strings, table
+from evalgrid.session import materialise
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: frequent pre-tokens in the broadcast table; it holds at most so many of up to 64 bytes
 TABLE_ROWS = 32_768
-#: pre-tokens that a batch names as frequent; all are counted before
-_NAMED = 4_096
+#: pre-tokens of a summary for each row of the table
+_SPARE = 2
+#: summaries that are merged at once
+_FAN = 16
 #: pre-tokens that a worker's cache holds before it starts anew
 _CACHE_ROWS = 300_000
 _LONGEST = 64
+#: pre-tokens that a task counts beyond its summary before it is cut
+_LEAST_ROOM = 100_000
 
 
 def _pretokens(text: bytes) -> list[bytes]:
@@ -34,22 +40,57 @@ def _pretokens(text: bytes) -> list[bytes]:
     return [x.lower() if x.isascii() else x for x in text.split()]
 
 
+def _cut(counts: dict[bytes, int], most: int) -> dict[bytes, int]:
+    """The ``most`` greatest counts, each less by the greatest count that goes: a Misra-Gries summary of the counts.
+
+    However summaries are cut and added up, a count falls short by less than the total over ``most``,
+    so that whatever is more frequent than that stays.
+    """
+    if len(counts) <= most:
+        return counts
+    level = sorted(counts.values())[-most - 1]
+    return {w: n - level for w, n in counts.items() if n > level}
+
+
 def frequent_pretokens(docs: DataFrame, rows: int = TABLE_ROWS) -> list[bytes]:
-    """The most frequent pre-tokens of all texts, by the sums of each batch's most frequent ones."""
+    """The most frequent pre-tokens, of up to 64 bytes, of all texts.
+
+    Each task counts its pre-tokens in a summary of bounded size; summaries, not pre-tokens, are sent
+    on and merged ``_FAN`` at a time until one is left, so neither a task nor the driver ever holds more
+    than that many. Counts are those of a Misra-Gries summary, too small by less than all pre-tokens
+    over ``_SPARE`` times ``rows``; this decides what is in the table, never a document's count.
+    """
+    most = _SPARE * rows
+    schema = "slot int, piece binary, n long"
+
+    def as_rows(slot: int, counts: dict[bytes, int]) -> list[pa.Array]:
+        slots = pa.array([slot] * len(counts), pa.int32())
+        return [slots, pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
             for text in batch.column(0):
                 counts.update(_pretokens((text.as_py() or "").encode()))
-            best = [(w, n) for w, n in counts.most_common(_NAMED) if len(w) <= _LONGEST]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["piece", "n"]
-            )
-
-    named = docs.select("text").mapInArrow(summarise, "piece binary, n long")
-    best = named.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(rows)
-    return [bytes(r.piece) for r in best.select("piece").collect()]
+                if len(counts) > 4 * most + _LEAST_ROOM:
+                    counts = Counter(_cut({w: n for w, n in counts.items() if len(w) <= _LONGEST}, most))
+        best = _cut({w: n for w, n in counts.items() if len(w) <= _LONGEST}, most)
+        yield pa.RecordBatch.from_arrays(as_rows(TaskContext.get().partitionId(), best), ["slot", "piece", "n"])
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        counts: Counter = Counter()
+        for batch in group.to_batches():
+            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                counts[piece] += n
+        return pa.table(as_rows(key[0].as_py(), _cut(counts, most)), ["slot", "piece", "n"])
+
+    found = materialise(docs.select("text").mapInArrow(summarise, schema), "summaries")
+    slots = (found.agg(F.max("slot")).first()[0] or 0) + 1
+    while slots > 1:
+        slots = -(-slots // _FAN)
+        found = found.withColumn("slot", F.pmod("slot", F.lit(slots)).cast("int")).groupBy("slot").applyInArrow(merge, schema)
+    best = found.orderBy(F.desc("n"), "piece").limit(rows).select("piece").toArrow()
+    return best.column("piece").to_pylist()
 
 
 class _Lengths(dict):
@@ -93,10 +134,10 @@ def _tokenizer(path: str):
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_rows: int = TABLE_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
 
-    First every text names its frequent pre-tokens; the ``table_rows`` most frequent are encoded once
+    First the ``table_rows`` most frequent pre-tokens are found (``frequent_pretokens``), encoded once
     and broadcast as a table of lengths (under 3 MB). Then each task adds up the lengths of its
-    pre-tokens, encoding what the table lacks once per worker. No pre-token is shuffled with its
-    document, and the table decides speed only, never a count. A text that holds an added token's
+    pre-tokens, encoding what the table lacks once per worker. No exchange is keyed by pre-tokens,
+    and the table decides speed only, never a count. A text that holds an added token's
     string is encoded whole, as the tokenizer treats that string before it splits.
 
     NULL and empty texts have 0 tokens. Repeated rows and NULL ids are counted like any other row.

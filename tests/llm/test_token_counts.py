@@ -1,3 +1,5 @@
+from collections import Counter
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -39,6 +41,27 @@ def test_table_of_documents(spark):
     _check(spark, [r.text for r in docs.select("text").collect()])
 
 
+def test_frequent_pretokens_of_a_table(spark):
+    """The summaries of many tasks, merged in steps, hold what counting everything finds."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = [w for r in docs.select("text").collect() for w in (r.text or "").encode().split() if len(w) <= 64]
+    counts = Counter(w.lower() if w.isascii() else w for w in pieces)
+    best = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    whole = token_counts.frequent_pretokens(docs.repartition(20))
+    assert len(whole) == min(len(best), token_counts.TABLE_ROWS)
+    assert sum(counts[w] for w in whole) >= 0.99 * sum(counts[w] for w in best[:len(whole)])
+    assert token_counts.frequent_pretokens(docs.repartition(3), 10)[:3] == best[:3]
+
+
+def test_a_summary_falls_short_by_its_bound(monkeypatch, spark):
+    monkeypatch.setattr(token_counts, "_LEAST_ROOM", 0)
+    texts = [" ".join(["often"] * 30 + ["next"] * 20 + [f"w{i}x{k}" for k in range(40)]) for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    assert token_counts.frequent_pretokens(docs, 5)[:2] == [b"often", b"next"]
+    cut = token_counts._cut({b"a": 9, b"b": 5, b"c": 5, b"d": 1}, 2)
+    assert cut == {b"a": 4}
+
+
 @pytest.mark.parametrize("rows", [0, 1])
 def test_no_rows(spark, rows):
     docs = spark.createDataFrame([(None, None)][:rows], "doc_id long, text string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.llm.common import blocks, byte_set, lower_table, run_hashes, runs, small_batches, table, utf8
 from evalgrid.llm.fm_index import FMIndex
+from evalgrid.session import materialise
 
 WINDOW = 10
 #: characters of benchmark text that are broadcast together; a larger benchmark is searched in turns
@@ -186,7 +187,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Documents are not shuffled. Each task indexes its rows in shards of about ``SHARD`` bytes. The
     benchmark is broadcast in parts of about ``part_chars`` characters, all of which each shard is searched
-    for; a hash of the id deals the items out to the parts.
+    for; a hash of the id deals the items out to the parts. Rows are written out between parts, so that a
+    task holds one part only.
 
     NULL texts have no words. Items that are NULL or have no word have no windows; items of one id are
     one item, a NULL id is written as empty text. Rows of repeated ids are searched one by one.
@@ -205,6 +207,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         phrases = phrases_of(rows.column("item").to_pylist(), rows.column("text").to_pylist(), window)
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
         found = found.mapInArrow(_searcher(shared), f"{base}, {_FOUND}")
+        if part < parts - 1:
+            found = materialise(found, "searched")
+            shared.unpersist()
     return found
 
 

@@ -68,6 +68,15 @@ def test_benchmark_in_parts_and_small_shards(spark, monkeypatch):
     assert _found(docs, items, part_chars=40) == brute_force(DOCS, ITEMS)
 
 
+def test_a_task_holds_one_part(spark):
+    docs, items = _frames(spark)
+    # one item is nearly all of the benchmark
+    items = items.unionByName(spark.createDataFrame([(77777, " ".join(f"q{i}" for i in range(3000)))], "item_id long, text string"), True)
+    found = D.find_contamination(docs, items, part_chars=6000)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((tuple(r) for r in D.report(found).collect()), key=str) == brute_force(DOCS, ITEMS)
+
+
 def test_sql_agrees(spark, tmp_path):
     docs, items = _frames(spark)
     docs.drop("n_words").write.parquet(f"{tmp_path}/documents.parquet")

@@ -75,6 +75,37 @@ def test_two_pieces_replace_one():
     assert bins.tolist() == [0, 1, 0, 0] and number == 2
 
 
+def plain_best_two_fit(lengths, room):
+    """The lengths in each bin, by looking at all pieces and all pairs."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        chosen, gap = [], room
+        while fitting := [x for x in left if x <= gap]:
+            chosen.append(fitting[0])
+            left.remove(fitting[0])
+            gap -= fitting[0]
+        if gap and len(chosen) > 1:
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1:] if chosen[-1] < a + b <= gap + chosen[-1]]
+            if pairs:
+                _, *pair = max(pairs)
+                for x in pair:
+                    left.remove(x)
+                left = sorted([*left, chosen[-1]], reverse=True)
+                chosen[-1:] = pair
+        bins.append(chosen)
+    return bins
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(40, 90))
+def test_bins_are_those_of_a_plain_search(lengths, room):
+    bins, _, number = packing.best_two_fit(np.array(lengths, np.int64), room)
+    held = [[] for _ in range(number)]
+    for b, n in zip(bins.tolist(), lengths, strict=True):
+        held[b].append(n)
+    assert [sorted(x) for x in held] == [sorted(x) for x in plain_best_two_fit(lengths, room)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80))
 def test_bins_hold_each_piece_once(lengths):

@@ -21,17 +21,23 @@ def stack(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """To be joined by exchange and sort, whatever the planner takes its size for."""
+    return rows.hint("merge")
+
+
 def assemble_trials_and_results_df(
     trials: DataFrame, results: DataFrame | Iterable[DataFrame]
 ) -> DataFrame:
     """Responses of all models with the trial each one answers.
 
-    One join for all models. Which side is broadcast, if any, is left to the planner,
-    which knows the size of the columns in use; a key with very many responses is
-    split by the adaptive skew join.
+    One join for all models. No side is broadcast: both have a row for a question or more, and
+    the planner takes those that are unnested or unpacked on the way for far fewer than they are,
+    so it would gather them on the driver. A key with very many responses is split by the
+    adaptive skew join.
     """
     answered = results if isinstance(results, DataFrame) else stack(results)
-    return answered.join(trials, "Key", "inner")
+    return answered.join(merged(trials), "Key", "inner")
 
 
 def pending_trials(trials: DataFrame, results: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def join_by_position(
     ``text2`` of the question. Trials beyond the last response drop out. Responses
     beyond the last trial stay, with no question, for the check to find.
     """
-    return results.join(trials, list(on), "left")
+    return results.join(merged(trials), list(on), "left")
 
 
 def text_mismatches(joined: DataFrame) -> DataFrame:

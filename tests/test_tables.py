@@ -277,3 +277,20 @@ def test_row_numbers_of_other_types_are_compared_too(spark):
     assert (found["s"].n_compared, found["s"].n_differing, found["i"].same) == (2, 1, False)
     empty = {r.field: r for r in eg.compare_dataframes(a.limit(0), a, "i").collect()}
     assert (empty["s"].rows_1, empty["s"].rows_2, empty["s"].n_compared, empty["s"].n_differing) == (0, 2, 0, 0)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_of_questions_gather_no_side_on_the_driver(spark):
+    # a row of the file becomes many, of which the planner knows nothing
+    many = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("Key")).selectExpr("cast(Key as long) AS Key", "'q' || Key AS text")
+    answered = many.select("Key", F.lit("TRUE").alias("resp"))
+    by_place = many.withColumnRenamed("Key", "EXP_i")
+    for joined in (
+        eg.assemble_trials_and_results_df(many, answered),
+        eg.join_by_position(by_place, by_place.withColumnRenamed("text", "text2")),
+    ):
+        assert "Broadcast" not in _plan(joined)
+        assert joined.count() == 100

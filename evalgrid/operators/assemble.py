@@ -42,8 +42,8 @@ def assemble_trials_and_results_df(
 
 def pending_trials(trials: DataFrame, results: DataFrame) -> DataFrame:
     """Trials without a response yet, to resume an interrupted run."""
-    # distinct combines on the map side, so repeated keys cost no shuffle
-    return trials.join(results.select("Key").distinct(), "Key", "left_anti")
+    # repeated keys do no harm to an anti-join; to drop them first, a task would hold all keys it scans
+    return merged(trials).join(merged(results.select("Key")), "Key", "left_anti")
 
 
 def pending_by_model(

@@ -294,3 +294,10 @@ def test_joins_of_questions_gather_no_side_on_the_driver(spark):
     ):
         assert "Broadcast" not in _plan(joined)
         assert joined.count() == 100
+
+
+def test_pending_trials_hold_no_table_of_keys(spark):
+    done = responses(spark, [(0, "TRUE"), (0, "TRUE"), (3, ""), (None, "")])
+    pending = eg.pending_trials(trials(spark), done)
+    assert "Aggregate" not in _plan(pending) and "Broadcast" not in _plan(pending)
+    assert sorted(r.Key for r in pending.collect()) == [1, 2, 4]

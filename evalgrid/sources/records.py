@@ -356,7 +356,8 @@ def records_from_columns(texts: DataFrame, schema: T.StructType, skip_corrupt: b
         F.max(F.when(F.col("field") == name, F.col("cell"))).alias(name) for name in names
     ]
     position = F.min("position").cast("bigint").alias(ROW)
-    wide = cells.groupBy(PATH, "label").agg(*figures, position)
+    # labels differ where paths begin alike, so they are compared first
+    wide = cells.groupBy("label", PATH).agg(*figures, position)
 
     def typed(field: T.StructField):
         c = F.col(field.name)

@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -1368,11 +1369,15 @@ def _grown(folder: str, whole: bool):
         first = next(batches, None)
         if first is None or first.empty:
             return
-        path = f"{folder}/{D.PROMPTING}___{first['modelname'][0]}{K.RESULTS_ENDING}"
+        path = f"{folder}/{TaskContext.get().partitionId():05d}/{D.PROMPTING}___{first['modelname'][0]}{K.RESULTS_ENDING}"
         system, inside = pieces.file_system(path)
         system.create_dir(inside.rpartition("/")[0])
         with system.open_output_stream(inside) as raw:
             text = "".join(f"{x}\n" for x in first["value"])
+# Orders whose lines are in one of the files that grow.
+_GROWING_ORDERS = 200_000
+
+
             raw.write(text.encode() if whole else text[:-5].encode())
             for batch in batches if whole else ():
                 raw.write("".join(f"{x}\n" for x in batch["value"]).encode())
@@ -1394,7 +1399,7 @@ def growing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.results(spark, sf_dir).select("Key", "modelname", line)
     for whole in (False, True):
         for model in D.MODELS:
-            mine = rows.where(F.col("modelname") == model).coalesce(1).sortWithinPartitions("Key")
+            mine = rows.where(F.col("modelname") == model).repartition(n_files, "Key").sortWithinPartitions("Key", "value")
             mine.mapInPandas(_grown(f"{root}/results", whole), "path string").collect()
         growing.ingest_growing_results(spark, trials, f"{root}/results", f"{root}/table", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("modelname").agg(
@@ -1404,6 +1409,8 @@ def growing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- profiles, comparison, order -------------------------------------------------------------
+    # a key's hash picks its file, so that a file grows by the lines it had and more
+    n_files = D.n_tasks(spark, sf_dir, _GROWING_ORDERS)
 
 
 def _profile_sql() -> str:

@@ -28,18 +28,33 @@ def _pick(values, i: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (i + 1).cast("int"))
 
 
+#: Orders whose rows one task writes to files where these are slow to make.
+ORDERS_A_TASK = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n_tasks(spark: SparkSession, sf_dir: str, orders: int = ORDERS_A_TASK) -> int:
+    """Tasks for all orders, so many to a task."""
+    return -(-table(spark, sf_dir, "orders").count() // orders) or 1
+
+
+def spread_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' keys dealt out to as many tasks as what becomes of them calls for; a scan has few, as a key takes few bytes."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(n_tasks(spark, sf_dir))
+
+
+def trials(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """The trials of the table's orders, or of the ``orders`` given."""
     o, kind = F.col("o_orderkey"), F.col("o_orderkey") % 6
     accepted = F.element_at(
         F.array(*(F.array(*(F.lit(a) for a in answers)) for answers in ANSWERS)),
         (F.floor(kind / 2) + 1).cast("int"),
     )
     steps = {n: F.expr(f"o_orderkey div {n}") for n in (6, 18, 54, 108)}
-    tuples = table(spark, sf_dir, "orders").select(
+    tuples = (table(spark, sf_dir, "orders") if orders is None else orders).select(
         o.alias("tuple_ID"),
         accepted.alias("expectedresp"),
         _pick(PROBLEMS, kind).alias("problemname"),
@@ -65,7 +80,7 @@ def older_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials(spark, sf_dir).withColumn("problemname", _pick(OLDER_PROBLEMS, F.col("tuple_ID") % 6))
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """``Key, resp, modelname, prompting, expectedresp`` of all models."""
     key, m = F.col("Key"), F.col("m")
     r = ((((key % 10007) * 7919 + m * 104729) % 9973) % 100).alias("r")
@@ -79,7 +94,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     left_out = ((m == 1) & (key % 97 == 0)) | ((m == 2) & (F.col("tuple_ID") % 5 == 0))
     return (
-        trials(spark, sf_dir)
+        trials(spark, sf_dir, orders)
         .select("Key", "tuple_ID", "expectedresp")
         .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(MODELS) - 1))))
         .where(~left_out)
@@ -94,5 +109,5 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers(spark, sf_dir).drop("expectedresp")
+def results(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    return answers(spark, sf_dir, orders).drop("expectedresp")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalgrid.operators.assemble import pending_trials, require_valid_responses
+from evalgrid.operators.assemble import merged, pending_trials, require_valid_responses
 from evalgrid.sources.records import path_exists
 from evalgrid.sources.results import load_results_as_dataframe, results_path, write_results
 from evalgrid.sources.trials import load_testset
@@ -31,5 +31,5 @@ def answer_testset(
         # a record that an earlier run left cut off is a trial without response
         trials = pending_trials(trials, load_results_as_dataframe(spark, path, skip_corrupt=True))
     trials = trials if reached is None else reached(trials)
-    checked = require_valid_responses(answer(trials).join(trials.select("Key", "expectedresp"), "Key"))
+    checked = require_valid_responses(answer(trials).join(merged(trials.select("Key", "expectedresp")), "Key"))
     return write_results(checked, folder, prompting, modelname, mode="append")

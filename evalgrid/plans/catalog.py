@@ -660,17 +660,22 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------
 
 
+def _in_order(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Trials in the order of their keys, in parts as large as those of ``D.spread_orders``."""
+    return rows.repartitionByRange(D.n_tasks(spark, sf_dir), "Key").sortWithinPartitions("Key")
+
+
 def _stored_trials(spark: SparkSession, sf_dir: str, extension: str, codec: str, sort: bool = False) -> str:
     """Write the trials as a test set keeps them; returns the trials file."""
-    rows = eg.obfuscate_goldresp(D.trials(spark, sf_dir))
+    rows = eg.obfuscate_goldresp(D.trials(spark, sf_dir, None if sort else D.spread_orders(spark, sf_dir)))
     path = f"{scratch_path(spark, 'testset')}/trials.{extension}"
-    rows = rows.orderBy("Key") if sort else rows
+    rows = _in_order(spark, sf_dir, rows) if sort else rows
     rows.write.option("compression", codec).json(path)
     return path
 
 
 def _stored_results(spark: SparkSession, sf_dir: str, directory: str) -> None:
-    rows = D.results(spark, sf_dir)
+    rows = D.results(spark, sf_dir, D.spread_orders(spark, sf_dir))
     for model in D.MODELS:
         mine = rows.where(F.col("modelname") == model)
         eg.write_results(mine, directory, D.PROMPTING, model)
@@ -904,7 +909,7 @@ def row_index_from_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers and the types of other fields from the directory of splits that an earlier load has stored."""
     rows = eg.obfuscate_goldresp(D.trials(spark, sf_dir))
     note = F.concat(F.lit("note "), F.col("Key").cast("string"))
-    rows = rows.withColumns({"note": note, "half": (F.col("Key") % 7) / 2}).orderBy("Key")
+    rows = _in_order(spark, sf_dir, rows.withColumns({"note": note, "half": (F.col("Key") % 7) / 2}))
     path = f"{scratch_path(spark, 'testset')}/{K.TESTSET_FILE}"
     rows.write.option("compression", "bzip2").json(path)
     eg.load_testset(spark, path.rpartition("/")[0])
@@ -912,11 +917,15 @@ def row_index_from_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("Key", "goldresp", "EXPNAME", "EXP_i", "note", "half")
 
 
+# Rows of a document; each is a folder with a file, which takes longer to make and find than some MB do to read.
+_DOCUMENT_ROWS = 10_000
+
+
 def _documents(spark: SparkSession, sf_dir: str, ending: str, codec: str, columns: bool = False) -> str:
     """Trials in JSON documents, one for every batch of rows; returns their folder's pattern."""
     names = ["Key", "text", "goldresp", "problemsize", "expectedresp"]
-    rows = D.trials(spark, sf_dir).select(*names)
-    pieces = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.expr("place div 300"))
+    rows = D.trials(spark, sf_dir, D.spread_orders(spark, sf_dir)).select(*names)
+    pieces = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.expr(f"place div {_DOCUMENT_ROWS}"))
     gathered = F.collect_list(F.struct(F.col("place").alias("i"), F.struct(*names).alias("r")))
     pieces = pieces.groupBy("block").agg(gathered.alias("rows"))
 
@@ -1177,20 +1186,23 @@ def responses_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two experiments answered by position, the second one only in part."""
     root = scratch_path(spark, "experiments")
     trials = D.trials(spark, sf_dir)
-    stored = eg.obfuscate_goldresp(trials).orderBy("Key")
+    stored = _in_order(spark, sf_dir, eg.obfuscate_goldresp(trials))
     half = D.table(spark, sf_dir, "orders").agg(F.expr("count(*) div 2")).scalar()
     answers = D.results(spark, sf_dir)
+    # one join for all models, whose files are then written from its rows
     for name, ending in (("one", ".jsonl"), ("two", ".jsonl.partial")):
         stored.write.json(f"{root}/{name}/trials.jsonl")
         rows = eg.load_trials_as_dataframe(spark, f"{root}/{name}/trials.jsonl", extra=NO_EXTRA)
         if name == "two":
             rows = eg.first_rows(rows, half, "tuple_ID")
         confidence = F.when(F.col("Key") % 2 == 0, F.lit(0.5)).alias("confidence")
+        joined = eg.assemble_trials_and_results_df(rows.select("Key", "EXP_i", "text"), answers)
+        answered = materialise(joined.select(
+            "modelname", F.col("EXP_i").alias("row_i"), F.col("text").alias("text2"), "resp", confidence
+        ), "answered")
         for model in D.MODELS:
-            mine = answers.where(F.col("modelname") == model).select("Key", "resp")
-            rows.join(mine, "Key").select(
-                F.col("EXP_i").alias("row_i"), F.col("text").alias("text2"), "resp", confidence
-            ).write.json(f"{root}/{name}/results/{model}{K.LEGACY_ENDING}{ending}")
+            mine = answered.where(F.col("modelname") == model).drop("modelname")
+            mine.write.json(f"{root}/{name}/results/{model}{K.LEGACY_ENDING}{ending}")
     both = eg.load_all_results(spark, [root], include_partials=True)
     right = F.count_if(F.col("resp") == F.col("goldresp"))
     return both.groupBy("EXPNAME", "modelname").agg(
@@ -1362,8 +1374,12 @@ def incremental_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Orders whose lines are in one of the files that grow.
+_GROWING_ORDERS = 200_000
+
+
 def _grown(folder: str, whole: bool):
-    """For ``mapInPandas``: a task writes the lines of one model to its file; if not ``whole``, the first batch less a few letters."""
+    """For ``mapInPandas``: a task writes lines of one model to a file in its own folder; if not ``whole``, the first batch less a few letters."""
 
     def write(batches):
         first = next(batches, None)
@@ -1374,10 +1390,6 @@ def _grown(folder: str, whole: bool):
         system.create_dir(inside.rpartition("/")[0])
         with system.open_output_stream(inside) as raw:
             text = "".join(f"{x}\n" for x in first["value"])
-# Orders whose lines are in one of the files that grow.
-_GROWING_ORDERS = 200_000
-
-
             raw.write(text.encode() if whole else text[:-5].encode())
             for batch in batches if whole else ():
                 raw.write("".join(f"{x}\n" for x in batch["value"]).encode())
@@ -1397,6 +1409,8 @@ def growing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "growing")
     trials, line = D.trials(spark, sf_dir), F.to_json(F.struct("Key", "resp")).alias("value")
     rows = D.results(spark, sf_dir).select("Key", "modelname", line)
+    # a key's hash picks its file, so that a file grows by the lines it had and more
+    n_files = D.n_tasks(spark, sf_dir, _GROWING_ORDERS)
     for whole in (False, True):
         for model in D.MODELS:
             mine = rows.where(F.col("modelname") == model).repartition(n_files, "Key").sortWithinPartitions("Key", "value")
@@ -1409,8 +1423,6 @@ def growing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- profiles, comparison, order -------------------------------------------------------------
-    # a key's hash picks its file, so that a file grows by the lines it had and more
-    n_files = D.n_tasks(spark, sf_dir, _GROWING_ORDERS)
 
 
 def _profile_sql() -> str:
@@ -1574,7 +1586,7 @@ def tuple_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_without_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's accuracy table for a test set whose trials have no sizes."""
     folder = scratch_path(spark, "testset")
-    trials = eg.obfuscate_goldresp(D.trials(spark, sf_dir)).drop("problemsize")
+    trials = eg.obfuscate_goldresp(D.trials(spark, sf_dir, D.spread_orders(spark, sf_dir))).drop("problemsize")
     trials.write.option("compression", "bzip2").json(f"{folder}/{K.TESTSET_FILE}")
     _stored_results(spark, sf_dir, f"{folder}/results")
     return eg.analyse_results_in_testset_dir(spark, folder).accuracy

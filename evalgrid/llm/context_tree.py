@@ -3,9 +3,11 @@
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ _END = 10  # the byte after each text, and before it as context
 _BLOCK = 4 << 20
 #: distinct n-grams that a task holds before it gives them on
 _HELD_GRAMS = 4_000_000
+#: distinct words that a task holds before it gives them on, those of training texts and others apart
+_HELD_WORDS = 100_000
 #: n-grams of whole subtrees that a task weighs at once
 _CHUNK = 150_000
 _MEMO = 1 << 20
@@ -49,12 +53,11 @@ def _padded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """
     pad = bytes([_END]) * DEPTH
     coded = [b" ".join(words) + bytes([_END]) for words in texts]
-    data = np.frombuffer(b"".join(x for text in coded for x in (pad, text)), np.uint8).astype(np.uint64)
+    # eight bytes from each place on, the highest first, are a number whose lower bytes are the n-gram
+    data = bytes(7 - DEPTH) + b"".join(x for text in coded for x in (pad, text))
     lengths = np.array([len(x) for x in coded])
-    n = len(data) - DEPTH
-    gram = data[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        gram |= data[DEPTH - k:DEPTH - k + n] << np.uint64(8 * k)
+    n = len(data) - 7
+    gram = np.ndarray(n, ">u8", data, strides=(1,)).astype(np.uint64) & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
     # between two texts stand DEPTH bytes that are context only
     own = np.ones(n, bool)
     starts = np.concatenate([[0], np.cumsum(lengths[:-1] + DEPTH)])
@@ -66,12 +69,14 @@ def _padded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams and the sums of their two counts."""
     grams, n, n_train = (np.concatenate(x) for x in zip(*held, strict=True))
-    grams, place = np.unique(grams, return_inverse=True)
-    return grams, *(np.bincount(place, x, len(grams)).astype(np.int64) for x in (n, n_train))
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(n[order], first), np.add.reduceat(n_train[order], first)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, word, n, n_train): words and their counts by blocks, n-grams by tasks."""
+    """Rows (gram, word, n, n_train): words and n-grams with their counts in the task, or in parts of it if these are many."""
 
     def rows(grams, words, n, n_train):
         cells = [
@@ -87,27 +92,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(at, at + 100_000)
             yield rows(grams[part].astype(np.int64), None, n[part], n_train[part])
 
+    def word_rows(learnt, unlearnt):
+        keys = [*learnt, *(k for k in unlearnt if k not in learnt)]
+        n_train = np.zeros(len(keys), np.int64)
+        n_train[:len(learnt)] = list(learnt.values())
+        yield rows(None, keys, n_train + np.fromiter(map(unlearnt.get, keys, repeat(0)), np.int64, len(keys)), n_train)
+
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    learnt, unlearnt = Counter(), Counter()
     for batch in batches:
         texts, training = batch.column("text"), batch.column("training").to_pylist()
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         row = 0
         while row < len(training):
-            size, everywhere, learnt, trained, others = 0, Counter(), Counter(), [], []
+            size, trained, others = 0, [], []
             while row < len(training) and size < _BLOCK:
                 words = words_of(texts[row].as_py() or "")
-                size += 8 + sum(map(len, words)) + len(words)
+                size += 8 + sizes[row]
+                counts, part = (learnt, trained) if training[row] else (unlearnt, others)
                 # the empty word stands for the end
-                everywhere.update(words)
-                everywhere[b""] += 1
-                if training[row]:
-                    learnt.update(words)
-                    learnt[b""] += 1
-                    trained.append(words)
-                else:
-                    others.append(words)
+                counts.update(words)
+                counts[b""] += 1
+                part.append(words)
                 row += 1
-            keys = list(everywhere)
-            yield rows(None, keys, [everywhere[k] for k in keys], [learnt[k] for k in keys])
+            if len(learnt) + len(unlearnt) > _HELD_WORDS:
+                yield from word_rows(learnt, unlearnt)
+                learnt, unlearnt = Counter(), Counter()
             for part, teaches in ((trained, 1), (others, 0)):
                 if part:
                     grams, n = np.unique(_padded(part)[0], return_counts=True)
@@ -119,6 +129,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
     if held:
         yield from gram_rows(held)
+    if learnt or unlearnt:
+        yield from word_rows(learnt, unlearnt)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -212,10 +224,14 @@ class Model:
         return _remembered(gram, memo, self._of)
 
 
+def _slots(gram: np.ndarray) -> np.ndarray:
+    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def _remembered(gram: np.ndarray, memo: tuple[np.ndarray, np.ndarray], look_up: Callable) -> np.ndarray:
     """Values of n-grams from the memo, or from ``look_up``, which gets each n-gram once."""
     keys, values = memo
-    slot = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    slot = _slots(gram)
     out = values[slot].astype(np.float64)
     miss = np.flatnonzero(keys[slot] != gram)
     if len(miss):
@@ -223,9 +239,10 @@ def _remembered(gram: np.ndarray, memo: tuple[np.ndarray, np.ndarray], look_up:
         found = look_up(wanted)
         out[miss] = found[place]
         # keys and values of a slot that is written twice must be of the same n-gram
-        slots, last = np.unique(slot[miss], return_index=True)
-        keys[slots] = gram[miss][last]
-        values[slots] = out[miss][last]
+        slots = _slots(wanted)
+        keys[slots] = wanted
+        kept = keys[slots] == wanted
+        values[slots[kept]] = found[kept]
     return out
 
 
@@ -523,7 +540,9 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_grams, logs, frequent_words, found = shared.value
-        known = dict(zip(frequent_words, zip(np.log10(found + 0.5).tolist(), (found > 0).tolist(), strict=True), strict=True))
+        # a word that is not frequent has the place behind them
+        known, rest = {w: i for i, w in enumerate(frequent_words)}, len(frequent_words)
+        known_logs, known_hits = np.append(np.log10(found + 0.5), 0), np.append(found > 0, False)
         memo = _fresh_memo()
 
         def look_up(gram):
@@ -549,28 +568,27 @@ def score_texts(
                 text = np.searchsorted(starts, rare, "right") - 1
                 cell, times = np.unique(text * max(1, len(grams)) + at, return_counts=True)
                 gram_row, gram_key = cell // max(1, len(grams)) + number, _gram_keys(grams[cell % max(1, len(grams))])
-                rare_row, rare_word, n_known, base = [], [], [], []
-                for i, words in enumerate(part):
-                    got = list(map(known.get, words))
-                    got.append(known.get(b""))
-                    if None in got:
-                        missing = [w for w, g in zip([*words, b""], got, strict=True) if g is None]
-                        rare_word += missing
-                        rare_row += [number + i] * len(missing)
-                        got = [g for g in got if g is not None]
-                    base.append(sum(g[0] for g in got))
-                    n_known.append(sum(g[1] for g in got))
+                for words in part:
+                    words.append(b"")
+                n_words = np.array([len(words) for words in part])
+                tokens = list(chain.from_iterable(part))
+                place = np.fromiter(map(known.get, tokens, repeat(rest)), np.int64, len(tokens))
+                begin = np.cumsum(n_words) - n_words
+                base, n_known = np.add.reduceat(known_logs[place], begin), np.add.reduceat(known_hits[place].astype(np.int64), begin)
+                missing = np.flatnonzero(place == rest)
+                rare_word = [tokens[i] for i in missing.tolist()]
+                rare_row = np.searchsorted(begin, missing, "right") - 1 + number
                 # a text's own row has a word that no text has, so that these rows spread
                 own = [b"\n%d" % (number + i) for i in range(len(part))]
                 size, extra = len(part), len(rare_row) + len(cell)
                 cells = [
-                    pa.concat_arrays([pa.array([*range(number, number + size), *rare_row], pa.int64()), pa.array(gram_row)]),
+                    pa.array(np.concatenate([np.arange(number, number + size), rare_row, gram_row]), pa.int64()),
                     pa.concat_arrays([pa.array([*own, *rare_word], pa.binary()), gram_key]),
                     pa.concat_arrays([batch.column("doc_id")[row:row + size], pa.nulls(extra, batch.column("doc_id").type)]),
                     pa.concat_arrays([batch.column("training")[row:row + size], pa.nulls(extra, pa.bool_())]),
                 ]
                 for values, kind in (
-                    ([len(w) + 1 for w in part], pa.int64()), (n_known, pa.int64()), (base, pa.float64()),
+                    (n_words, pa.int64()), (n_known, pa.int64()), (base, pa.float64()),
                     (scores, pa.float64()), (lengths, pa.int64()),
                 ):
                     cells.append(pa.concat_arrays([pa.array(values, kind), pa.nulls(extra, kind)]))

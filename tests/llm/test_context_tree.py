@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from evalgrid.llm import context_tree as T
 
@@ -176,3 +177,14 @@ def test_every_context_seen_twice_is_a_node_at_any_size(spark):
     each = dict(zip(gram.tolist(), model.score(gram, model.fresh_memo()).tolist(), strict=True))
     for found in logs:
         assert all(math.isclose(found[g], each[g], rel_tol=1e-4, abs_tol=1e-6) for g in each)
+
+
+def test_a_task_gives_each_word_once():
+    texts = [("a b a", True), ("b c", False), (None, True), ("c a", True)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array([t], pa.string()), "training": [x]}) for t, x in texts]
+    rows = [r for batch in T._count(iter(batches)) for r in batch.to_pylist()]
+    words = [(r["word"], r["n"], r["n_train"]) for r in rows if r["word"] is not None]
+    assert sorted(words) == [(b"", 4, 3), (b"a", 3, 3), (b"b", 2, 1), (b"c", 2, 1)]
+    grams = [r["gram"] for r in rows if r["gram"] is not None]
+    assert len(grams) == len(set(grams))
+    assert sum(r["n"] for r in rows if r["gram"] is not None) == sum(len(t or "") + 1 for t, _ in texts)

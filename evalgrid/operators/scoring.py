@@ -1,6 +1,6 @@
 """From answered trials to one accuracy and bias row per tuple."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,9 +179,9 @@ def compute_acc_table(
 
     Rows of one tuple may in principle accept different numbers of answers, so rows
     are first reduced per number of answers, and a second, smaller exchange finds the
-    size of the whole tuple. ``uniform_lengths`` saves that exchange where the caller
-    knows the number to be constant in a tuple; a tuple that breaks this, and whose
-    result would depend on it, is an error.
+    size of the whole tuple. ``uniform_lengths`` saves the window over the tuple where the
+    caller knows the number to be constant in it, and the exchange if nothing is carried;
+    a tuple that breaks this, and whose result would depend on it, is an error.
 
     In place of ``expectedresp`` its size ``expectedresp_len`` will do.
     """
@@ -200,8 +200,8 @@ def compute_acc_table(
     places = [c for c in _PLACES if c in df.columns]
     plain = all(isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType)) for c in places)
     kinds = [df.schema[c].dataType for c in carried if c in df.columns]
-    if carried and not uniform_lengths and places and plain and all(map(_groupable, kinds)):
-        kept = _reduce_in_steps(rows, keys, carried, places, filter_incomplete_tuples)
+    if carried and places and plain and all(map(_groupable, kinds)):
+        kept = _reduce_in_steps(rows, keys, carried, places, filter_incomplete_tuples, uniform_lengths)
         return kept.select(*keys, *carried, *sizes, "acc", "bias")
 
     figures = [c.alias(n) for n, c in _weighted_means(["acc", "bias"], "acc_weight").items()]
@@ -221,47 +221,102 @@ def compute_acc_table(
     return kept.select(*keys, *firsts, *sizes, "acc", "bias")
 
 
+def _packable(kind: T.DataType) -> bool:
+    """Whether values of this type are the same again after a way through text, and equal if their texts are."""
+    return kind == T.StringType() or isinstance(kind, (T.IntegralType, T.BooleanType))
+
+
+# What stands between packed fields, and what stands for it, for itself and for NULL inside them.
+_BETWEEN, _MARK = "\u0000", "\u0001"
+
+
+def _packed(names: Sequence[str], kinds: Mapping[str, T.DataType]) -> Column:
+    """The fields as one text."""
+    def text(name):
+        c = L.named(name)
+        if kinds[name] != T.StringType():
+            return c.cast("string")
+        return F.replace(F.replace(c, F.lit(_MARK), F.lit(f"{_MARK}b")), F.lit(_BETWEEN), F.lit(f"{_MARK}a"))
+
+    return F.concat_ws(_BETWEEN, *(F.coalesce(text(c), F.lit(f"{_MARK}n")) for c in names))
+
+
+def _unpacked(packed: Column, names: Sequence[str], kinds: Mapping[str, T.DataType]) -> dict[str, Column]:
+    """The fields out of their text."""
+    def field(i, name):
+        x = F.nullif(F.substring_index(F.substring_index(packed, _BETWEEN, i + 1), _BETWEEN, -1), F.lit(f"{_MARK}n"))
+        if kinds[name] != T.StringType():
+            return x.cast(kinds[name])
+        return F.replace(F.replace(x, F.lit(f"{_MARK}a"), F.lit(_BETWEEN)), F.lit(f"{_MARK}b"), F.lit(_MARK))
+
+    return {c: field(i, c) for i, c in enumerate(names)}
+
+
 def _reduce_in_steps(
-    rows: DataFrame, keys: Sequence[str], carried: Sequence[str], places: Sequence[str], complete_only: bool
+    rows: DataFrame, keys: Sequence[str], carried: Sequence[str], places: Sequence[str], complete_only: bool, uniform: bool
 ) -> DataFrame:
     """Tuples out of rows, with nothing in the first step that a hash aggregate cannot keep.
 
     Rows of a tuple mostly agree in what is carried, so that is part of the first step's
     key; its few rows per tuple are then put together, the first row's fields by its place.
+    Texts and numbers that are carried cross the exchanges as one text, which is much shorter there
+    than columns of their own.
     """
     length = "expectedresp_len"
     fixed = [c for c in carried if c not in places]
     file = [c for c in ("prompting",) if c in rows.columns and c not in (*fixed, *keys)]
     weight = F.col("acc_weight").cast("double")
+    kinds = {c: rows.schema[c].dataType for c in fixed}
+    packed = [c for c in fixed if _packable(kinds[c])]
+    if len(packed) > 1:
+        fixed = [*(c for c in fixed if c not in packed), "__packed"]
+        rows = rows.withColumn("__packed", _packed(packed, kinds))
+    else:
+        packed = []
     part = rows.groupBy(*keys, length, *fixed, *file).agg(
         F.count(F.lit(1)).alias("tuplelen"), F.sum(weight).alias("__weights"),
         *(F.sum(F.col(f) * F.col("acc_weight")).alias(f"__{f}") for f in ("acc", "bias")),
         F.when(~F.bool_or(_place(places).isNull()), F.min(_place(places))).alias("__place"),
     )
-    if complete_only:
+    if complete_only and uniform:
+        part = part.repartition(*keys)  # or rows would be sorted on both sides of the exchange
+    elif complete_only:
         whole = F.sum("tuplelen").over(Window.partitionBy(*keys))
         part = part.withColumn("tuplelen", whole).where(F.col("tuplelen") == F.col(length))
+    if "prompting" in packed:
+        part = part.withColumn("prompting", _unpacked(F.col("__packed"), packed, kinds)["prompting"])
     prompting = [c for c in ("prompting",) if c in part.columns]
     order = F.struct(*prompting, "__place")  # a NULL place is the first
     first = F.min_by(F.struct(*map(L.named, fixed), "__place"), order)
     weights = F.sum("__weights")
+    size = (F.sum if uniform else F.max)("tuplelen").alias("tuplelen")
     kept = part.groupBy(*keys).agg(
-        first.alias("__first"), F.max("tuplelen").alias("tuplelen"), F.max(length).alias(length),
+        first.alias("__first"), size, F.min(length).alias(length), F.max(length).alias("__longest"),
         *(ratio(total(F.col(f"__{f}")), weights).alias(f) for f in ("acc", "bias")),
     )
+    if complete_only and uniform:
+        kept = _uniform(kept, keys)
     found = _from_place(F.col("__first")["__place"], places)
-    fields = {c: F.col("__first")[c] for c in fixed} | {c: found[c] for c in carried if c in places}
+    fields = {c: F.col("__first")[c] for c in fixed if c != "__packed"} | {c: found[c] for c in carried if c in places}
+    if packed:
+        fields |= _unpacked(F.col("__first")["__packed"], packed, kinds)
+    fields = {c: fields[c] for c in carried}
     return kept.select(*keys, *(x.alias(c) for c, x in fields.items()), "tuplelen", length, "acc", "bias")
 
 
 def _keep_uniform(rows: DataFrame, keys: Sequence[str], figures: Sequence[Column]) -> DataFrame:
     """Complete tuples, on the understanding that each has one number of answers."""
-    size, shortest, longest = F.col("tuplelen"), F.col("expectedresp_len"), F.col("__longest")
     reduced = rows.groupBy(*keys).agg(
         *figures,
         F.min("expectedresp_len").alias("expectedresp_len"),
         F.max("expectedresp_len").alias("__longest"),
     )
+    return _uniform(reduced, keys)
+
+
+def _uniform(reduced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Those of reduced tuples that are complete; one for which this depends on the row is an error."""
+    size, shortest, longest = F.col("tuplelen"), F.col("expectedresp_len"), F.col("__longest")
     message = F.concat(
         F.lit("tuple with mixed numbers of accepted answers: "), F.to_json(F.struct(*keys))
     )

@@ -52,8 +52,14 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eg.assemble_trials_and_results_df(D.trials(spark, sf_dir), D.results(spark, sf_dir))
 
 
+def assembled_with_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``assembled`` with the number of accepted answers in place of these: scoring needs no more of them."""
+    sized = D.trials(spark, sf_dir).withColumn("expectedresp_len", F.array_size("expectedresp")).drop("expectedresp")
+    return eg.assemble_trials_and_results_df(sized, D.results(spark, sf_dir))
+
+
 def acc_table(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
-    return eg.compute_acc_table(assembled(spark, sf_dir), carry=carry)
+    return eg.compute_acc_table(assembled_with_sizes(spark, sf_dir), carry=carry)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -323,12 +329,12 @@ _ACC_ROWS = O.query(f"SELECT {', '.join(_ACC_COLUMNS)} FROM acc")
 
 @registered(_ACC_ROWS)
 def acc_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eg.compute_acc_table(assembled(spark, sf_dir)).select(*_ACC_COLUMNS)
+    return eg.compute_acc_table(assembled_with_sizes(spark, sf_dir)).select(*_ACC_COLUMNS)
 
 
 @registered(_ACC_ROWS)
 def acc_table_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = eg.compute_acc_table(assembled(spark, sf_dir), uniform_lengths=True)
+    scores = eg.compute_acc_table(assembled_with_sizes(spark, sf_dir), uniform_lengths=True)
     return scores.select(*_ACC_COLUMNS)
 
 

@@ -250,3 +250,29 @@ def test_missing_value_weighs_but_adds_nothing(spark):
     )
     rows = {r.g: r.x for r in weighted_means_by_group(df, ["g"], ["x"], "w").collect()}
     assert rows == {"g": 0.25, "h": None}
+
+
+def test_carried_texts_and_numbers_come_back_as_they_were(spark):
+    odd = ["", None, "\x00", "\x01", "\x01n", "\x01\x00b", "a\x00\x01a", "\x00\x01", "Ä,\"x\"", " "]
+    rows = [
+        (2 * i + k, "m", "basic", i, TF, gold, gold, a, b, n)
+        for i, (a, b, n) in enumerate((a, b, n) for a in odd for b in odd for n in (None, -7))
+        for k, gold in enumerate(TF)
+    ]
+    schema = SCHEMA.replace("problemname string, text string", "problemname string, skin string, size int")
+    df = spark.createDataFrame(rows, schema)
+    for uniform in (False, True):
+        found = compute_acc_table(df, uniform_lengths=uniform)
+        assert found.schema["size"].dataType == T.IntegerType()
+        found = {r.tuple_ID: (r.Key, r.problemname, r.skin, r.size, r.expectedresp, r.acc) for r in found.collect()}
+        assert found == {r[3]: (r[0], *r[7:], TF, 1.0) for r in rows[::2]}
+
+
+def test_what_is_carried_crosses_exchanges_as_one_column_and_hashed(spark, small_partitions):
+    df = random_rows(spark).withColumns({"skin": F.lit("s"), "size": F.lit(3)})
+    for uniform in (False, True):
+        scores = compute_acc_table(df, carry=["Key", "problemname", "skin", "size"], uniform_lengths=uniform)
+        text = scores._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in text.splitlines() if "hashpartitioning" in line and "__packed" in line]
+        assert dealt and not any("skin" in line or "size" in line.replace("tuplelen", "") for line in dealt)
+        assert "HashAggregate" in text[text.index(dealt[0]):] and "SortAggregate" not in text[text.index(dealt[0]):]

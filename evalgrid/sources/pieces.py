@@ -2,8 +2,8 @@
 
 A zip archive's own directory becomes a table with a row for each member, which Spark deals out to
 tasks; each reads its members where they lie in the file. A JSON document that is a list of records
-is streamed by one task and cut into records. Tasks reach the files through Arrow's file systems;
-for a file system that only Spark reads, see ``reaches``.
+is streamed by one task and cut into records, an object of columns into parts of its columns. Tasks
+reach the files through Arrow's file systems; for a file system that only Spark reads, see ``reaches``.
 """
 
 import io
@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 _BATCH_CHARS = 8_000_000
 _BATCH_ROWS = 20_000
 _CHUNK = 1 << 20
+# Characters from which a part of a column is closed.
+_PART_CHARS = 1 << 16
 # Unpacked bytes that a task reads of archives.
 _TASK = 1 << 27
 
@@ -206,29 +208,132 @@ class RecordSplitter:
         else:
             self.held.append(piece[start:])
 
-    def left(self) -> str:
-        """What an unfinished list ends in."""
-        return "".join(self.held).strip()
+
+class ColumnSplitter:
+    """Cuts the text of an object of columns, given in pieces, into objects that hold a part of one column each.
+
+    ``feed`` gives them with the place of their first cell in the column. Strings in either quotes, their
+    escapes and the depth of brackets are followed. The parts hold the whole text up to the end of the object, so what is
+    malformed in it is malformed in a part; ``odd`` tells what shows in none, as an empty place beside a comma or a
+    column that is a list, and ``ended`` whether the object was closed. No more than one part, or one longer cell, is held.
+    """
+
+    _SIGNS = re.compile(r"""["'\[\]{},]""")
+    _IN_STRING = {'"': re.compile(r'["\\]'), "'": re.compile(r"['\\]")}
+    _BLANK = " \t\r\n"
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.depth, self.quote, self.escaped = 0, "", False
+        self.held: list[str] = []
+        self.chars = 0
+        # the text up to a column's first cell, the place of the next cell and of the first one held
+        self.head, self.cell, self.first = "", 0, 0
+        # whether the column that the text follows is closed, and whether there was a comma between columns
+        self.closed = self.several = False
+        self.begun = self.ended = self.odd = False
+
+    def _taken(self, last: str) -> str:
+        self.held.append(last)
+        text = "".join(self.held)
+        self.held, self.chars = [], 0
+        return text
+
+    def _part(self, last: str, at_end: bool) -> Iterator[tuple[int, str]]:
+        cells = self._taken(last)
+        self.odd = not cells.strip(self._BLANK) and not (at_end and self.cell == 0)
+        yield self.first, f"{{{self.head}{cells}}}}}"
+        self.first = self.cell
+
+    def _between(self, last: str, at_end: bool) -> Iterator[tuple[int, str]]:
+        """What stands at a comma between columns, or before the end, and is no part of a column."""
+        text = self._taken(last)
+        blank = not text.strip(self._BLANK)
+        if self.closed:
+            self.odd = not blank
+        elif blank:
+            self.odd = self.several or not at_end
+        else:
+            yield 0, f"{{{text}}}"
+        self.closed, self.several = False, True
+
+    def feed(self, piece: str) -> Iterator[tuple[int, str]]:
+        at, start = 0, 0
+        if not self.begun:
+            text = piece.lstrip(" ")
+            if not text:
+                return
+            self.begun, self.odd = True, text[0] != "{"
+            at = start = len(piece) - len(text) + 1
+            self.depth = 1
+        while not self.odd and not self.ended:
+            if self.escaped:
+                if at >= len(piece):
+                    break
+                self.escaped, at = False, at + 1
+            found = (self._IN_STRING[self.quote] if self.quote else self._SIGNS).search(piece, at)
+            if not found:
+                break
+            sign, at = found.group(), found.end()
+            if sign == "\\":
+                self.escaped = True
+            elif sign in "\"'":
+                self.quote = "" if self.quote else sign
+            elif sign in "[{":
+                self.depth += 1
+                if self.depth == 2:
+                    self.odd = self.closed or sign == "["
+                    self.head, self.cell, self.first = self._taken(piece[start:at]), 0, 0
+                    start = at
+            elif sign == ",":
+                if self.depth == 1:
+                    yield from self._between(piece[start:at - 1], at_end=False)
+                    start = at
+                elif self.depth == 2:
+                    if self.chars + at - start > self.most:
+                        self.cell += 1
+                        yield from self._part(piece[start:at - 1], at_end=False)
+                        start = at
+                    else:
+                        self.cell += 1
+            else:
+                self.depth -= 1
+                if self.depth < 2:
+                    self.odd = sign == "]"
+                    if self.odd:
+                        break
+                    if self.depth:
+                        yield from self._part(piece[start:at - 1], at_end=True)
+                        self.closed = True
+                    else:
+                        yield from self._between(piece[start:at - 1], at_end=True)
+                        self.ended = True
+                    start = at
+        if not self.ended:
+            self.held.append(piece[start:])
+            self.chars += len(piece) - start
+
+
+def _streamed(path: str) -> NativeFile:
+    """The bytes of a document, plain, gzip or bzip2."""
+    raw = BufferedInputStream(_opened(path), _CHUNK)
+    kind = {".gz": "gzip", ".bz2": "bz2"}.get(path[path.rfind("."):])
+    return CompressedInputStream(raw, kind) if kind else raw
 
 
 def list_records(files: DataFrame) -> DataFrame:
     """``__path, __row, value, __whole``: the records of documents that are lists, as texts, by their position.
 
     One task streams a document, plain, gzip or bzip2, of any length. ``__whole`` is false for a last row that
-    stands for the end of a document that breaks off, or for one that is no list; its text is what is left.
+    stands for the end of a document that breaks off, or for one that is no list; its text is empty.
     """
 
-    def stream(path: str) -> NativeFile:
-        raw = BufferedInputStream(_opened(path), _CHUNK)
-        kind = {".gz": "gzip", ".bz2": "bz2"}.get(path[path.rfind("."):])
-        return CompressedInputStream(raw, kind) if kind else raw
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _Batches([PATH, ROW, WHOLE, "value"])
         for batch in batches:
             for path in batch["path"]:
                 splitter, row = RecordSplitter(), 0
-                with stream(path) as raw:
+                with _streamed(path) as raw:
                     text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="")
                     while piece := text.read(_CHUNK):
                         for record in splitter.feed(piece):
@@ -237,7 +342,39 @@ def list_records(files: DataFrame) -> DataFrame:
                         if splitter.odd:
                             break
                 if splitter.odd or splitter.begun and not splitter.ended:
-                    yield from out.add(path, row, False, splitter.left()[:1000])
+                    yield from out.add(path, row, False, "")
+        yield from out.rest()
+
+    return files.select("path").mapInPandas(read, f"{PATH} string, {ROW} long, {WHOLE} boolean, value string")
+
+
+def column_parts(files: DataFrame) -> DataFrame:
+    """``__path, __row, value, __whole``: documents that are objects of columns, as smaller ones that hold a part of one column.
+
+    ``__row`` is the place of a part's first cell in its column. One task streams a document, plain, gzip or bzip2, of any
+    length. Its last row is an object without columns; ``__whole`` is false there if the document breaks off or
+    is malformed between the parts. Of other documents no more than the beginning is read, and they have no rows.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Batches([PATH, ROW, WHOLE, "value"])
+        for batch in batches:
+            for path in batch["path"]:
+                splitter = ColumnSplitter(_PART_CHARS)
+                with _streamed(path) as raw:
+                    text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="")
+                    start = text.read(1)
+                    while start == " ":
+                        start = text.read(1)
+                    if start != "{":
+                        continue
+                    while start:
+                        for first, part in splitter.feed(start):
+                            yield from out.add(path, first, True, part)
+                        if splitter.odd or splitter.ended:
+                            break
+                        start = text.read(_CHUNK)
+                yield from out.add(path, 0, splitter.ended and not splitter.odd, "{}")
         yield from out.rest()
 
     return files.select("path").mapInPandas(read, f"{PATH} string, {ROW} long, {WHOLE} boolean, value string")

@@ -36,6 +36,8 @@ ROW = "__row"
 _BROKEN = "__broken"
 # Bytes from which a document is streamed; an eighth of it if packed.
 LARGE = 1 << 29
+# Objects of columns, with cells as text.
+_COLUMNS = "map<string,map<string,string>>"
 
 
 def as_list(paths: Paths) -> list[str]:
@@ -96,8 +98,8 @@ def read_json(
     path as ``__path``, for documents also the record's position as ``__row``.
 
     JSON-Lines, plain or bzip2, is read in splits; members of archives are dealt out to tasks; a
-    document takes one task. Documents of over ``large`` bytes (``LARGE``) are streamed, which needs a schema, and so
-    are all lists with ``skip_corrupt``, which then costs only the records that are malformed
+    document takes one task. Documents of over ``large`` bytes (``LARGE``) are streamed, which needs a schema and
+    lists, and so are all documents with ``skip_corrupt``, which then costs only the records of lists that are malformed
     (``corrupt_documents`` counts them). Each document is told apart by itself, so files of both forms may be read together;
     one of neither form fails the job like a malformed record.
     """
@@ -156,16 +158,14 @@ def _documents(
         raise ValueError(f"documents of more than {most} bytes cannot be read from this file system")
     if schema is None:
         raise ValueError(f"documents of more than {most} bytes need a schema")
-    # the size of a file is known before it is read, so the large ones never come into a cell
-    small = texts.where(F.col("_metadata.file_size") <= limit("_metadata.file_path"))
-    small = small.select(plain_path("_metadata.file_path").alias(PATH), "value").where(F.trim("value") != "")
-    of_columns = F.ltrim(F.col("value")).startswith("{")
     if skip_corrupt:
-        streamed_files, parsed = files, [records_from_columns(small.where(of_columns), schema, skip_corrupt)]
+        # lists and objects of columns of any size are streamed, so that what is left out does not depend on it
+        df = _streamed(files, schema, skip_corrupt).unionByName(_streamed_columns(files, schema))
     else:
-        streamed_files, parsed = large, [_parse_texts(small, "document", schema, skip_corrupt, with_path=True)]
-    rows = _streamed(streamed_files, schema, skip_corrupt)
-    df = rows.unionByName(parsed[0])
+        # the size of a file is known before it is read, so the large ones never come into a cell
+        small = texts.where(F.col("_metadata.file_size") <= limit("_metadata.file_path"))
+        small = small.select(plain_path("_metadata.file_path").alias(PATH), "value")
+        df = _streamed(large, schema, skip_corrupt).unionByName(_parse_texts(small, "document", schema, skip_corrupt, with_path=True))
     return df if with_path else df.drop(PATH, ROW)
 
 
@@ -181,6 +181,15 @@ def _streamed(files: DataFrame, schema: T.StructType, skip_corrupt: bool) -> Dat
     return records.where(whole).select(F.from_json("value", schema, _mode(False)).alias("r"), PATH, ROW).select("r.*", PATH, ROW)
 
 
+def _streamed_columns(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records of documents that are objects of columns, streamed, with ``__path`` and ``__row``; malformed ones are left out."""
+    parts = pieces.column_parts(files).withColumn("columns", F.from_json("value", _COLUMNS, _mode(True)))
+    # one path for each malformed document, and the driver has listed all paths
+    bad = parts.where(~F.col(pieces.WHOLE) | F.col("columns").isNull()).select(PATH).distinct()
+    whole = pieces.column_parts(files).join(F.broadcast(bad), PATH, "left_anti")
+    return records_from_columns(whole, schema, skip_corrupt=True)
+
+
 def _with_broken(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
 
@@ -195,20 +204,26 @@ def corrupt_documents(spark: SparkSession, paths: Paths, schema: T.StructType) -
     """``path, n_records, n_corrupt`` of ``.json`` documents: what ``skip_corrupt`` leaves out of each.
 
     A list counts its records, and one more as corrupt if it breaks off; any other document counts
-    as one record, corrupt if it is no object of columns.
+    as one record, corrupt if it is no object of columns. Documents of any size are looked at as a whole.
     """
     paths = as_list(paths)
-    records = pieces.list_records(pieces.files_of(spark, paths))
+    files = pieces.files_of(spark, paths)
     parsed = F.from_json("value", _with_broken(schema), _mode(True) | {"columnNameOfCorruptRecord": _BROKEN})
-    lists = records.select(PATH, "value", pieces.WHOLE, parsed.alias("r"))
-    columns = F.from_json("value", "map<string,map<string,string>>", _mode(True))
-    of_columns = spark.read.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= LARGE).select(plain_path("_metadata.file_path").alias(PATH), "value")
-    of_columns = of_columns.where(F.ltrim("value").startswith("{")).select(PATH, columns.isNull().alias("bad"))
-    bad = ~F.col(pieces.WHOLE) | _malformed(schema)
-    rows = lists.select(F.regexp_replace(PATH, "^file:/+", "file:///").alias(PATH), bad.alias("bad"))
-    others = of_columns.select(F.regexp_replace(PATH, "^file:/+", "file:///").alias(PATH), "bad")
-    rows = rows.join(others.select(PATH), PATH, "left_anti").unionByName(others)
-    return rows.groupBy(F.col(PATH).alias("path")).agg(F.count(F.lit(1)).alias("n_records"), F.count_if("bad").alias("n_corrupt"))
+    lists = pieces.list_records(files).select(PATH, "value", pieces.WHOLE, parsed.alias("r"))
+    lists = lists.select(PATH, (~F.col(pieces.WHOLE) | _malformed(schema)).alias("bad"), F.lit(False).alias("of_columns"))
+    columns = F.from_json("value", _COLUMNS, _mode(True))
+    parts = pieces.column_parts(files).select(PATH, (~F.col(pieces.WHOLE) | columns.isNull()).alias("bad"), F.lit(True).alias("of_columns"))
+    # an object of columns is no list either, and counts as what it is
+    found = lists.unionByName(parts).groupBy(PATH).agg(
+        F.bool_or("of_columns").alias("is_object"), F.bool_or(F.col("of_columns") & F.col("bad")).alias("is_bad"),
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"),
+    )
+    one = F.lit(1).cast("bigint")
+    return found.select(
+        F.regexp_replace(PATH, "^file:/+", "file:///").alias("path"),
+        F.when(F.col("is_object"), one).otherwise(F.col("n")).alias("n_records"),
+        F.when(F.col("is_object"), F.col("is_bad").cast("bigint")).otherwise(F.col("n_bad")).alias("n_corrupt"),
+    )
 
 
 def inferred_schema(spark: SparkSession, paths: Paths) -> T.StructType:
@@ -343,14 +358,17 @@ def records_from_columns(texts: DataFrame, schema: T.StructType, skip_corrupt: b
     Adds ``__path`` and the row's position ``__row``. Cells are brought together per
     document and row, so a large document is spread over all tasks once it is parsed.
     A document or a cell that does not parse fails the job; with ``skip_corrupt`` the
-    document is left out and the cell is NULL.
+    document is left out and the cell is NULL. Texts may be parts of documents, with the place of their first cell
+    as ``__row``.
     """
     names = [f.name for f in schema.fields]
-    columns = F.from_json("value", "map<string,map<string,string>>", _mode(skip_corrupt))
+    columns = F.from_json("value", _COLUMNS, _mode(skip_corrupt))
+    before = F.col(ROW) if ROW in texts.columns else F.lit(0)
     cells = (
-        texts.select(PATH, F.explode(columns).alias("field", "cells"))
+        texts.select(PATH, before.alias("before"), F.explode(columns).alias("field", "cells"))
         .where(F.col("field").isin(names))
-        .select(PATH, "field", F.posexplode("cells").alias("position", "label", "cell"))
+        .select(PATH, "field", "before", F.posexplode("cells").alias("position", "label", "cell"))
+        .withColumn("position", F.col("before") + F.col("position"))
     )
     figures = [
         F.max(F.when(F.col("field") == name, F.col("cell"))).alias(name) for name in names

@@ -141,3 +141,61 @@ def test_what_is_left_out_of_documents_is_counted(spark, folder):
     assert _keys(left) == list(range(1, 8))
     found = {os.path.basename(r.path)[:-5]: (r.n_records, r.n_corrupt) for r in eg.corrupt_documents(spark, paths, SLIM).collect()}
     assert found == {"whole": (2, 0), "bad": (4, 2), "cut": (3, 1), "columns": (1, 0), "odd": (1, 1), "brokencolumns": (1, 1)}
+
+
+_CELLS = st.dictionaries(st.text('a"\\\'[]{},: é', max_size=3), st.one_of(
+    st.none(), st.integers(), st.booleans(), st.text('b"\\\'[]{},: 🙂', max_size=5), st.lists(st.text(",]}'", max_size=2), max_size=2),
+    st.dictionaries(st.text("}],", max_size=2), st.integers(), max_size=2),
+), max_size=5)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text('k"\\\'{},', max_size=3), st.one_of(st.none(), _CELLS), max_size=4), st.integers(1, 9), st.integers(0, 12), st.sampled_from([None, 2]), st.booleans())
+def test_parts_of_an_object_of_columns(columns, size, most, indent, escaped):
+    text = " " + json.dumps(columns, indent=indent, ensure_ascii=escaped) + "\n "
+    splitter = pieces.ColumnSplitter(most)
+    found = [r for i in range(0, len(text), size) for r in splitter.feed(text[i:i + size])]
+    assert splitter.ended and not splitter.odd
+    joined = {}
+    for first, part in found:
+        (name, cells), = json.loads(part).items()
+        if cells is None:
+            joined[name] = None
+        else:
+            assert first == len(joined.setdefault(name, {}))
+            joined[name] |= cells
+    assert joined == columns
+    cut = text.rstrip()[:-1]
+    splitter = pieces.ColumnSplitter(most)
+    list(splitter.feed(cut))
+    assert not splitter.ended
+
+
+_OBJECTS = {
+    "columns": '{"Key": {"0": 7, "1": 8, "2": 9}, "goldresp": {"1": "b, }", "0": "a"}}', "single": "{'Key': {'0': 10}, 'goldresp': {'0': 'a}\"b'}}",
+    "nothing": '{"Key": null, "goldresp": {}}', "twice": '{"Key": {"0": 11, "0": 12}, "Key": {"1": 13}}', "behind": '{"Key": {"0": 14}} x',
+    "cut": '{"Key": {"0": 1, "1": 2', "cell": '{"Key": {"0": 1, "1": x, "2": 3}}', "comma": '{"Key": {"0": 1,}}', "commas": '{"Key": {"0": 1,, "1": 2}}',
+    "last": '{"Key": {"0": 1},}', "between": '{"Key": {"0": 1} "goldresp": {}}', "list": '{"Key": {"0": 1}, "goldresp": ["a"]}', "bracket": '{"Key": {"0": 1]}',
+    "number": '{"Key": {"0": 1}, "goldresp": 3}', "name": '{"Key": {"0": 1}, goldresp: {"0": "a"}}', "depth": '{"Key": {"0": [1}}}',
+}
+_WHOLE_OBJECTS = {"columns", "single", "nothing", "twice", "behind"}
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_objects_of_columns_of_any_size_are_read_and_counted(spark, folder, monkeypatch, packed):
+    pack, ending = (gzip.compress, ".json.gz") if packed else (bytes, ".json")
+    texts = _OBJECTS | {"records": '[{"Key": 15}, {"Key": x}]'}
+    paths = [put(folder, f"{name}{ending}", pack(text.encode())) for name, text in texts.items()]
+    seen = []
+    for most in (records.LARGE, 10):
+        # a document over this size was left out, and counted as corrupt
+        monkeypatch.setattr(records, "LARGE", most)
+        monkeypatch.setattr(pieces, "_PART_CHARS", most)
+        monkeypatch.setattr(pieces, "_CHUNK", min(most, 1 << 20))
+        rows = records.read_json(spark, paths, SLIM, skip_corrupt=True, with_path=True)
+        kept = sorted((r.Key, r.goldresp or "", r["__row"]) for r in rows.collect())
+        counted = {os.path.basename(r.path).partition(".")[0]: (r.n_records, r.n_corrupt) for r in eg.corrupt_documents(spark, paths, SLIM).collect()}
+        seen.append((kept, counted))
+    assert seen[0] == seen[1]
+    assert kept == [(7, "a", 0), (8, "b, }", 0), (9, "", 2), (10, 'a}"b', 0), (12, "", 0), (13, "", 0), (14, "", 0), (15, "", 0)]
+    assert counted == {name: (1, int(name not in _WHOLE_OBJECTS)) for name in _OBJECTS} | {"records": (2, 1)}

@@ -31,5 +31,7 @@ def answer_testset(
         # a record that an earlier run left cut off is a trial without response
         trials = pending_trials(trials, load_results_as_dataframe(spark, path, skip_corrupt=True))
     trials = trials if reached is None else reached(trials)
+    # dealt out by key once, for what answers them and for the check; else the files would be read for each
+    trials = trials.repartition("Key")
     checked = require_valid_responses(answer(trials).join(merged(trials.select("Key", "expectedresp")), "Key"))
     return write_results(checked, folder, prompting, modelname, mode="append")

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import cache
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
@@ -60,6 +61,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _kept(spark: SparkSession, name: str) -> tuple[str, JavaObject, JavaObject]:
+    """The path of the table kept under ``name``, as text and for the file system, and that."""
+    kept = f"{shared_folder(spark)}/evalgrid/kept/{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+    return kept, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_kept(spark: SparkSession, name: str) -> bool:
+    """Whether ``keep_once`` has a table under this name."""
+    _, path, files = _kept(spark, name)
+    return files.exists(path)
+
+
 def keep_once(spark: SparkSession, name: str, table: Callable[[], DataFrame]) -> DataFrame:
     """A scan of the table kept under ``name`` in the shared folder, computed if it is not there yet.
 
@@ -67,14 +81,11 @@ def keep_once(spark: SparkSession, name: str, table: Callable[[], DataFrame]) ->
     whole or not at all; of two that write at once, one is taken. ``name`` has to say all that the
     table depends on.
     """
-    jvm = spark.sparkContext._jvm
-    kept = f"{shared_folder(spark)}/evalgrid/kept/{name}"
-    path = jvm.org.apache.hadoop.fs.Path(kept)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept, path, files = _kept(spark, name)
     if not files.exists(path):
         new = scratch_path(spark, "kept")
         table().write.parquet(new)
         files.mkdirs(path.getParent())
-        if not files.rename(jvm.org.apache.hadoop.fs.Path(new), path) and not files.exists(path):
+        if not files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), path) and not files.exists(path):
             raise OSError(f"cannot move {new} to {kept}")
     return spark.read.parquet(kept)

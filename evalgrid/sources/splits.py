@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evalgrid.functions.labels import logical_file
-from evalgrid.session import keep_once
+from evalgrid.session import is_kept, keep_once
 
 FILE, BLOCK, FIRST = "__split_file", "__block", "__first"
 _POSITION = "__position"
@@ -77,7 +77,11 @@ def split_directory(spark: SparkSession, paths: Sequence[str], fields: bool = Fa
     ``n_odd`` records that are no JSON. Read once and kept until a file or a setting changes.
     """
     name = f"splits/{_digest(spark, paths)}"
-    return keep_once(spark, f"{name}-fields" if fields else name, lambda: _found(spark, paths, fields))
+    if fields or is_kept(spark, f"{name}-fields"):
+        # one with fields serves those who do not ask for them, too
+        found = keep_once(spark, f"{name}-fields", lambda: _found(spark, paths, True))
+        return found if fields else found.drop("fields", "n_odd")
+    return keep_once(spark, name, lambda: _found(spark, paths, False))
 
 
 def with_position(rows: DataFrame, directory: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import types as T
 
 import evalgrid as eg
 from evalgrid import schemas
@@ -196,3 +197,16 @@ def test_an_empty_file_has_no_records(spark, folder):
     put(folder, "r/p___a___results.jsonl", "\n")
     assert _load(spark, folder, cut_tail=True).count() == 0
     assert lines_but_cut_tail(spark, f"{folder}/r/p___a___results.jsonl", schemas.RESULTS).count() == 0
+
+
+def test_a_directory_with_fields_serves_a_load_that_knows_them(spark, folder, looks):
+    path = put(folder, "e/trials.jsonl", trials(50))
+    inferred = eg.load_trials_as_dataframe(spark, path)
+    known = eg.load_trials_as_dataframe(spark, path, extra=T.StructType([]))
+    assert _numbers(inferred) == _numbers(known) == {i: i for i in range(50)}
+    assert len(looks) == 1
+    assert splits.split_directory(spark, [path]).columns == ["__split_file", "__block", "__first", "n", "whole", "before", "is_last"]
+    put(folder, "e/trials.jsonl", trials(60))
+    for extra in (T.StructType([]), None, T.StructType([])):
+        assert _numbers(eg.load_trials_as_dataframe(spark, path, extra=extra)) == {i: i for i in range(60)}
+    assert len(looks) == 3

@@ -136,8 +136,9 @@ def require_same_text(joined: DataFrame) -> DataFrame:
 
 
 def text_digest(c: Column | str) -> Column:
-    """16 bytes that stand for a text; NULL for NULL."""
-    return F.unhex(F.md5(L.column(c).cast("binary")))
+    """16 bytes that stand for a text, or a shorter one itself; NULL for NULL."""
+    text = L.column(c).cast("binary")
+    return F.when(F.octet_length(text) < 16, text).otherwise(F.unhex(F.md5(text)))
 
 
 def answered_by_position(

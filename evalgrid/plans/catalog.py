@@ -1173,6 +1173,10 @@ def prefix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("prefix_key"), "o_totalprice")
 
 
+# Rows of a packed file of responses.
+_PACKED_ROWS = 250_000
+
+
 @registered(
     O.query(
         """SELECT EXPNAME, modelname, count(*) AS n, sum(EXP_i)::BIGINT AS rows_sum,
@@ -1191,13 +1195,13 @@ FROM (
 def responses_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two experiments answered by position, the second one only in part."""
     root = scratch_path(spark, "experiments")
-    trials = D.trials(spark, sf_dir)
-    stored = _in_order(spark, sf_dir, eg.obfuscate_goldresp(trials))
+    trials = D.trials(spark, sf_dir, D.ordered_orders(spark, sf_dir)).sortWithinPartitions("Key")
+    stored = eg.obfuscate_goldresp(trials)
     half = D.table(spark, sf_dir, "orders").agg(F.expr("count(*) div 2")).scalar()
     answers = D.results(spark, sf_dir)
     # one join for all models, whose files are then written from its rows
     for name, ending in (("one", ".jsonl"), ("two", ".jsonl.partial")):
-        stored.write.json(f"{root}/{name}/trials.jsonl")
+        stored.write.option("compression", "gzip").json(f"{root}/{name}/trials.jsonl")
         rows = eg.load_trials_as_dataframe(spark, f"{root}/{name}/trials.jsonl", extra=NO_EXTRA)
         if name == "two":
             rows = eg.first_rows(rows, half, "tuple_ID")
@@ -1207,8 +1211,9 @@ def responses_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
             "modelname", F.col("EXP_i").alias("row_i"), F.col("text").alias("text2"), "resp", confidence
         ), "answered")
         for model in D.MODELS:
-            mine = answered.where(F.col("modelname") == model).drop("modelname")
-            mine.write.json(f"{root}/{name}/results/{model}{K.LEGACY_ENDING}{ending}")
+            mine = answered.where(F.col("modelname") == model).drop("modelname").write
+            # a packed file is read by one task
+            mine.option("compression", "gzip").option("maxRecordsPerFile", _PACKED_ROWS).json(f"{root}/{name}/results/{model}{K.LEGACY_ENDING}{ending}")
     both = eg.load_all_results(spark, [root], include_partials=True)
     right = F.count_if(F.col("resp") == F.col("goldresp"))
     return both.groupBy("EXPNAME", "modelname").agg(

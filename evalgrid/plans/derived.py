@@ -46,6 +46,11 @@ def spread_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey").repartition(n_tasks(spark, sf_dir))
 
 
+def ordered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' keys in as many parts, by ranges; the keys of their trials follow theirs, so these need no exchange to be in order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartitionByRange(n_tasks(spark, sf_dir), "o_orderkey")
+
+
 def trials(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """The trials of the table's orders, or of the ``orders`` given."""
     o, kind = F.col("o_orderkey"), F.col("o_orderkey") % 6

@@ -13,6 +13,7 @@ from evalgrid.operators.assemble import (
     answered_by_position,
     assemble_trials_and_results_df,
     stack,
+    text_digest,
 )
 from evalgrid.operators.enrich import add_missing_columns
 from evalgrid.sources.records import (
@@ -144,13 +145,12 @@ def load_experiment_results_as_dataframe(
     paths = as_list(paths)
     records, path = _lines(spark, paths, schemas.POSITIONAL_RESULTS, skip_corrupt, cut_tail)
     records = records.select(*schemas.POSITIONAL_RESULTS.fieldNames(), F.col(path).alias("__encoded"))
-    folder = labels.experiment_folder_of_results("__encoded")
-    results = (
-        labels.with_labels(records, "__encoded")
-        .withColumn(FOLDER, labels.plain_path(folder))
-        .drop("__encoded", "prompting")
-        .withColumnRenamed("row_i", "EXP_i")
-    )
+    # what a path tells is worked out once for a file; the driver lists them all in any case
+    told = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("__encoded"))
+    told = labels.with_labels(told.distinct(), "__encoded").drop("prompting")
+    # as a digest, since a path is longer than all else that crosses the exchange and is sorted there
+    told = told.withColumn(FOLDER, text_digest(labels.plain_path(labels.experiment_folder_of_results("__encoded"))))
+    results = records.join(F.broadcast(told), "__encoded", "left").drop("__encoded").withColumnRenamed("row_i", "EXP_i")
     if trials_path is None:
         files = [_trials_beside(spark, p) for p in paths]
     else:
@@ -167,6 +167,8 @@ def load_experiment_results_as_dataframe(
     on = [FOLDER, "EXP_i"]
     if trials_path is not None:
         trials, results, on = trials.drop(FOLDER), results.drop(FOLDER), ["EXP_i"]
+    else:
+        trials = trials.withColumn(FOLDER, text_digest(FOLDER))
     joined = answered_by_position(trials, results, on).drop(FOLDER)
     joined = add_missing_columns(joined, clarified=0, context_nb=0)
     return joined if include_expname_fields else joined.drop("EXPNAME", "EXP_i")

@@ -5,6 +5,8 @@ import re
 import pytest
 
 import evalgrid as eg
+from evalgrid.operators.assemble import text_digest
+from evalgrid.sources import results as result_files
 from tests.test_splits import put
 
 
@@ -97,3 +99,31 @@ def test_pending_without_models_or_responses(spark):
     none = spark.createDataFrame([], "Key long, modelname string, prompting string")
     assert eg.pending_by_model(asked, none).count() == 0
     assert eg.pending_by_model(asked, none, [("m", "p")]).count() == 1
+
+
+def test_a_text_is_sent_as_it_is_if_it_is_shorter_than_its_digest(spark):
+    texts = [None, "", "Q1.1", "x" * 15, "x" * 16, "é" * 7, "é" * 8, "x" * 200]
+    sent = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_digest("t")).collect()]
+    plain = [None if t is None else t.encode() for t in texts]
+    assert [None if s is None else bytes(s) for s in sent[:4]] == plain[:4] and bytes(sent[5]) == plain[5]
+    assert [len(sent[i]) for i in (4, 6, 7)] == [16] * 3 and len({bytes(s) for s in sent[1:]}) == 7
+
+
+def test_paths_of_experiments_cross_no_exchange(spark, folder, monkeypatch):
+    for name in ("one", "a b%20+é"):
+        put(folder, f"{name}/trials.jsonl", "".join(json.dumps({"Key": k, "text": f"{name}{k}", "goldresp": "TRUE"}) + "\n" for k in range(4)))
+        put(folder, f"{name}/results/t+y %__allresults.jsonl/part-00000-x.json", "".join(json.dumps({"row_i": i, "text2": f"{name}{i}", "resp": "TRUE"}) + "\n" for i in range(4)))
+    joined, kinds = result_files.answered_by_position, []
+    monkeypatch.setattr(result_files, "answered_by_position", lambda *a: kinds.extend(dict(x.dtypes)["__folder"] for x in a[:2]) or joined(*a))
+    rows = eg.load_all_results(spark, [folder]).collect()
+    assert sorted((r.EXPNAME, r.EXP_i, r.text) for r in rows) == sorted((n, i, f"{n}{i}") for n in ("one", "a b%20+é") for i in range(4))
+    assert {r.modelname for r in rows} == {"t+y %"}
+    assert kinds == ["binary", "binary"]
+
+
+def test_what_a_path_tells_is_worked_out_once_for_a_file(spark, folder):
+    for tail in ({}, {"cut_tail": True}, {"skip_corrupt": True}):
+        rows = eg.load_experiment_results_as_dataframe(spark, _experiment(folder, 5), **tail)
+        assert sorted((r.modelname, r.Key) for r in rows.collect()) == sorted((m, 7 * i) for m in ("m", "k") for i in range(5))
+        # the list of files, which has a row for each
+        assert "Relation [path" in rows._jdf.queryExecution().optimizedPlan().toString()

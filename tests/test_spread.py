@@ -48,3 +48,23 @@ def test_growing_results_are_in_files_of_bounded_length(spark, sf_dir, folder, m
     again = [tuple(r) for r in catalog.growing_results(spark, sf_dir).orderBy("modelname").collect()]
     assert len(glob.glob(f"{folder}/growing/results/*/*")) == 9
     assert again == whole and all(r[1] > 0 for r in whole)
+
+
+def test_trials_follow_the_order_of_the_orders(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(D, "n_tasks", lambda *_: 4)
+    ordered = D.trials(spark, sf_dir, D.ordered_orders(spark, sf_dir)).sortWithinPartitions("Key")
+    parts = [[r.Key for r in part] for part in ordered.rdd.glom().collect()]
+    assert len(parts) == 4 and sum(map(bool, parts)) > 1
+    assert [k for part in parts for k in part] == sorted(k for part in parts for k in part)
+    assert ordered.exceptAll(D.trials(spark, sf_dir)).count() == D.trials(spark, sf_dir).exceptAll(ordered).count() == 0
+
+
+def test_responses_by_position_are_packed_in_files_of_bounded_length(spark, sf_dir, folder, monkeypatch):
+    whole = sorted(map(tuple, catalog.responses_by_position(spark, sf_dir).collect()))
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: f"{folder}/{name}")
+    monkeypatch.setattr(catalog, "_PACKED_ROWS", 500)
+    monkeypatch.setattr(D, "n_tasks", lambda *_: 3)
+    assert sorted(map(tuple, catalog.responses_by_position(spark, sf_dir).collect())) == whole
+    files = glob.glob(f"{folder}/experiments/*/trials.jsonl/part-*") + glob.glob(f"{folder}/experiments/*/results/*/part-*")
+    assert len(files) > 6 + 30 and all(f.endswith(".json.gz") for f in files)
+    assert max(spark.read.text(f).count() for f in files if "/results/" in f) <= 500

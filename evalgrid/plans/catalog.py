@@ -680,6 +680,19 @@ def _stored_trials(spark: SparkSession, sf_dir: str, extension: str, codec: str,
     return path
 
 
+def _packed_trials(spark: SparkSession, sf_dir: str) -> str:
+    """``_stored_trials`` as bzip2, packed by the tasks where they reach the files."""
+    path = f"{scratch_path(spark, 'testset')}/{K.TESTSET_FILE}"
+    rows = eg.obfuscate_goldresp(D.trials(spark, sf_dir, D.spread_orders(spark, sf_dir)))
+    if pieces.reaches(path):
+        lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+        if lines.mapInArrow(pieces.bzip2_in(path), "path string").count():
+            return path
+    # a folder without files would be none
+    rows.write.mode("append").option("compression", "bzip2").json(path)
+    return path
+
+
 def _stored_results(spark: SparkSession, sf_dir: str, directory: str) -> None:
     rows = D.results(spark, sf_dir, D.spread_orders(spark, sf_dir))
     for model in D.MODELS:
@@ -1646,7 +1659,7 @@ FROM random_answers r JOIN trials t ON r."Key" = t."Key" GROUP BY ALL""",
 )
 def resumed_responder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model answers a test set in two runs, the second only what the first left open."""
-    path = _stored_trials(spark, sf_dir, "jsonl.bz2", "bzip2")
+    path = _packed_trials(spark, sf_dir)
     folder = path.rpartition("/")[0]
     for run in range(2):
         # the first run breaks off after the trials with an even key

@@ -68,3 +68,20 @@ def test_responses_by_position_are_packed_in_files_of_bounded_length(spark, sf_d
     files = glob.glob(f"{folder}/experiments/*/trials.jsonl/part-*") + glob.glob(f"{folder}/experiments/*/results/*/part-*")
     assert len(files) > 6 + 30 and all(f.endswith(".json.gz") for f in files)
     assert max(spark.read.text(f).count() for f in files if "/results/" in f) <= 500
+
+
+@pytest.mark.parametrize("way", ["packed", "not reached", "empty"])
+def test_trials_are_packed_as_spark_packs_them(spark, sf_dir, folder, monkeypatch, way):
+    monkeypatch.setattr(D, "n_tasks", lambda *_: 3)
+    expected = sorted(r.value for r in spark.read.text(catalog._stored_trials(spark, sf_dir, "jsonl.bz2", "bzip2")).collect())
+    if way == "not reached":
+        monkeypatch.setattr(catalog.pieces, "reaches", lambda path: False)
+    if way == "empty":
+        spark.read.parquet(f"{sf_dir}/orders.parquet").limit(0).write.parquet(f"{folder}/none/orders.parquet")
+        sf_dir, expected = f"{folder}/none", []
+    path = catalog._packed_trials(spark, sf_dir)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == expected and path.endswith("/trials.jsonl.bz2")
+    files = [f.rpartition("/")[2] for f in glob.glob(f"{path.removeprefix('file:')}/*") if "_SUCCESS" not in f]
+    assert all(f.startswith("part-") and f.endswith(".json.bz2") for f in files)
+    if way == "packed":
+        assert sorted(files) == [f"part-0000{i}.json.bz2" for i in range(3)]
